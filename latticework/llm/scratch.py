@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +34,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_latticework_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    tmp = tempfile.mkdtemp(prefix="latticework-")  # the driver serves it until it ends
+    atexit.register(shutil.rmtree, tmp, True)
+    tree = Path(tmp, "tree", package.name)
+    shutil.copytree(package, tree, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{tmp}/{package.name}", "zip", tree.parent))
+    sc._latticework_shipped = True
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a DataFrame as Parquet and
     reads it back, so lost executors never cost more than one step; ``drop``
     removes a table that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
