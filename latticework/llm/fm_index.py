@@ -35,14 +35,19 @@ class WaveletTree:
             self.zeros.append(len(sequence) - self.levels[-1].ones)
             sequence = np.r_[sequence[~bit], sequence[bit]]
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``symbol`` before lo and before hi, counted from the symbol's first."""
-        start = np.zeros_like(lo)
+        # where each symbol's places begin after the last level
+        self.begin = self._down(np.arange(1 << bits), np.zeros(1 << bits, np.int64))
+
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (level, zeros) in enumerate(zip(self.levels, self.zeros)):
-            one = (symbol >> (self.bits - 1 - k)) & 1 == 1
-            a, b, s = level.rank1(lo), level.rank1(hi), level.rank1(start)
-            lo, hi, start = (np.where(one, zeros + x, y - x) for x, y in ((a, lo), (b, hi), (s, start)))
-        return lo - start, hi - start
+            ones = level.rank1(at)
+            at = np.where((symbol >> (self.bits - 1 - k)) & 1 == 1, zeros + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``symbol`` before lo and before hi."""
+        both = self._down(np.r_[symbol, symbol], np.r_[lo, hi]) - np.r_[self.begin[symbol], self.begin[symbol]]
+        return both[: len(lo)], both[len(lo) :]
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:

@@ -37,6 +37,8 @@ from .symbols import BASE, BLOCK, gram_hashes, leftmost_minima, member, mix, pow
 HOT_KEYS = 65_536
 #: and only if they occur so often.
 HOT_LEAST = 2_000
+#: Symbols hashed at once, so that they stay in a core's cache.
+CACHED = 1 << 15
 #: Null ids sort last.
 NO_ID = (1 << 63) - 1
 
@@ -59,6 +61,8 @@ class Rule:
     whole_document: bool
     #: shards for each shuffle partition
     fine: int
+    #: parts of a shard, indexed one after another
+    parts: int
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -83,14 +87,20 @@ def anchors(symbols: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     places, keys = [], []
-    for lo in range(0, n, BLOCK):
-        h = gram_hashes(symbols[lo : lo + BLOCK + window - 1], gram)
+    for lo in range(0, n, CACHED):
+        h = gram_hashes(symbols[lo : lo + CACHED + window - 1], gram)
         at = leftmost_minima(h, window - gram + 1)
-        places.append(at.astype(np.int64) + lo)
+        places.append(at + lo)
         keys.append(h[at] >> np.uint64(16))
     return np.concatenate(places), np.concatenate(keys)
 
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """Keys as a document's flags hold them. Two anchors of one document may
+    share a short key; then both are flagged, and the shards sort it out."""
+    return keys.astype(np.uint32)
+
+
 def _changes(x: np.ndarray) -> np.ndarray:
     """Where runs of equal neighbours begin."""
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
@@ -122,24 +132,24 @@ def _asked(rule: Rule, shards: int):
         if not keys:
             return
         keys, ids = np.concatenate(keys), np.concatenate(ids)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, ids = keys[order], ids[order]
-        del order
         at = _changes(keys)
         counts = np.diff(np.r_[at, len(keys)])
-        once = counts == 1
-        for s in range(shards):
-            own = at[keys[at] % np.uint64(shards) == s]
-            if len(own):
-                n = counts[np.searchsorted(at, own)]
-                yield _rows([s], [None], [squeeze(np.diff(keys[own], prepend=np.uint64(0)), ids[own], n.astype(np.int32))])
-        again = np.repeat(~once, counts)
+        again = np.repeat(counts > 1, counts)
+        only, asks = keys[at], ids[at]
+        shard = (only % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.r_[_changes(shard[order]), len(order)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            yield _rows([int(shard[own[0]])], [None], [squeeze(np.diff(only[own], prepend=np.uint64(0)), asks[own], counts[own].astype(np.int32))])
         keys, ids = keys[again], ids[again]
-        order = np.argsort(ids, kind="stable")
-        keys, ids = keys[order], ids[order]
+        order = np.argsort(ids)
+        ids = ids[order]
         cuts = _changes(ids)
         if len(cuts):
-            yield _rows(np.full(len(cuts), -1), ids[cuts], _binary(keys, cuts))
+            yield _rows(np.full(len(cuts), -1), ids[cuts], _binary(short(keys[order]), cuts))
 
     return run
 
@@ -157,7 +167,7 @@ def _answered(table: pa.Table) -> pa.Table:
         ids.append(d)
         counts.append(n)
     keys, ids, counts = np.concatenate(keys), np.concatenate(ids), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, ids, counts = keys[order], ids[order], counts[order]
     at = _changes(keys)
     total = np.add.reduceat(counts, at)
@@ -166,8 +176,8 @@ def _answered(table: pa.Table) -> pa.Table:
     many = total >= HOT_LEAST
     hot_keys, hot_counts = keys[at][many], total[many]
     keys, ids = keys[ask], ids[ask]
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
+    order = np.argsort(ids)
+    keys, ids = short(keys[order]), ids[order]
     cuts = _changes(ids)
     n = len(cuts)
     rows = [
@@ -183,8 +193,8 @@ def _flagged(rule: Rule, text, flags: list[bytes]) -> tuple[np.ndarray, np.ndarr
     """Units; for each window its anchor's place and key and whether the anchor recurs."""
     units = rule.units(text)
     at, key = anchors(rule.codes(units), rule.window, rule.gram)
-    known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in flags]))
-    return units, at, key, member(key, known)
+    known = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in flags]))
+    return units, at, key, member(short(key), known)
 
 
 def _runs(rule: Rule, shards: int, hot: np.ndarray):
@@ -208,23 +218,28 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
             value = wide[b[0] : b[0] + len(inside)] * p[inside]
             name[lo:hi] = np.add.reduceat(value, np.cumsum(n) - n)
         name = mix(name + windows.astype(np.uint64))
-        order = np.lexsort((places, docs, name))
-        first = _changes(name[order])
-        if rule.whole_document:  # all places of the first document
-            least = np.repeat(docs[order][first], np.diff(np.r_[first, len(order)]))
-            own = order[docs[order] == least]
-        else:
-            own = order[first]
+        order = np.argsort(name)
+        begin = _changes(name[order])
+        count = np.diff(np.r_[begin, len(order)])
+        doc = docs[order]
+        mine = doc == np.repeat(np.minimum.reduceat(doc, begin), count)
+        if not rule.whole_document:  # only the first place of the first document
+            place = np.where(mine, places[order], NO_ID)
+            mine &= place == np.repeat(np.minimum.reduceat(place, begin), count)
+        own = order[mine]
         single = member(keys, hot) & (windows == 1)
-        shard = (np.where(single, name, keys) % np.uint64(shards)).astype(np.int64)[own]
-        own = own[np.argsort(shard, kind="stable")]
-        shard = np.sort(shard)
+        key = np.where(single, name, keys)[own]
+        part = (key % np.uint64(shards) * np.uint64(rule.parts) + key // np.uint64(shards) % np.uint64(rule.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        own, part = own[order], part[order]
+        shard = part // rule.parts
         cuts = np.r_[_changes(shard), len(own)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             mine = own[a:b]
             n = lengths[mine]
             spots = np.repeat(begins[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield _rows([int(shard[a])], [None], [squeeze(content[spots], docs[mine], places[mine].astype(np.int64), windows[mine].astype(np.int32))])
+            sizes = np.bincount(part[a:b] % rule.parts, minlength=rule.parts)
+            yield _rows([int(shard[a])], [None], [squeeze(content[spots], docs[mine], places[mine].astype(np.int64), windows[mine].astype(np.int32), sizes)])
 
     def run(batches):
         parts, held = [], 0
@@ -256,22 +271,34 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
 def _owners(rule: Rule):
     """One shard: the first windows of each content, as ranges by document."""
 
-    def run(table: pa.Table) -> pa.Table:
-        got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
+    def ranges_of(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         content, docs, places, windows = (np.concatenate([g[i] for g in got]) for i in range(4))
         windows = windows.astype(np.int64)
         first = rule.first(content, windows, docs, places)
-        doc = np.repeat(docs, windows)
-        place = np.repeat(places, windows) + np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)
-        doc, place = doc[first], place[first]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
+        doc = np.repeat(docs, windows)[first]
+        place = (np.repeat(places, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))[first]
+        # runs stand in one piece, so neighbours in place are neighbours here
         new = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)] if len(doc) else np.empty(0, bool)
         at = np.flatnonzero(new)
-        ranges = np.empty(2 * len(at), np.int64)
-        ranges[::2], ranges[1::2] = place[at], np.diff(np.r_[at, len(place)])
-        cuts = _changes(doc[at])
-        return pa.table([pa.array(doc[at][cuts], pa.int64()), _binary(ranges, 2 * cuts)], ["id", "blob"])
+        return doc[at], place[at], np.diff(np.r_[at, len(place)])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: list[list[list[np.ndarray]]] = [[] for _ in range(rule.parts)]
+        for blob in table.column("blob").to_pylist():
+            content, docs, places, windows, sizes = unsqueeze(blob)
+            lengths = np.r_[0, np.cumsum(windows.astype(np.int64) + rule.window - 1)]
+            cuts = np.r_[0, np.cumsum(sizes)]
+            for k in range(rule.parts):
+                a, b = cuts[k], cuts[k + 1]
+                if b > a:
+                    parts[k].append([content[lengths[a] : lengths[b]], docs[a:b], places[a:b], windows[a:b]])
+        doc, place, count = (np.concatenate(x) for x in zip(*(ranges_of(p) for p in parts if p)))
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        ranges = np.empty(2 * len(order), np.int64)
+        ranges[::2], ranges[1::2] = place[order], count[order]
+        cuts = _changes(doc)
+        return pa.table([pa.array(doc[cuts], pa.int64()), _binary(ranges, 2 * cuts)], ["id", "blob"])
 
     return run
 

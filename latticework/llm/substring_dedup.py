@@ -66,7 +66,7 @@ def _words(text) -> np.ndarray:
     return word_hashes(data, *word_bounds(data))
 
 
-RULE = Rule("substring-dedup", WINDOW, 6, _words, lambda units: units, first_places, False, 2)
+RULE = Rule("substring-dedup", WINDOW, 6, _words, lambda units: units, first_places, False, 1, 2)
 
 
 def _finish(with_text: bool):

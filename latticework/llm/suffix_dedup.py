@@ -21,42 +21,40 @@ WINDOW = 50
 GRAM = 8
 
 
-def bucket_pointers(text: np.ndarray, depth: int, gram: int = GRAM) -> np.ndarray:
-    """For each place of a byte array the pointer of its bucket: places with one
-    pointer have equal ``depth`` bytes, and pointers follow the order of those
-    bytes. Places nearer to the end than ``depth`` get pointers without meaning."""
+def bucket_pointers(text: np.ndarray, left: np.ndarray, depth: int, gram: int = GRAM) -> np.ndarray:
+    """For each place of a byte array the pointer of its bucket. ``left``: bytes
+    from a place to the end of its run. Of the places with ``depth`` bytes left,
+    those with one pointer have equal ``depth`` bytes."""
     n = len(text)
-    padded = np.r_[text, np.zeros(depth + gram, np.uint8)].astype(np.uint64)
+    active = np.flatnonzero(left >= gram)
+    padded = np.r_[text, np.zeros(gram, np.uint8)].astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(gram):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    begin = _changes(key[order])
-    size = np.diff(np.r_[begin, n])
-    pointer = np.empty(n + depth, np.int64)
-    pointer[n:] = -1
-    pointer[order] = np.repeat(begin, size)
+    key = key[active]
+    order = np.argsort(key)
+    active, key = active[order], key[order]
+    begin = _changes(key)
+    size = np.diff(np.r_[begin, len(key)])
+    pointer = np.full(n + depth, -1, np.int64)
+    pointer[active] = np.repeat(begin, size)
     known = gram
     while known < depth:
         step = min(known, depth - known)
-        shared = np.repeat(size > 1, size)
-        active = order[shared]
+        # buckets of one suffix are settled; so are places too near their end
+        active = active[np.repeat(size > 1, size)]
+        active = active[left[active] >= known + step]
         if not len(active):
             break
-        now = pointer[active]
-        key = (now << np.int64(32)) + pointer[active + step] + 1
-        sub = np.argsort(key, kind="stable")
-        active, key, now = active[sub], key[sub], now[sub]
-        order[shared] = active  # the buckets are blocks of order, and keep their places
+        key = (pointer[active] << np.int64(32)) + pointer[active + step]
+        order = np.argsort(key)
+        active, key = active[order], key[order]
         begin = _changes(key)
-        size_now = np.diff(np.r_[begin, len(key)])
+        size = np.diff(np.r_[begin, len(key)])
         # the pointer of a part: its bucket's pointer and what sorts before it inside
-        inside = begin - np.searchsorted(now, now[begin], side="left")
-        fresh = pointer.copy()
-        fresh[active] = np.repeat(now[begin] + inside, size_now)
-        pointer = fresh
-        at = _changes(pointer[order])
-        size = np.diff(np.r_[at, n])
+        bucket = key[begin] >> np.int64(32)
+        first = np.repeat(begin[_changes(bucket)], np.diff(np.r_[_changes(bucket), len(bucket)]))
+        pointer[active] = np.repeat(bucket + begin - first, size)
         known += step
     return pointer[:n]
 
@@ -66,7 +64,8 @@ def first_documents(content, windows, docs, places) -> np.ndarray:
     lengths = windows + WINDOW - 1
     begins = np.cumsum(lengths) - lengths
     spots = np.repeat(begins, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    bucket = bucket_pointers(content, WINDOW)[spots]
+    left = np.repeat(begins + lengths, lengths) - np.arange(len(content))
+    bucket = bucket_pointers(content, left, WINDOW)[spots]
     doc = np.repeat(docs, windows)
     least = np.full(len(content), NO_ID, np.int64)
     np.minimum.at(least, bucket, doc)
@@ -77,7 +76,7 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer(text, np.uint8)
 
 
-RULE = Rule("suffix-dedup", WINDOW, 20, _bytes, lambda units: BYTE_CODES[units], first_documents, True, 8)
+RULE = Rule("suffix-dedup", WINDOW, 20, _bytes, lambda units: BYTE_CODES[units], first_documents, True, 2, 8)
 
 
 def _finish(with_text: bool):

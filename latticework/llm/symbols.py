@@ -54,16 +54,15 @@ def gram_hashes(symbols: np.ndarray, q: int) -> np.ndarray:
 
 
 def leftmost_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """For every window of w values the place of its smallest, the leftmost on ties."""
-    at, width = np.arange(len(h), dtype=np.int32), 1
-    best = h
+    """For every window of w values the place of its smallest by the upper 32
+    bits, the leftmost on ties: minima of numbers that hold a value and its place."""
+    best = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    width = 1
     while width < w:
         step = min(width, w - width)
-        later = best[step:] < best[: len(best) - step]
-        at = np.where(later, at[step:], at[: len(at) - step])
         best = np.minimum(best[step:], best[: len(best) - step])
         width += step
-    return at
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
