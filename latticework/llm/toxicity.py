@@ -15,6 +15,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,11 +30,15 @@ MOST_TRAINING = 6_000
 #: Words on either side of a hit that are its context.
 WINDOW = 8
 STEM = range(4, 9)
+FOLDS = 4
 OPEN, CLOSE = "\"“”«»„‘‹›", "\"“”«»‘’‹›"
 EDGE = "".join(chr(c) for c in range(33, 48)) + ":;<=>?[\\]^_`{|}~" + "“”«»„‘’‹›…–—¡¿"
-#: Trust in a kind of hit before it has been seen, and the weight of that trust in documents.
+#: Trust in a kind of hit before it has been seen, by edits, and the weight of that trust in documents.
 PRIOR, PRIOR_WEIGHT = {0: 0.9, 1: 0.75, 2: 0.6}, 2.0
-QUOTED, QUOTED_WEIGHT = 0.3, 2.0
+#: Weights before labels are seen: constant, best plain hit, entries, places, near spellings, quotations.
+START = np.array([-4.0, 3.0, 1.5, 0.5, 8.0, 1.0])
+#: Texts that START counts as. Few labelled texts misspell or quote, so there it counts more.
+HOLD = np.array([2.0, 2.0, 2.0, 2.0, 100.0, 100.0])
 
 
 def budget(word: str, stem: bool) -> int:
@@ -158,68 +163,114 @@ class _Cache(dict):
 class Lexicon:
     entries: list[tuple[str, bool]]
     trust: dict[tuple[int, int], float] = field(default_factory=dict)
-    quote_trust: float = QUOTED
-    base: float = 0.02
+    weights: np.ndarray = field(default_factory=lambda: START.copy())
 
-    def hits(self, text: str, cache: _Cache) -> dict[tuple[int, int], bool]:
-        """(edits, entry) found in a text, and whether it is only ever quoted."""
+    def hits(self, text: str, cache: _Cache) -> dict[tuple[int, int], list[int]]:
+        """(edits, entry) found in a text, with the number of plain and of quoted places."""
         words, out = tokens(text), {}
         for i, w in enumerate(words):
             if (hit := cache[w]) is not None:
-                out[hit] = out.get(hit, True) and quoted(words, i)
+                out.setdefault(hit, [0, 0])[quoted(words, i)] += 1
         return out
 
-    def score(self, hits: dict[tuple[int, int], bool]) -> float:
-        clean = 1 - self.base
-        for hit, only_quoted in hits.items():
-            p = self.trust.get(hit, PRIOR[hit[0]])
-            if p >= 0.5:
-                clean *= 1 - p * (self.quote_trust if only_quoted else 1.0)
-        return 1 - clean
+    def evidence(self, hits: dict[tuple[int, int], list[int]]) -> np.ndarray:
+        """What the score weighs: the most trusted plain hit, how many trusted
+        entries and places, near spellings, and hits that are only quoted."""
+        best = entries = places = near = quotes = 0.0
+        for (e, k), (plain, only) in hits.items():
+            p = self.trust.get((e, k), PRIOR[e])
+            if p < (0.7 if e and (e, k) in self.trust else 0.5):
+                continue
+            if not plain:
+                quotes += p
+            elif e:
+                near += p
+            else:
+                best, entries, places = max(best, min(1.5, math.log(p / (1 - p)) / 3)), entries + 1, places + plain
+        return np.array([1.0, best, math.log1p(entries), math.log1p(places), math.log1p(near), math.log1p(quotes)])
+
+    def score(self, hits: dict[tuple[int, int], list[int]]) -> float:
+        return float(1 / (1 + np.exp(-self.evidence(hits) @ self.weights)))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights, held near START where the texts say little. Only the
+    constant may turn negative, and quotation weighs less than use."""
+    w = START.copy()
+    rate = 1.0 / (np.mean((x * x).sum(axis=1)) * 0.25 + 1e-2)
+    for _ in range(3000):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= rate * (x.T @ (p - y) / len(x) + (w - START) * HOLD / len(x))
+        w[1:] = np.maximum(w[1:], 0)
+        w[5] = min(w[5], 0.5 * w[4])
+    return w
+
+
+def marks(text: str) -> set[tuple[str, bool]]:
+    """What a text could be recognised by: its words, and their beginnings as stems."""
+    out = set()
+    for w in set(tokens(text)):
+        w = w.strip(EDGE)
+        if len(w) >= 3:
+            out.add((w, False))
+            out.update((w[:k], True) for k in STEM if len(w) >= k)
+    return out
 
 
-def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """A lexicon from (text, label): the words and stems that mark label 1 more
-    often than chance would make any of the candidates do, and their trust."""
-    positive, negative = Counter(), Counter()
-    total = sum(y for _, y in rows)
-    for text, y in rows:
-        seen = set()
-        for w in set(tokens(text)):
-            w = w.strip(EDGE)
-            if len(w) >= 3:
-                seen.add((w, False))
-                seen.update((w[:k], True) for k in STEM if len(w) >= k)
-        (positive if y else negative).update(seen)
-    if not total:
-        return Lexicon([])
-    rate = total / len(rows)
+def select(positive: Counter, negative: Counter, total: int, rows: int) -> list[tuple[str, bool]]:
+    """The marks of label 1: those more frequent there than chance would make any
+    of the candidates. Of nested marks, the longest that loses nothing, then no
+    longer ones."""
+    if not total or total == rows:
+        return []
     common = [c for c, n in positive.items() if n >= 3]
-    bar = (math.log(max(2, len(common))) + 3) / max(0.1, -math.log(rate))
+    bar = (math.log(max(2, len(common))) + 3) / max(0.1, -math.log(total / rows))
     good = [c for c in common if positive[c] >= bar and positive[c] >= 0.9 * (positive[c] + negative[c])]
-    best = {c: positive[c] for c in good}
     kept: list[tuple[str, bool]] = []
-    for c in sorted(good, key=lambda c: (-best[c], -len(c[0]), c[1], c[0])):
+    for c in sorted(good, key=lambda c: (-positive[c], -len(c[0]), c[1], c[0])):
         word, stem = c
         if any(word.startswith(k) if s else word == k for k, s in kept):
             continue
-        if stem and any(k.startswith(word) and best[(k, s)] >= 0.95 * best[c] for k, s in kept):
+        if stem and any(k.startswith(word) and positive[(k, s)] >= 0.95 * positive[c] for k, s in kept):
             continue
         kept.append(c)
-    out = Lexicon(sorted(kept))
+    return sorted(kept)
+
+
+def learn(rows: list[tuple[str, int]]) -> Lexicon:
+    """A lexicon from (text, label). Trust in an entry comes from texts that
+    played no part in selecting it: each fold is searched with the entries that
+    the other folds select."""
+    counts = [[Counter(), Counter()] for _ in range(FOLDS)]
+    sizes = [[0, 0] for _ in range(FOLDS)]
+    for i, (text, y) in enumerate(rows):
+        counts[i % FOLDS][y].update(marks(text))
+        sizes[i % FOLDS][y] += 1
+    every = [sum((c[y] for c in counts), Counter()) for y in (0, 1)]
+    total = sum(s[1] for s in sizes)
+    out = Lexicon(select(every[1], every[0], total, len(rows)))
+    seen: dict = {}
+    held: list = []
+    for f in range(FOLDS):
+        rest = [every[y] - counts[f][y] for y in (0, 1)]
+        part = Lexicon(select(rest[1], rest[0], total - sizes[f][1], len(rows) - sum(sizes[f])))
+        cache = _Cache(Automaton(part.entries))
+        for text, y in rows[f::FOLDS]:
+            found = {(e, part.entries[k]): n for (e, k), n in part.hits(text, cache).items()}
+            held.append((found, y))
+            for (e, entry), (plain, _) in found.items():
+                if plain and e == 0:
+                    seen.setdefault((e, entry), [0, 0])[y] += 1
+    # near spellings had no part in the selection: all texts tell about them
     cache = _Cache(Automaton(out.entries))
-    yes, no, quotes, none = Counter(), Counter(), [0, 0], [0, 0]
     for text, y in rows:
-        found = out.hits(text, cache)
-        (yes if y else no).update(k for k, q in found.items() if not q)
-        if found and all(found.values()):
-            quotes[y] += 1
-        if not found:
-            none[y] += 1
-    for k in yes.keys() | no.keys():
-        out.trust[k] = (yes[k] + PRIOR_WEIGHT * PRIOR[k[0]]) / (yes[k] + no[k] + PRIOR_WEIGHT)
-    out.quote_trust = (quotes[1] + QUOTED_WEIGHT * QUOTED) / (sum(quotes) + QUOTED_WEIGHT)
-    out.base = min(0.4, (none[1] + 0.5) / (sum(none) + 1))
+        for (e, k), (plain, _) in out.hits(text, cache).items():
+            if plain and e:
+                seen.setdefault((e, out.entries[k]), [0, 0])[y] += 1
+    trust = {key: (yes + PRIOR_WEIGHT * PRIOR[key[0]]) / (yes + no + PRIOR_WEIGHT) for key, (no, yes) in seen.items()}
+    out.trust = {(e, k): trust[(e, entry)] for k, entry in enumerate(out.entries) for e in PRIOR if (e, entry) in trust}
+    named = Lexicon([], trust)
+    out.weights = calibrate(np.array([named.evidence(h) for h, _ in held]), np.array([y for _, y in held], float))
     return out
 
 
@@ -229,7 +280,7 @@ def _scored(lexicon: Lexicon):
         for batch in batches:
             hits = [lexicon.hits(text, cache) for (text,) in _texts(batch, "_text")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([lexicon.score(h) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([sum(h.values()) for h in hits], pa.int64())],
+                [*batch.columns[:-1], pa.array([lexicon.score(h) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int64()), pa.array([sum(not plain for plain, _ in h.values()) for h in hits], pa.int64())],
                 [*batch.schema.names[:-1], "score", "n_terms", "n_quoted"],
             )
 
