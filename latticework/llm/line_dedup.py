@@ -100,23 +100,35 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
 
-def _kept(batches):
-    for batch in batches:
-        rows = []
-        for doc, text, keep in _texts(batch, "id", "text", "keep"):
-            keep = set(keep or ())
-            lines = text.split("\n")
-            blank = [not normal(x) for x in lines]
-            kept = "\n".join(x for i, x in enumerate(lines) if blank[i] or i in keep)
-            n = len(lines) - sum(blank)
-            rows.append((None if doc == NO_ID else doc, n, n - sum(i in keep and not b for i, b in enumerate(blank)), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-        out = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"])
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept (the remaining text), kept_sha256 for every row.
+def _kept(text_col: str, passing: list[str]):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, text, keep in _texts(batch, "_id", "_text", "_keep"):
+                keep = set(keep or ())
+                lines = text.split("\n")
+                blank = [not normal(x) for x in lines]
+                kept = "\n".join(x for i, x in enumerate(lines) if blank[i] or i in keep)
+                n = len(lines) - sum(blank)
+                rows.append((None if doc == NO_ID else doc, n, n - sum(i in keep and not b for i, b in enumerate(blank)), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
+            out = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            made = dict(zip(MADE, (pa.array(x, k) for x, k in zip(out, kinds))))
+            if passing:
+                yield pa.RecordBatch.from_arrays([made["kept"].cast(batch.column(c).type) if c == text_col else batch.column(c) for c in passing], passing)
+            else:
+                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+    return run
+
+
+MADE = ("doc_id", "n_lines", "n_removed", "kept", "kept_sha256")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, passing: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept (the remaining text), kept_sha256 for every
+    row; or, with ``passing``, these columns of ``docs`` with the remaining text in
+    its column.
 
     Lines end at \\n and are compared in lower case with white space runs as one
     space; blank lines are no lines and stay. Two lines are linked if the Jaccard
@@ -145,4 +157,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = nodes.select("id", "doc", "place").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root"))
     first = groups.agg(F.min(F.struct("doc", "place")).alias("first")).select("first.*")
     keep = scratch.keep(first.groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("keep")))
-    return source.join(keep, "id", "left").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string")
+    keep = keep.withColumnsRenamed({"id": "_id", "keep": "_keep"})
+    wide = docs if passing else docs.select(F.col(id_col), F.col(text_col))
+    wide = wide.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    wide = wide.select(*([c for c in passing if c != text_col] if passing else []), "_id", "_text", *([F.lit("").alias(text_col)] if passing else [])).join(keep, "_id", "left")
+    schema = docs.select(*passing).schema if passing else "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string"
+    return wide.mapInArrow(_kept(text_col, passing or []), schema)
