@@ -6,7 +6,9 @@ k hash evaluations. A band is the minima and maxima of two permutations.
 
 Candidates are taken without listing the pairs of a bucket: each member is
 first compared with the bucket's smallest member, and only members that ended in
-different components are compared with one another.
+different components are compared with one another. Among those, elements that
+a single set has bound every overlap from above: a copy with too many edits of
+its own is ruled out against all others at once, and no pair of it is formed.
 """
 
 from __future__ import annotations
@@ -97,6 +99,14 @@ def _verified(percent: int):
     return run
 
 
+def _elements(batches):
+    for batch in batches:
+        ids, sets = batch.column("id"), batch.column("set")
+        for i in range(batch.num_rows):
+            x = unpack_set(sets[i].as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), ids[i].as_py()), pa.int64()), pa.array(x.view(np.int64))], ["id", "element"])
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have that Jaccard similarity at least."""
     x = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
@@ -142,10 +152,18 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     place = place.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     place = scratch.keep(place)
     mixed = place.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    place = place.join(mixed, "key")
-    p = place.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r"))
-    q = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
-    pairs = p.join(q, "key").filter(f"r < s and {fits}").select("a", "b").distinct()
+    place = scratch.keep(place.drop("n").join(mixed, "key"))
+    # elements that only one of these sets has are in no overlap; the others bound it
+    left = scratch.keep(sets.join(place.select("id").distinct(), "id"))
+    single = left.mapInArrow(_elements, "id long, element long").groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id"))
+    single = single.filter("sets = 1").groupBy("id").agg(F.count("*").alias("own"))
+    sizes = left.select("id", (F.octet_length("set") / 6).cast("long").alias("n")).join(single, "id", "left")
+    sizes = scratch.keep(sizes.select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
+    place = place.join(sizes, "id").filter(f"100 * most >= {percent} * n")
+    p = place.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r"), F.col("most").alias("x"))
+    q = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"), F.col("most").alias("y"))
+    able = f"100 * least(x, y) >= {percent} * (n + m - least(x, y))"
+    pairs = p.join(q, "key").filter(f"r < s and {able}").select("a", "b").distinct()
     tested = votes.select("a", "b")
     pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     links = links.unionByName(scratch.keep(verify(pairs, sets, percent)))
