@@ -66,7 +66,7 @@ class Rule:
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(x for a in arrays for x in (a.nbytes, ord(a.dtype.char)))], np.int64)
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.nbytes, ord(a.dtype.char) + 256 * a.dtype.itemsize))], np.int64)
     return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
@@ -75,7 +75,7 @@ def unsqueeze(blob: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, np.int64, 1)[0])
     head, at, out = np.frombuffer(data, np.int64, 2 * n, 8), 8 + 16 * n, []
     for size, kind in zip(head[::2], head[1::2]):
-        dtype = np.dtype(chr(kind))
+        dtype = np.dtype(f"V{kind // 256}" if kind % 256 == ord("V") else chr(kind % 256))
         out.append(np.frombuffer(data, dtype, int(size) // dtype.itemsize, at))
         at += int(size)
     return out
@@ -118,8 +118,29 @@ def _binary(parts: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
 
 
-def _asked(rule: Rule, shards: int):
-    """Per task: each anchor once, packed by shard; and, by document, the anchors that recur in the task itself."""
+def by_bucket(ids: np.ndarray, values: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """(id, value) rows packed for each bucket of ids."""
+    bucket = (mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((ids, bucket))
+    bucket, ids, values = bucket[order], ids[order], values[order]
+    cuts = np.r_[_changes(bucket), len(bucket)]
+    pieces = [(int(bucket[a]), squeeze(np.diff(ids[a:b], prepend=0), values[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [k for k, _ in pieces], [x for _, x in pieces]
+
+
+def _by_id(table: pa.Table) -> pa.Table:
+    """One bucket: the packed rows of each id as one binary value."""
+    got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
+    ids = np.concatenate([np.cumsum(g[0]) for g in got])
+    values = np.concatenate([g[1] for g in got])
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    cuts = _changes(ids)
+    return pa.table([pa.array(ids[cuts], pa.int64()), _binary(values, cuts)], ["id", "blob"])
+
+
+def _asked(rule: Rule, shards: int, buckets: int):
+    """Per task: each anchor once, packed by shard; and, by bucket of documents, the anchors that recur in the task itself."""
 
     def run(batches):
         ids, keys = [], []
@@ -144,12 +165,8 @@ def _asked(rule: Rule, shards: int):
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = order[a:b]
             yield _rows([int(shard[own[0]])], [None], [squeeze(np.diff(only[own], prepend=np.uint64(0)), asks[own], counts[own].astype(np.int32))])
-        keys, ids = keys[again], ids[again]
-        order = np.argsort(ids)
-        ids = ids[order]
-        cuts = _changes(ids)
-        if len(cuts):
-            yield _rows(np.full(len(cuts), -1), ids[cuts], _binary(short(keys[order]), cuts))
+        for bucket, blob in zip(*by_bucket(ids[again], short(keys[again]), buckets)):
+            yield _rows([-1], [bucket], [blob])
 
     return run
 
@@ -158,35 +175,33 @@ def _rows(shard, ids, blobs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), blobs if isinstance(blobs, pa.Array) else pa.array(blobs, pa.binary())], ["shard", "id", "blob"])
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """One shard: the anchors that occur twice or more, for the documents that asked; and their counts where large."""
-    keys, ids, counts = [], [], []
-    for blob in table.column("blob").to_pylist():
-        k, d, n = unsqueeze(blob)
-        keys.append(np.cumsum(k, dtype=np.uint64))
-        ids.append(d)
-        counts.append(n)
-    keys, ids, counts = np.concatenate(keys), np.concatenate(ids), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(keys)
-    keys, ids, counts = keys[order], ids[order], counts[order]
-    at = _changes(keys)
-    total = np.add.reduceat(counts, at)
-    seen = np.diff(np.r_[at, len(keys)])
-    ask = np.repeat(total > 1, seen) & (counts == 1)
-    many = total >= HOT_LEAST
-    hot_keys, hot_counts = keys[at][many], total[many]
-    keys, ids = keys[ask], ids[ask]
-    order = np.argsort(ids)
-    keys, ids = short(keys[order]), ids[order]
-    cuts = _changes(ids)
-    n = len(cuts)
-    rows = [
-        [*ids[cuts].tolist(), *([None] * len(hot_keys))],
-        [*([None] * n), *hot_keys.astype(np.int64).tolist()],
-        [*([None] * n), *hot_counts.tolist()],
-    ]
-    found = pa.concat_arrays([_binary(keys, cuts), pa.nulls(len(hot_keys), pa.binary())])
-    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), found], ["id", "hot_key", "hot_count", "blob"])
+def _answered(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One shard: the anchors that occur twice or more, for the documents that asked; and their counts where large."""
+        keys, ids, counts = [], [], []
+        for blob in table.column("blob").to_pylist():
+            k, d, n = unsqueeze(blob)
+            keys.append(np.cumsum(k, dtype=np.uint64))
+            ids.append(d)
+            counts.append(n)
+        keys, ids, counts = np.concatenate(keys), np.concatenate(ids), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(keys)
+        keys, ids, counts = keys[order], ids[order], counts[order]
+        at = _changes(keys)
+        total = np.add.reduceat(counts, at)
+        seen = np.diff(np.r_[at, len(keys)])
+        ask = np.repeat(total > 1, seen) & (counts == 1)
+        many = total >= HOT_LEAST
+        hot_keys, hot_counts = keys[at][many], total[many]
+        bucket, blobs = by_bucket(ids[ask], short(keys[ask]), buckets)
+        n, m = len(bucket), len(hot_keys)
+        rows = [
+            pa.array([*bucket, *([None] * m)], pa.int64()), pa.array([*([None] * n), *hot_keys.astype(np.int64).tolist()], pa.int64()),
+            pa.array([*([None] * n), *hot_counts.tolist()], pa.int64()), pa.array([*blobs, *([None] * m)], pa.binary()),
+        ]
+        return pa.table(rows, ["id", "hot_key", "hot_count", "blob"])
+
+    return run
 
 
 def _flagged(rule: Rule, text, flags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,6 +212,40 @@ def _flagged(rule: Rule, text, flags: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return units, at, key, member(short(key), known)
 
 
+def run_names(rule: Rule, content: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each run's units."""
+    wide = mix(rule.codes(content))
+    name = np.zeros(len(begins), np.uint64)
+    p = powers(BASE, max(int(lengths.max()), 1))
+    for lo in range(0, len(begins), 1 << 14):
+        hi = min(len(begins), lo + (1 << 14))
+        b, n = begins[lo:hi], lengths[lo:hi]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        name[lo:hi] = np.add.reduceat(wide[b[0] : b[0] + len(inside)] * p[inside], np.cumsum(n) - n)
+    return mix(name + lengths.astype(np.uint64))
+
+
+def first_owners(rule: Rule, name: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Of runs with one name, those that belong to the first owner."""
+    order = np.argsort(name)
+    begin = _changes(name[order])
+    count = np.diff(np.r_[begin, len(order)])
+    doc = docs[order]
+    mine = doc == np.repeat(np.minimum.reduceat(doc, begin), count)
+    if not rule.whole_document:  # only the first place of the first document
+        place = np.where(mine, places[order], NO_ID)
+        mine &= place == np.repeat(np.minimum.reduceat(place, begin), count)
+    out = np.empty(len(name), bool)
+    out[order] = mine
+    return out
+
+
+def take_runs(mine: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of the units of some runs."""
+    n = lengths[mine]
+    return np.repeat(begins[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _runs(rule: Rule, shards: int, hot: np.ndarray):
     """Per task: each distinct run content once, for its first owner, packed by shard."""
     w = rule.window
@@ -206,27 +255,8 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
         content, docs, places, windows, keys = (np.concatenate(x) for x in (content, docs, places, windows, keys))
         lengths = windows + w - 1
         begins = np.r_[0, np.cumsum(lengths)[:-1]]
-        # a run's name: a hash of its units
-        wide = mix(rule.codes(content))
-        name = np.zeros(len(docs), np.uint64)
-        top = int(lengths.max())
-        p = powers(BASE, top)
-        for lo in range(0, len(docs), 1 << 14):
-            hi = min(len(docs), lo + (1 << 14))
-            b, n = begins[lo:hi], lengths[lo:hi]
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            value = wide[b[0] : b[0] + len(inside)] * p[inside]
-            name[lo:hi] = np.add.reduceat(value, np.cumsum(n) - n)
-        name = mix(name + windows.astype(np.uint64))
-        order = np.argsort(name)
-        begin = _changes(name[order])
-        count = np.diff(np.r_[begin, len(order)])
-        doc = docs[order]
-        mine = doc == np.repeat(np.minimum.reduceat(doc, begin), count)
-        if not rule.whole_document:  # only the first place of the first document
-            place = np.where(mine, places[order], NO_ID)
-            mine &= place == np.repeat(np.minimum.reduceat(place, begin), count)
-        own = order[mine]
+        name = run_names(rule, content, begins, lengths)
+        own = np.flatnonzero(first_owners(rule, name, docs, places))
         single = member(keys, hot) & (windows == 1)
         key = np.where(single, name, keys)[own]
         part = (key % np.uint64(shards) * np.uint64(rule.parts) + key // np.uint64(shards) % np.uint64(rule.parts)).astype(np.int64)
@@ -236,8 +266,7 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
         cuts = np.r_[_changes(shard), len(own)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             mine = own[a:b]
-            n = lengths[mine]
-            spots = np.repeat(begins[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            spots = take_runs(mine, begins, lengths)
             sizes = np.bincount(part[a:b] % rule.parts, minlength=rule.parts)
             yield _rows([int(shard[a])], [None], [squeeze(content[spots], docs[mine], places[mine].astype(np.int64), windows[mine].astype(np.int32), sizes)])
 
@@ -268,12 +297,17 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
     return run
 
 
-def _owners(rule: Rule):
+def _owners(rule: Rule, buckets: int):
     """One shard: the first windows of each content, as ranges by document."""
 
     def ranges_of(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         content, docs, places, windows = (np.concatenate([g[i] for g in got]) for i in range(4))
         windows = windows.astype(np.int64)
+        # tasks have sent some runs each for its own first owner: one owner stays
+        lengths = windows + rule.window - 1
+        begins = np.cumsum(lengths) - lengths
+        own = np.flatnonzero(first_owners(rule, run_names(rule, content, begins, lengths), docs, places))
+        content, docs, places, windows = content[take_runs(own, begins, lengths)], docs[own], places[own], windows[own]
         first = rule.first(content, windows, docs, places)
         doc = np.repeat(docs, windows)[first]
         place = (np.repeat(places, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))[first]
@@ -293,12 +327,10 @@ def _owners(rule: Rule):
                 if b > a:
                     parts[k].append([content[lengths[a] : lengths[b]], docs[a:b], places[a:b], windows[a:b]])
         doc, place, count = (np.concatenate(x) for x in zip(*(ranges_of(p) for p in parts if p)))
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        ranges = np.empty(2 * len(order), np.int64)
-        ranges[::2], ranges[1::2] = place[order], count[order]
-        cuts = _changes(doc)
-        return pa.table([pa.array(doc[cuts], pa.int64()), _binary(ranges, 2 * cuts)], ["id", "blob"])
+        span = np.empty(len(doc), np.dtype([("place", np.int64), ("count", np.int64)]))
+        span["place"], span["count"] = place, count
+        bucket, blobs = by_bucket(doc, span.view("V16"), buckets)
+        return pa.table([pa.array(bucket, pa.int64()), pa.array(blobs, pa.binary())], ["id", "blob"])
 
     return run
 
@@ -332,19 +364,21 @@ def drop_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str, id_
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"),
     )
-    asked = scratch.keep(source.mapInArrow(_asked(rule, shards), "shard int, id long, blob binary"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = scratch.keep(source.mapInArrow(_asked(rule, shards, buckets), "shard int, id long, blob binary"))
     answers = scratch.keep(
         asked.filter("shard >= 0").select("shard", "blob").groupBy("shard")
-        .applyInArrow(_answered, "id long, hot_key long, hot_count long, blob binary")
+        .applyInArrow(_answered(buckets), "id long, hot_key long, hot_count long, blob binary")
     )
     known = asked.filter("shard < 0").select("id", "blob").unionByName(answers.filter("hot_key is null").select("id", "blob"))
-    flags = scratch.keep(known.groupBy("id").agg(F.collect_list("blob").alias("flags")))
+    flags = scratch.keep(known.groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("flags")))
+    scratch.drop(asked)
     # at most HOT_KEYS keys reach their share of all occurrences
     total = answers.agg(F.sum("hot_count")).collect()[0][0] or 0
     least = max(HOT_LEAST, total // HOT_KEYS)
     hot = np.sort(np.array([r[0] for r in answers.filter(F.col("hot_count") >= least).select("hot_key").collect()], np.uint64))
     runs = source.join(flags, "id").mapInArrow(_runs(rule, shards, hot), "shard int, id long, blob binary")
-    owned = scratch.keep(runs.select("shard", "blob").groupBy("shard").applyInArrow(_owners(rule), "id long, blob binary"))
-    owned = owned.groupBy("id").agg(F.collect_list("blob").alias("owned"))
+    owned = scratch.keep(runs.select("shard", "blob").groupBy("shard").applyInArrow(_owners(rule, buckets), "id long, blob binary"))
+    owned = owned.groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("owned"))
     ready = source.join(flags, "id", "left").join(owned, "id", "left")
     return ready.mapInArrow(finish, schema)
