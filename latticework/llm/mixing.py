@@ -103,7 +103,7 @@ def fit_rates(members: DataFrame, weights=WEIGHTS, budget: float | None = None,
     return rate_after(posterior, residuals, step, ridge, most)
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True) -> DataFrame:
     """``docs`` with tokens, posterior (by DOMAINS), rate and copies for every row.
 
     copies is the rate, rounded up with the probability of its fraction by a hash
@@ -116,9 +116,9 @@ def mixed(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, text_col: str = "
     docs = docs.drop("tokens", "posterior", "rate", "copies")
     rows = training_rows(docs, labels, domain_label(), id_col, text_col)
     model = Softmax.fit(features([t for t, _ in rows]), np.array([y for _, y in rows], np.int64), len(DOMAINS))
-    members = scratch.keep(with_posterior(docs.select(F.col(text_col)), model, text_col).select("_tokens", "_posterior"))
-    rate = fit_rates(members, weights)
-    out = with_posterior(docs, model, text_col).withColumn("rate", rate)
+    members = with_posterior(docs, model, text_col)
+    members = scratch.keep(members if with_text else members.drop(text_col))
+    out = members.withColumn("rate", fit_rates(members.select("_tokens", "_posterior"), weights))
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     return out.withColumn("copies", copies).withColumnsRenamed({"_tokens": "tokens", "_posterior": "posterior"})

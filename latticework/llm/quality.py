@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .repeats import _texts
-from .scratch import ship
+from .scratch import Scratch, ship
 from .textclass import MOST_TRAINING, Softmax, features, training_rows
 
 #: Documents are kept from this posterior on.
@@ -90,7 +90,7 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_posterior(docs: DataFrame, labels: DataFrame, site: Site | None = None, text_col: str = "text") -> DataFrame:
+def with_posterior(docs: DataFrame, labels: DataFrame, site: Site | None = None, text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with _evidence, _prior and _score (the posterior that a text is good).
 
     Null and empty texts have only the evidence of the classifier's constant. A
@@ -100,25 +100,22 @@ def with_posterior(docs: DataFrame, labels: DataFrame, site: Site | None = None,
     broadcasts them only below its own size threshold and deals large sites out
     otherwise.
     """
-    from .scratch import Scratch
-
     site = site or default_site()
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels)
-    names = docs.select(site.host.alias("host"), site.path.alias("path"), F.col(text_col))
-    evidence = with_evidence(names, model, text_col).drop(text_col)
-    priors = scratch.keep(site_priors(evidence, Site(F.col("host"), F.col("path"))))
-    out = with_evidence(docs, model, text_col)
-    out = out.withColumn("_host", F.coalesce(site.host, F.lit(""))).withColumn("_path", F.coalesce(site.path, F.lit("")))
+    named = docs.withColumn("_host", F.coalesce(site.host, F.lit(""))).withColumn("_path", F.coalesce(site.path, F.lit("")))
+    scored = with_evidence(named, model, text_col)
+    scored = scratch.keep(scored.drop(*([] if with_text else [text_col])))
+    priors = scratch.keep(site_priors(scored, Site(F.col("_host"), F.col("_path"))))
     priors = priors.withColumnsRenamed({"host": "_host", "path": "_path", "prior": "_prior", "centre": "_centre"})
-    out = out.join(priors, ["_host", "_path"], "left")
+    out = scored.join(priors, ["_host", "_path"], "left")
     z = _logit(F.col("_p")) + _logit(F.coalesce("_prior", F.lit(0.5))) - _logit(F.coalesce("_centre", F.lit(0.5)))
     return out.withColumn("_score", 1 / (1 + F.exp(-z))).withColumnRenamed("_p", "_evidence").drop("_host", "_path", "_centre")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, site: Site | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, evidence, prior, score, kept for every row."""
-    scored = with_posterior(docs, labels, site)
+    scored = with_posterior(docs, labels, site, with_text=False)
     return scored.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_prior").alias("prior"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept"))
 
 

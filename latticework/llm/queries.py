@@ -64,7 +64,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
-    return mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "tokens", "posterior", "rate", "copies")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixed(docs, _table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "tokens", "posterior", "rate", "copies")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

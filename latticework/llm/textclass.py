@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .symbols import SPACES, mix, word_bounds, word_hashes
+from .symbols import mix, word_bounds, word_hashes
 
 #: Hashed word features.
 BUCKETS = 2048
@@ -13,7 +13,9 @@ BUCKETS = 2048
 STYLE = 256 + 8
 WIDTH = BUCKETS + STYLE + 1
 #: The most labelled rows that a classifier is fitted on, those with the smallest hash of their id.
-MOST_TRAINING = 6_000
+MOST_TRAINING = 4_000
+#: Bytes hashed at once.
+AT_ONCE = 1 << 18
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -24,41 +26,50 @@ def features(texts: list) -> np.ndarray:
     """One row for each text (UTF-8 bytes). A text without words has only the constant."""
     out = np.zeros((len(texts), WIDTH), np.float32)
     out[:, -1] = 1
-    for i, text in enumerate(texts):
-        data = np.frombuffer(text, np.uint8)
-        starts, ends = word_bounds(data)
-        n = len(starts)
-        if not n:
-            continue
-        hashes = word_hashes(LOWER[data], starts, ends)
-        out[i, :BUCKETS] = np.sqrt(np.bincount((hashes >> np.uint64(50)).astype(np.int64) % BUCKETS, minlength=BUCKETS) / n)
-        bytes_ = np.bincount(data, minlength=256)
-        out[i, BUCKETS : BUCKETS + 256] = np.sqrt(bytes_ / len(data))
-        lines = text_lines(data)
-        kinds = LETTER[data]
-        upper = int(bytes_[65:91].sum())
-        letters = max(1, int(kinds.sum()))
-        inside = np.add.reduceat(kinds, starts)
-        out[i, BUCKETS + 256 : -1] = (
-            upper / letters,
-            letters / len(data),
-            float(np.mean(inside == 0)),
-            float(np.mean(inside == ends - starts)),
-            len(np.unique(hashes)) / n,
-            len(np.unique(lines)) / max(1, len(lines)),
-            min(1.0, np.log1p(n) / 10),
-            min(1.0, float(np.mean(ends - starts)) / 20),
-        )
+    at = 0
+    while at < len(texts):  # texts hashed together, separated by line ends
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) < AT_ONCE):
+            size += len(texts[stop]) + 1
+            stop += 1
+        _fill(out[at:stop], texts[at:stop])
+        at = stop
     return out
 
 
-def text_lines(data: np.ndarray) -> np.ndarray:
-    """A hash of each line that has more than white space."""
-    cuts = np.flatnonzero(data == 10)
-    starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(data)]
-    ink = np.r_[0, np.cumsum(~SPACES[data])]
-    full = ink[ends] > ink[starts]
-    return word_hashes(data, starts[full], ends[full])
+def _fill(out: np.ndarray, texts: list) -> None:
+    data = np.frombuffer(b"\n".join(bytes(t) for t in texts) + b"\n", np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    begins = np.cumsum(sizes) - sizes
+    starts, ends = word_bounds(data)
+    if not len(starts):
+        return
+    hashes = word_hashes(LOWER[data], starts, ends)
+    doc = np.searchsorted(begins, starts, "right") - 1
+    full, first, n = np.unique(doc, return_index=True, return_counts=True)
+    row = np.repeat(np.arange(len(full)), n)
+    slot = (hashes >> np.uint64(50)).astype(np.int64) % BUCKETS
+    out[full, :BUCKETS] = np.sqrt(np.bincount(row * BUCKETS + slot, minlength=len(full) * BUCKETS).reshape(-1, BUCKETS) / n[:, None])
+    kinds = LETTER[data]
+    letters_before = np.r_[0, np.cumsum(kinds)]
+    inside = letters_before[ends] - letters_before[starts]
+    by_text = lambda x: np.add.reduceat(x.astype(np.float64), first) / n
+    # a line by the sum of its word hashes
+    line = np.searchsorted(np.flatnonzero(data == 10), starts)
+    new = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    line_hash, line_row = np.add.reduceat(hashes, new), row[new]
+    for k, i in enumerate(full):
+        a, size = int(begins[i]), int(sizes[i]) - 1
+        counts = np.bincount(data[a : a + size], minlength=256)
+        out[i, BUCKETS : BUCKETS + 256] = np.sqrt(counts / size)
+        letters = max(1, int(letters_before[a + size] - letters_before[a]))
+        own = line_hash[np.searchsorted(line_row, k) : np.searchsorted(line_row, k, "right")]
+        words = hashes[first[k] : first[k] + n[k]]
+        out[i, BUCKETS + 256 : BUCKETS + 260] = (counts[65:91].sum() / letters, letters / size, len(np.unique(words)) / n[k], len(np.unique(own)) / len(own))
+    out[full, BUCKETS + 260] = by_text(inside == 0)
+    out[full, BUCKETS + 261] = by_text(inside == ends - starts)
+    out[full, BUCKETS + 262] = np.minimum(1, np.log1p(n) / 10)
+    out[full, BUCKETS + 263] = np.minimum(1, by_text(ends - starts) / 20)
 
 
 class Softmax:
@@ -68,7 +79,7 @@ class Softmax:
         self.weights = weights
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-5, steps: int = 800) -> Softmax:
+    def fit(cls, x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-5, steps: int = 400) -> Softmax:
         w = np.zeros((x.shape[1], classes), np.float64)
         if not len(x):
             return cls(w.astype(np.float32))
