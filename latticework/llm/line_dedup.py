@@ -9,15 +9,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .minhash import band_keys, linked, list_column, pack_set
+from .minhash import PACKED_SCHEMA, band_keys, linked, pack_set, packed_keys
 from .repeats import NO_ID, _texts
 from .scratch import Scratch
 from .symbols import gram_hashes, mix
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
-#: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 24 < 4e-6.
-BANDS = 24
+#: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 16 < 3e-4, one of 0.9 with less than 1e-7.
+BANDS = 16
 PERCENT = 80
 
 
@@ -46,44 +46,45 @@ def _elements(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines(batches):
-    """Per task: every line; signatures with the first of each content."""
-    seen: set[int] = set()
+    """Every line: doc, place, id of its content."""
     for batch in batches:
-        docs, places, ids, new = [], [], [], []
-        fresh: list[str] = []
+        docs, places, ids = [], [], []
+        for doc, text in _texts(batch, "id", "text"):
+            for place, line in enumerate(text.split("\n")):
+                if line := normal(line):
+                    docs.append(doc)
+                    places.append(place)
+                    ids.append(line_id(line))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, places, ids)], ["doc", "place", "id"])
 
-        def flush():
-            keys = np.empty((0, BANDS), np.uint64)
-            if fresh:
-                keys = band_keys(*_elements(fresh), BANDS)
-            at = np.array(new, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(ids, pa.int64()), list_column(keys).take(pa.array(at, mask=at < 0))],
-                ["doc", "place", "id", "bands"],
-            )
 
+def _keys(bands: int, shards: int):
+    """Band keys of each different line of a task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        ids: list[int] = []
+        keys: list[np.ndarray] = []
+        fresh: list[str] = []
         held = 0
-        for doc, text in _texts(batch, "id", "text"):
-            for place, line in enumerate(text.split("\n")):
-                line = normal(line)
-                if not line:
-                    continue
-                k = line_id(line)
-                docs.append(doc)
-                places.append(place)
-                ids.append(k)
-                if k in seen:
-                    new.append(-1)
-                else:
+        for batch in batches:
+            for (text,) in _texts(batch, "text"):
+                for line in text.split("\n"):
+                    if not (line := normal(line)) or (k := line_id(line)) in seen:
+                        continue
                     seen.add(k)
-                    new.append(len(fresh))
+                    ids.append(k)
                     fresh.append(line)
                     held += len(line)
-            if held > 1 << 20:
-                yield flush()
-                docs, places, ids, new, fresh, held = [], [], [], [], [], 0
-        if docs:
-            yield flush()
+                if held > 1 << 20:
+                    keys.append(band_keys(*_elements(fresh), bands))
+                    fresh, held = [], 0
+        if fresh:
+            keys.append(band_keys(*_elements(fresh), bands))
+        if ids:
+            yield from packed_keys(np.array(ids, np.int64), np.concatenate(keys), shards)
+
+    return run
 
 
 def _sets(batches):
@@ -144,16 +145,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    lines = scratch.keep(source.mapInArrow(_lines, "doc long, place long, id long, bands array<long>"))
-    owners = lines.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("owner"), F.first("bands", ignorenulls=True).alias("bands"))
-    nodes = scratch.keep(owners.select("id", "owner.doc", "owner.place", F.lit(None).cast("long").alias("n"), "bands"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = source.mapInArrow(_lines, "doc long, place long, id long")
+    owners = lines.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("owner"))
+    nodes = scratch.keep(owners.select("id", "owner.doc", "owner.place"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.select("id", "doc", "place").join(ids, "id")
         wanted = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("place", F.col("id").alias("line"))).alias("wanted"))
         return source.join(wanted, "id").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"])
 
-    roots = linked(nodes.select("id", "n", "bands"), sets_of, percent, scratch)
+    roots = linked(source.select("text").mapInArrow(_keys(BANDS, shards), PACKED_SCHEMA), sets_of, percent, scratch)
     groups = nodes.select("id", "doc", "place").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root"))
     first = groups.agg(F.min(F.struct("doc", "place")).alias("first")).select("first.*")
     keep = scratch.keep(first.groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("keep")))

@@ -5,7 +5,8 @@ the smallest and the largest image of a set, so a signature of 2k values costs
 k hash evaluations. A band is the minima and maxima of two permutations.
 
 Candidates are taken without listing the pairs of a bucket: each member is
-first compared with the bucket's smallest member, and only members that ended in
+first compared with the smallest member in its task, those with the smallest of
+all, and only members that ended in
 different components are compared with one another. Among those, elements that
 a single set has bound every overlap from above: a copy with too many edits of
 its own is ruled out against all others at once, and no pair of it is formed.
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .repeats import squeeze, unsqueeze
 from .scratch import Scratch
 from .symbols import BASE, member, mix
 
@@ -75,12 +77,6 @@ def unpack_set(blob) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def list_column(values: np.ndarray) -> pa.Array:
-    """A two-dimensional array of 64-bit keys as a list column."""
-    n, k = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.ravel().view(np.int64)))
-
-
 def _verified(percent: int):
     def run(batches):
         for batch in batches:
@@ -114,25 +110,77 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent), "a long, b long")
 
 
-def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
+    """Per task: the members of its buckets of several, and one member of each bucket, packed by shard."""
+    n, k = keys.shape
+    key = keys.ravel() >> np.uint64(16)
+    id_ = np.repeat(ids, k)
+    order = np.lexsort((id_, key))
+    key, id_ = key[order], id_[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[at, len(key)])
+    several = np.repeat(count > 1, count)
+    if several.any():
+        head = np.repeat(id_[at], count)
+        yield bucket_rows(key[several], id_[several], head[several])
+    key, id_ = key[at], id_[at]
+    shard = (key % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]), len(order)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = order[a:b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(shard[own[0]])], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([squeeze(np.diff(key[own], prepend=np.uint64(0)), id_[own])], pa.binary())],
+            PACKED,
+        )
+
+
+PACKED = ["shard", "key", "id", "head", "blob"]
+PACKED_SCHEMA = "shard int, key long, id long, head long, blob binary"
+
+
+def bucket_rows(key, id_, head) -> pa.RecordBatch:
+    n = len(key)
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(id_, pa.int64()), pa.array(head, pa.int64()), pa.nulls(n, pa.binary())], PACKED
+    )
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """One shard: the buckets that several tasks filled, one member from each task."""
+    got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
+    key = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+    id_ = np.concatenate([g[1] for g in got])
+    order = np.lexsort((id_, key))
+    key, id_ = key[order], id_[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])]  # tasks may send one item each
+    key, id_ = key[new], id_[new]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[at, len(key)])
+    several = np.repeat(count > 1, count)
+    head = np.repeat(id_[at], count)
+    return pa.table([pa.array(key[several].view(np.int64)), pa.array(id_[several], pa.int64()), pa.array(head[several], pa.int64())], ["key", "id", "head"])
+
+
+def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """(id, root) of every item that is linked with another.
 
-    ``items``: id, n (size of the set, or null) and bands (array of keys), one row
-    for each different set. ``sets_of(ids)`` gives (id, set) for the ids asked.
-    Two items are candidates if they share a key; a candidate is a link if its
-    full sets overlap enough.
+    ``packed``: what :func:`packed_keys` makes of the items' band keys in each
+    task; an item of several tasks counts once. Two items are candidates if they
+    share a key: a task joins its members of a bucket under its smallest, a shard
+    those of the tasks, so no bucket is gathered in one place.
+    ``sets_of(ids)`` gives (id, set) for the ids asked. A candidate is a link if
+    its full sets overlap enough.
     """
-    member_of = scratch.keep(items.select("id", "n", F.explode("bands").alias("key")))
-    heads = member_of.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).filter("size > 1")
-    heads = scratch.keep(heads.select("key", "size", F.col("head.id").alias("b"), F.col("head.n").alias("m")))
-    fits = f"(n is null or (100 * least(n, m) >= {percent} * greatest(n, m)))"
-    votes = member_of.join(heads, "key").filter(f"id <> b and {fits}").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("votes"))
-    votes = scratch.keep(votes)
+    packed = scratch.keep(packed)
+    met = packed.filter("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(_met, "key long, id long, head long")
+    met = met.unionByName(packed.filter("shard is null").select("key", "id", "head"))
+    met = scratch.keep(met)
+    scratch.drop(packed)
+    votes = scratch.keep(met.filter("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("votes")))
     best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
     best = scratch.keep(best)
-    # every bucket's members: those of a bucket of more than two may be compared with each other later
-    larger = member_of.join(heads.filter("size > 2").select("key"), "key").select("id")
-    asked = votes.select(F.col("a").alias("id")).unionByName(votes.select(F.col("b").alias("id"))).unionByName(larger).distinct()
+    asked = met.select("id").distinct()
     sets = scratch.keep(sets_of(asked))
     links = scratch.keep(verify(best, sets, percent))
     roots = scratch.keep(components(links, scratch))
@@ -148,11 +196,9 @@ def linked(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     links = links.unionByName(more)
     roots = scratch.keep(components(links, scratch))
     # members of one bucket in different components
-    place = member_of.join(heads.filter("size > 2").select("key", F.col("b").alias("head")), "key").filter("id <> head")
-    place = place.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    place = scratch.keep(place)
+    place = met.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     mixed = place.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    place = scratch.keep(place.drop("n").join(mixed, "key"))
+    place = scratch.keep(place.join(mixed, "key").distinct())
     # elements that only one of these sets has are in no overlap; the others bound it
     left = scratch.keep(sets.join(place.select("id").distinct(), "id"))
     single = left.mapInArrow(_elements, "id long, element long").groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id"))

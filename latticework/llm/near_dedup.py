@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .minhash import band_keys, linked, list_column, pack_set
+from .components import components
+from .minhash import PACKED_SCHEMA, band_keys, linked, pack_set, packed_keys
 from .repeats import NO_ID, _texts
 from .scratch import Scratch
 from .symbols import BASE, mix, word_bounds, word_hashes
@@ -31,37 +32,58 @@ def shingle_set(text, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _signed(words: int, bands: int):
-    def flush(ids, sets):
-        n = np.array([len(s) for s in sets])
-        full = np.flatnonzero(n)
-        keys = np.empty((0, bands), np.uint64)
-        name = np.zeros((2, len(ids)), np.uint64)
-        if len(full):
-            elements = np.concatenate(sets)
-            begins = np.r_[0, np.cumsum(n[full])[:-1]]
-            keys = band_keys(elements, begins, bands)
-            name[0, full] = np.add.reduceat(mix(elements + np.uint64(1)), begins)
-            name[1, full] = np.add.reduceat(mix(elements ^ np.uint64(BASE)), begins)
-        at = np.full(len(ids), -1)
-        at[full] = np.arange(len(full))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)), list_column(keys).take(pa.array(at, mask=at < 0))],
-            ["id", "n", "name1", "name2", "bands"],
-        )
+def _named(words: int):
+    """id, n, name1, name2: size and name of each text's set."""
 
     def run(batches):
         for batch in batches:
-            ids, sets, held = [], [], 0
+            ids, n, one, two = [], [], [], []
             for doc, text in _texts(batch, "id", "bytes"):
+                s = shingle_set(text, words)
                 ids.append(doc)
-                sets.append(shingle_set(text, words))
-                held += len(sets[-1])
+                n.append(len(s))
+                one.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                two.append(int(mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n, one, two)], ["id", "n", "name1", "name2"])
+
+    return run
+
+
+def _keys(words: int, bands: int, shards: int):
+    """Band keys of each different set of a task, for the smallest id that has it."""
+
+    def run(batches):
+        owner: dict[tuple[int, int], int] = {}
+        keys: list[np.ndarray] = []
+        names: list[tuple[int, int]] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def sign():
+            n = np.array([len(s) for s in sets])
+            keys.append(band_keys(np.concatenate(sets), np.cumsum(n) - n, bands))
+            sets.clear()
+
+        for batch in batches:
+            for doc, text in _texts(batch, "id", "bytes"):
+                s = shingle_set(text, words)
+                if not len(s):
+                    continue
+                name = (int(mix(s + np.uint64(1)).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64)))
+                if name in owner:
+                    owner[name] = min(owner[name], doc)
+                    continue
+                owner[name] = doc
+                names.append(name)
+                sets.append(s)
+                held += len(s)
                 if held > 1 << 20:
-                    yield flush(ids, sets)
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield flush(ids, sets)
+                    sign()
+                    held = 0
+        if sets:
+            sign()
+        if names:
+            yield from packed_keys(np.array([owner[x] for x in names], np.int64), np.concatenate(keys), shards)
 
     return run
 
@@ -75,6 +97,14 @@ def _sets(words: int):
     return run
 
 
+def _of_groups(signed: DataFrame, groups: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, root) by the smallest id of each set. Tasks have named a set by their
+    own smallest id; such ids are links to the set's smallest."""
+    other = signed.join(roots.select("id"), "id", "left_semi").filter("n > 0").join(groups.withColumnRenamed("id", "least"), ["name1", "name2"])
+    same = other.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same), scratch)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -94,15 +124,15 @@ def near_duplicates(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"),
     )
-    signed = scratch.keep(source.mapInArrow(_signed(words, bands), "id long, n long, name1 long, name2 long, bands array<long>"))
-    some = signed.filter("n > 0")
-    groups = scratch.keep(some.groupBy("name1", "name2").agg(F.min(F.struct("id", "n", "bands")).alias("x")).select("name1", "name2", "x.*"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    signed = scratch.keep(source.mapInArrow(_named(words), "id long, n long, name1 long, name2 long"))
+    groups = scratch.keep(signed.filter("n > 0").groupBy("name1", "name2").agg(F.min("id").alias("id")))
     roots = linked(
-        groups.select("id", "n", "bands"),
+        source.mapInArrow(_keys(words, bands, shards), PACKED_SCHEMA),
         lambda ids: source.join(ids, "id").mapInArrow(_sets(words), "id long, set binary"),
         percent, scratch,
     )
-    found = groups.join(roots, "id", "left").select("name1", "name2", F.coalesce("root", "id").alias("root"))
+    found = groups.join(_of_groups(signed, groups, roots, scratch), "id", "left").select("name1", "name2", F.coalesce("root", "id").alias("root"))
     joined = signed.select("id", "n", "name1", "name2").join(found, ["name1", "name2"], "left")
     none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     root = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("root"))
