@@ -9,15 +9,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .minhash import PACKED_SCHEMA, band_keys, linked, pack_set, packed_keys
+from .minhash import PACKED_SCHEMA, TRIPLES, band_keys, linked, pack_set, packed_keys
 from .repeats import NO_ID, _texts
 from .scratch import Scratch
 from .symbols import gram_hashes, mix
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
-#: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 16 < 3e-4, one of 0.9 with less than 1e-7.
-BANDS = 16
+#: A pair of similarity 0.8 misses all 24 bands with a probability of about
+#: (1 - 0.8 ** 6) ** 24 < 7e-4, one of 0.85 with less than 2e-5, one of 0.9 with less than 1e-7.
+BANDS = TRIPLES
 PERCENT = 80
 
 
@@ -58,7 +59,7 @@ def _lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, places, ids)], ["doc", "place", "id"])
 
 
-def _keys(bands: int, shards: int):
+def _keys(bands: tuple, shards: int):
     """Band keys of each different line of a task."""
 
     def run(batches):
@@ -153,7 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.select("id", "doc", "place").join(ids, "id")
         wanted = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("place", F.col("id").alias("line"))).alias("wanted"))
-        return source.join(wanted, "id").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"])
+        return source.join(wanted, "id").mapInArrow(_sets, "id long, set binary")
 
     roots = linked(source.select("text").mapInArrow(_keys(BANDS, shards), PACKED_SCHEMA), sets_of, percent, scratch)
     groups = nodes.select("id", "doc", "place").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root"))

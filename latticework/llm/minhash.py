@@ -29,23 +29,23 @@ from .symbols import BASE, member, mix
 AT_ONCE = 1 << 17
 
 
-def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and offsets of the 2 * bands permutations."""
-    seeds = mix(np.arange(1, 4 * bands + 1, dtype=np.uint64) * np.uint64(BASE))
-    return seeds[: 2 * bands] | np.uint64(1), seeds[2 * bands :]
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and offsets of n permutations."""
+    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(BASE))
+    return seeds[:n] | np.uint64(1), seeds[n:]
 
 
-def min_max(elements: np.ndarray, begins: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minima and maxima, one row for each permutation, of the sets that begin at ``begins``."""
-    mult, add = permutations(bands)
-    low = np.empty((len(mult), len(begins)), np.uint64)
+def min_max(elements: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minima and maxima, one row for each of n permutations, of the sets that begin at ``begins``."""
+    mult, add = permutations(n)
+    low = np.empty((n, len(begins)), np.uint64)
     high = np.empty_like(low)
     at = 0
     while at < len(begins):
         stop = max(at + 1, int(np.searchsorted(begins, begins[at] + AT_ONCE)))
         end = int(begins[stop]) if stop < len(begins) else len(elements)
         part, cuts = elements[begins[at] : end], begins[at:stop] - begins[at]
-        for k in range(len(mult)):
+        for k in range(n):
             image = part * mult[k] + add[k]
             low[k, at:stop] = np.minimum.reduceat(image, cuts)
             high[k, at:stop] = np.maximum.reduceat(image, cuts)
@@ -53,14 +53,21 @@ def min_max(elements: np.ndarray, begins: np.ndarray, bands: int) -> tuple[np.nd
     return low, high
 
 
-def band_keys(elements: np.ndarray, begins: np.ndarray, bands: int) -> np.ndarray:
+#: The permutations of each band. PAIRS: disjoint pairs, bands of four values.
+#: TRIPLES: bands of six values that share permutations, for sets that have much
+#: in common by nature; no two bands share more than one.
+PAIRS = tuple((2 * j, 2 * j + 1) for j in range(32))
+TRIPLES = tuple((j, (j + 7) % 36, (j + 19) % 36) for j in range(24))
+
+
+def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple[tuple[int, ...], ...]) -> np.ndarray:
     """A 64-bit key for each set and band; no set is empty."""
-    low, high = min_max(elements, begins, bands)
-    out = np.empty((len(begins), bands), np.uint64)
-    for j in range(bands):
+    low, high = min_max(elements, begins, 1 + max(k for band in bands for k in band))
+    out = np.empty((len(begins), len(bands)), np.uint64)
+    for j, band in enumerate(bands):
         key = np.full(len(begins), np.uint64(j))
-        for row in (low[2 * j], high[2 * j], low[2 * j + 1], high[2 * j + 1]):
-            key = mix(key * np.uint64(BASE) + row)
+        for k in band:
+            key = mix(mix(key * np.uint64(BASE) + low[k]) * np.uint64(BASE) + high[k])
         out[:, j] = key
     return out
 
@@ -110,56 +117,44 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent), "a long, b long")
 
 
+PACKED_SCHEMA = "shard int, blob binary"
+
+
 def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
-    """Per task: the members of its buckets of several, and one member of each bucket, packed by shard."""
+    """Per task and shard of keys: one member of each bucket, and the other members of the task under it."""
     n, k = keys.shape
     key = keys.ravel() >> np.uint64(16)
     id_ = np.repeat(ids, k)
-    order = np.lexsort((id_, key))
+    order = np.lexsort((id_, key, key % np.uint64(shards)))
     key, id_ = key[order], id_[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.diff(np.r_[at, len(key)])
-    several = np.repeat(count > 1, count)
-    if several.any():
-        head = np.repeat(id_[at], count)
-        yield bucket_rows(key[several], id_[several], head[several])
-    key, id_ = key[at], id_[at]
+    new = np.r_[True, key[1:] != key[:-1]]
+    head = id_[np.flatnonzero(new)][np.cumsum(new) - 1]
     shard = (key % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0]), len(order)]
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(shard) != 0]), len(shard)]
     for a, b in zip(cuts[:-1], cuts[1:]):
-        own = order[a:b]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(shard[own[0]])], pa.int32()), *(pa.array([None], pa.int64()) for _ in range(3)), pa.array([squeeze(np.diff(key[own], prepend=np.uint64(0)), id_[own])], pa.binary())],
-            PACKED,
-        )
-
-
-PACKED = ["shard", "key", "id", "head", "blob"]
-PACKED_SCHEMA = "shard int, key long, id long, head long, blob binary"
-
-
-def bucket_rows(key, id_, head) -> pa.RecordBatch:
-    n = len(key)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(id_, pa.int64()), pa.array(head, pa.int64()), pa.nulls(n, pa.binary())], PACKED
-    )
+        first = np.flatnonzero(new[a:b]) + a
+        rest = np.flatnonzero(~new[a:b]) + a
+        blob = squeeze(np.diff(key[first], prepend=np.uint64(0)), id_[first], key[rest], id_[rest], head[rest])
+        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """One shard: the buckets that several tasks filled, one member from each task."""
+    """One shard: the members of buckets of several, each under the head of its
+    task, the heads under the smallest of them."""
     got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
     key = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
     id_ = np.concatenate([g[1] for g in got])
+    rest = [np.concatenate([g[k] for g in got]) for k in (2, 3, 4)]
     order = np.lexsort((id_, key))
     key, id_ = key[order], id_[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])]  # tasks may send one item each
     key, id_ = key[new], id_[new]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     count = np.diff(np.r_[at, len(key)])
-    several = np.repeat(count > 1, count)
+    several = np.repeat(count > 1, count) | np.isin(key, rest[0])
     head = np.repeat(id_[at], count)
-    return pa.table([pa.array(key[several].view(np.int64)), pa.array(id_[several], pa.int64()), pa.array(head[several], pa.int64())], ["key", "id", "head"])
+    columns = [np.concatenate([x[several], y]) for x, y in zip((key.view(np.int64), id_, head), (rest[0].view(np.int64), *rest[1:]))]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "id", "head"])
 
 
 def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
@@ -168,15 +163,11 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     ``packed``: what :func:`packed_keys` makes of the items' band keys in each
     task; an item of several tasks counts once. Two items are candidates if they
     share a key: a task joins its members of a bucket under its smallest, a shard
-    those of the tasks, so no bucket is gathered in one place.
+    those of the tasks, so no bucket's pairs are listed.
     ``sets_of(ids)`` gives (id, set) for the ids asked. A candidate is a link if
     its full sets overlap enough.
     """
-    packed = scratch.keep(packed)
-    met = packed.filter("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(_met, "key long, id long, head long")
-    met = met.unionByName(packed.filter("shard is null").select("key", "id", "head"))
-    met = scratch.keep(met)
-    scratch.drop(packed)
+    met = scratch.keep(packed.groupBy("shard").applyInArrow(_met, "key long, id long, head long"))
     votes = scratch.keep(met.filter("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("votes")))
     best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
     best = scratch.keep(best)

@@ -7,13 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .minhash import PACKED_SCHEMA, band_keys, linked, pack_set, packed_keys
+from .minhash import PACKED_SCHEMA, PAIRS, band_keys, linked, pack_set, packed_keys
 from .repeats import NO_ID, _texts
 from .scratch import Scratch
 from .symbols import BASE, mix, word_bounds, word_hashes
 
-#: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
-BANDS = 32
+#: A pair of similarity 0.8 misses all 32 bands with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
+BANDS = PAIRS
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -49,7 +49,7 @@ def _named(words: int):
     return run
 
 
-def _keys(words: int, bands: int, shards: int):
+def _keys(words: int, bands: tuple, shards: int):
     """Band keys of each different set of a task, for the smallest id that has it."""
 
     def run(batches):
@@ -106,7 +106,7 @@ def _of_groups(signed: DataFrame, groups: DataFrame, roots: DataFrame, scratch:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: tuple = BANDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
