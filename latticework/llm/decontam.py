@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .repeats import _texts
-from .symbols import gram_hashes, mix
+from .symbols import BASE, gram_hashes
 
 #: The edit budget as a share of an item's length.
 EDITS = 0.1
 GRAM = 8
+#: Bits of a gram's hash that the table of item grams is looked up by first.
+PREFIX = 20
 #: Items shorter than this must occur exactly, at word ends: an edit budget
 #: would let them match by chance.
 SHORT = 40
@@ -36,7 +38,7 @@ def normal(text: str | None) -> str:
 
 
 def _codes(text: str) -> np.ndarray:
-    return mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
 
 
 def within(pattern: np.ndarray, text: np.ndarray, budget: int) -> bool:
@@ -83,6 +85,9 @@ class Benchmark:
             self.grams, self.item, self.place = g[order], np.concatenate(item)[order], np.concatenate(place)[order]
         else:
             self.grams, self.item, self.place = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        # most grams of a text are no item's: a table of hash prefixes says so
+        self.maybe = np.zeros(1 << PREFIX, bool)
+        self.maybe[self.grams >> np.uint64(64 - PREFIX)] = True
 
     def found(self, text: str) -> list[int]:
         """The ids of the items that a normal text contains."""
@@ -91,11 +96,12 @@ class Benchmark:
         g = gram_hashes(codes, GRAM)
         if not len(g) or not len(self.grams):
             return sorted(hits)
-        lo = np.searchsorted(self.grams, g, "left")
-        n = np.searchsorted(self.grams, g, "right") - lo
+        spots = np.flatnonzero(self.maybe[g >> np.uint64(64 - PREFIX)])
+        lo = np.searchsorted(self.grams, g[spots], "left")
+        n = np.searchsorted(self.grams, g[spots], "right") - lo
         if not n.any():
             return sorted(hits)
-        at = np.repeat(np.arange(len(g)), n)
+        at = np.repeat(spots, n)
         entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         item, diagonal = self.item[entry], at - self.place[entry]
         # overlapping bands: each of width 4k + 1 begins 2k before the next
@@ -106,17 +112,18 @@ class Benchmark:
             band = (diagonal + shift) // half - step
             for_band.append(np.stack([item, band]))
         item2, band2 = np.concatenate(for_band, axis=1)
-        at2 = np.concatenate([at, at])
+        place2 = np.concatenate([self.place[entry], self.place[entry]])
         key = item2 * (np.int64(1) << 40) + band2 + 1
         order = np.argsort(key, kind="stable")
-        key, at2, item2, band2 = key[order], at2[order], item2[order], band2[order]
+        key, place2, item2, band2 = key[order], place2[order], item2[order], band2[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[cuts, len(key)])
         enough = size >= self.least[item2[cuts]]
         done: set[int] = set()
-        for c in cuts[enough]:
+        for c, n in zip(cuts[enough], size[enough]):
             i = int(item2[c])
-            if i in done:
+            # the lemma counts grams of the item, each once
+            if i in done or len(np.unique(place2[c : c + n])) < self.least[i]:
                 continue
             width = int(max(1, 2 * self.budget[i]))
             first = int(band2[c]) * width - int(self.size[i])  # smallest diagonal of the band
