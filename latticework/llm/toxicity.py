@@ -241,6 +241,8 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """A lexicon from (text, label). Trust in an entry comes from texts that
     played no part in selecting it: each fold is searched with the entries that
     the other folds select."""
+    if not rows:
+        return Lexicon([])
     counts = [[Counter(), Counter()] for _ in range(FOLDS)]
     sizes = [[0, 0] for _ in range(FOLDS)]
     for i, (text, y) in enumerate(rows):
