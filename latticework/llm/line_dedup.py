@@ -9,16 +9,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .minhash import PACKED_SCHEMA, TRIPLES, band_keys, linked, pack_set, packed_keys
+from .minhash import PACKED_SCHEMA, PAIRS, band_keys, linked, pack_set, packed_keys
 from .repeats import NO_ID, _texts
 from .scratch import Scratch
 from .symbols import gram_hashes, mix
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
-#: A pair of similarity 0.8 misses all 24 bands with a probability of about
-#: (1 - 0.8 ** 6) ** 24 < 7e-4, one of 0.85 with less than 2e-5, one of 0.9 with less than 1e-7.
-BANDS = TRIPLES
+#: Of 40,000 random pairs of similarity 0.8 none missed all 32 bands, neither
+#: with 100 shingles in both lines together nor with 50, 25, 10 or 5.
+BANDS = PAIRS
 PERCENT = 80
 
 

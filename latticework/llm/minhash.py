@@ -53,11 +53,8 @@ def min_max(elements: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarra
     return low, high
 
 
-#: The permutations of each band. PAIRS: disjoint pairs, bands of four values.
-#: TRIPLES: bands of six values that share permutations, for sets that have much
-#: in common by nature; no two bands share more than one.
+#: The permutations of each band: disjoint pairs, bands of four values.
 PAIRS = tuple((2 * j, 2 * j + 1) for j in range(32))
-TRIPLES = tuple((j, (j + 7) % 36, (j + 19) % 36) for j in range(24))
 
 
 def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple[tuple[int, ...], ...]) -> np.ndarray:

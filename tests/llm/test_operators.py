@@ -121,6 +121,14 @@ def test_lines(docs, texts, nothing):
     assert dedup_lines(nothing).count() == 0
 
 
+def test_short_lines_at_the_threshold(spark):
+    """Pairs of four shingles in five: similarity 0.8 exactly, in sets as small as they get."""
+    r = random.Random(5)
+    lines = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2000)})
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(x[:-1] for x in lines))], "doc_id long, text string")
+    assert by_id(dedup_lines(df), "n_lines", "n_removed") == {1: (len(lines), 0), 2: (len(lines), len(lines))}
+
+
 def test_decontamination(spark, docs, texts, nothing):
     r = random.Random(4)
     item = words(r, 40)
