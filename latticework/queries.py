@@ -135,7 +135,8 @@ register(
         for s in (["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"], ["l_orderkey"], ["l_partkey", "l_suppkey", "l_shipdate"])
     ),
 )
-register("fd_minimal_lineitem_hybrid", lambda spark, d: fd.discover_fds(table(spark, d, "lineitem"), method="hybrid", most=3))
+register("fd_minimal_lineitem_hybrid", lambda spark, d: fd.discover_fds(table(spark, d, "lineitem"), method="hybrid"))
+register("ucc_minimal_lineitem_hybrid", lambda spark, d: ucc.discover_uccs(table(spark, d, "lineitem"), method="hybrid"))
 
 for _lhs, _rhs in ((["o_custkey"], "o_orderpriority"), (["o_orderdate"], "o_orderstatus"), (["o_custkey", "o_orderstatus"], "o_totalprice")):
     register(

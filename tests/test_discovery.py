@@ -13,6 +13,7 @@ from latticework.operators.stats import column_overlap, interestingness, partiti
 from latticework.operators.ucc import discover_uccs
 from latticework.plans.encode import cluster_encoded, rank_encoded
 from latticework.plans.kernels import agree_sets, distinct_counts, evidence
+from latticework.queries import QUERIES
 from latticework.sources.sinks import union_of_results, write_result
 from latticework.sources.tables import attributes, part_of, read_table, sniff_types, typed_header
 
@@ -46,6 +47,13 @@ def test_sample_agree_sets_orders_and_evidence(sample):
     assert evidence_sets(sample, cols).agg({"pairs": "sum"}).collect()[0][0] == 20 * 19
 
 
+def test_lineitem_is_searched_whole(spark):
+    """The counts of FIXTURES.md, F3."""
+    for kind, n in (("fd", 429), ("ucc", 62)):
+        got = QUERIES[f"{kind}_minimal_lineitem_hybrid"](spark, "/root/testdata/sf0.001").collect()
+        assert (len(got), max(r[-1] for r in got)) == (n, 6)
+
+
 @pytest.mark.parametrize("method", ("evidence", "hybrid"))
 def test_sample_constraints(sample, method):
     assert discover_dcs(sample, id_col="index", method=method).count() == 17
