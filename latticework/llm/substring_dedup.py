@@ -1,9 +1,11 @@
 """Substring dedup of word windows with a compressed FM-index per shard.
 
 A shard concatenates its runs, indexes them (suffix order, Burrows-Wheeler
-transform, wavelet tree over packed bit vectors), and streams its runs' windows
-through backward search. A window whose interval holds one suffix is unmatched;
-for the others the interval gives every occurrence, and the first is kept.
+transform, wavelet tree over packed bit vectors). Windows are grouped by a 64-bit
+hash: one with a hash of its own is unmatched and not searched, since equal windows
+have equal hashes. One window of each other hash goes through backward search at
+the full window length; the interval gives every occurrence of its words, and the
+first is kept. No matching statistics are computed.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def first_places(content, windows, docs, places) -> np.ndarray:
     age[spots[order]] = np.arange(len(order))
     age = age[index.sa]
     first = np.ones(len(spots), bool)
-    # windows with one hash are searched once
+    # windows with one hash are searched once, those alone with theirs not at all
     name = gram_hashes(text.astype(np.uint64) + np.uint64(1), WINDOW)[spots]
     by_name = np.argsort(name, kind="stable")
     at = _changes(name[by_name])
