@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 # by path: the discovery tests have a module of this name too
 spec = importlib.util.spec_from_file_location("text_brute", Path(__file__).parent / "brute.py")
@@ -20,6 +21,7 @@ from latticework.llm.near_dedup import near_duplicates  # noqa: E402
 from latticework.llm.quality import quality_scores  # noqa: E402
 from latticework.llm.substring_dedup import substring_dedup  # noqa: E402
 from latticework.llm.suffix_dedup import bucket_pointers, suffix_dedup  # noqa: E402
+from latticework.llm.textclass import Softmax, features, training_rows  # noqa: E402
 from latticework.llm.toxicity import Automaton, learn, toxicity  # noqa: E402
 
 #: Columns whose names the operators use inside.
@@ -205,6 +207,14 @@ def test_quality(spark, nothing):
     assert quality_scores(nothing, labels).count() == 0
 
 
+def test_training_takes_six_thousand_rows_and_eight_hundred_steps(spark):
+    ids = spark.range(7000).withColumnRenamed("id", "doc_id")
+    rows = training_rows(ids.selectExpr("doc_id", "cast(doc_id as string) AS text"), ids.selectExpr("doc_id", "doc_id % 2 AS quality"), F.col("quality"))
+    assert len(rows) == 6000
+    x, y = features([t for t, _ in rows[:50]]), np.array([c for _, c in rows[:50]])
+    assert (Softmax.fit(x, y, 2).weights == Softmax.fit(x, y, 2, steps=800).weights).all()
+
+
 def test_mixing(spark, nothing):
     df, labels = labelled_docs(spark)
     rows = mixed(df, labels, weights=(0.8, 0.1, 0.1)).collect()
