@@ -22,8 +22,10 @@ def _star(edges: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for every node of ``links`` (a, b): root is the smallest node
-    reachable. Loops and repeated links are allowed. Each step is a written
-    table; the number of steps follows the logarithm of the longest chain."""
+    reachable, as a written table. Repeated links are allowed; of a loop its node
+    stays if it has no other link. Each step is a written table; the number of
+    steps follows the logarithm of the longest chain."""
+    loops = links.filter("a = b").select(F.col("a").alias("id"))
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.keep(edges)
     mark = None
@@ -35,4 +37,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = scratch.keep(_star(before))
         scratch.drop(before)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
+    alone = loops.distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("root"))
+    out = scratch.keep(found.unionByName(alone))
+    scratch.drop(edges)
+    return out

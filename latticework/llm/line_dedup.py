@@ -8,18 +8,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .minhash import PACKED_SCHEMA, PAIRS, band_keys, linked, pack_set, packed_keys
-from .repeats import NO_ID, _texts
-from .scratch import Scratch
+from .minhash import FIVE, PACKED_SCHEMA, SHARD_KEYS, band_keys, linked, packed_keys
+from .repeats import NO_ID, _changes, _texts, squeeze, take_runs, unsqueeze
+from .scratch import Scratch, shards_of, text_bytes
 from .symbols import gram_hashes, mix
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
-#: Of 40,000 random pairs of similarity 0.8 none missed all 32 bands, neither
-#: with 100 shingles in both lines together nor with 50, 25, 10 or 5.
-BANDS = PAIRS
+#: A pair of similarity s misses all 32 bands with probability (1 - s ** 5) ** 32:
+#: 3e-6 at 0.8. A test measures it.
+BANDS = FIVE
 PERCENT = 80
+#: Bytes of distinct lines that a task or a shard holds at once.
+HELD = 1 << 25
+#: Lines whose band keys a task sorts at once.
+KEYED = 1 << 17
 
 
 def normal(line: str) -> str:
@@ -27,104 +32,126 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_id(line: str) -> int:
-    """A signed 64-bit hash of a normal line."""
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
+def shingles(lines: list) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of non-empty lines (UTF-8), concatenated, and their numbers."""
+    raw = b"".join(bytes(x) for x in lines)
+    codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.cumsum([0, *(len(x) for x in lines)])
+    before = np.r_[0, np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]
+    sizes = np.diff(before[begins])
+    wide = np.maximum(sizes, SHINGLE)
+    starts = np.cumsum(wide) - wide
+    spread = np.full(int(wide.sum()), 10, np.uint64)  # short lines are filled up with line ends
+    spread[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(codes))] = codes
+    counts = wide - SHINGLE + 1
+    spots = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+    return gram_hashes(mix(spread + np.uint64(1)), SHINGLE)[spots], counts
+
+
+def _lines(shards: int):
+    """Every distinct line of a task, for its first place, packed by shard of its name."""
+
+    def flush(places: dict[bytes, tuple], texts: dict[bytes, bytes]):
+        names = np.frombuffer(b"".join(places), "V16")
+        shard = (names.view(np.uint64)[::2] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        held, at = list(texts.values()), np.array(list(places.values()), np.int64).reshape(-1, 2)
+        cuts = np.r_[_changes(shard[order]), len(order)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            mine = [held[i] for i in own]
+            sizes = np.array([len(x) for x in mine], np.int64)
+            blob = squeeze(names[own], at[own, 0], at[own, 1], sizes, np.frombuffer(b"".join(mine), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[own[0]])], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
+    def run(batches):
+        places: dict[bytes, tuple] = {}
+        texts: dict[bytes, bytes] = {}
+        held = 0
+        for batch in batches:
+            for doc, text in _texts(batch, "id", "text"):
+                for place, line in enumerate(text.lower().split("\n")):
+                    if not (line := " ".join(line.split()).encode("utf-8", "surrogatepass")):
+                        continue
+                    name = xxhash.xxh3_128_digest(line)
+                    known = places.get(name)
+                    if known is None:
+                        texts[name] = line
+                        held += len(line)
+                    if known is None or (doc, place) < known:
+                        places[name] = (doc, place)
+                if held > HELD:
+                    yield from flush(places, texts)
+                    places, texts, held = {}, {}, 0
+        if places:
+            yield from flush(places, texts)
 
-def _elements(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of non-empty lines, concatenated, and where each line's begin."""
-    sizes = np.array([len(x) for x in lines])
-    padded = "".join(x if len(x) >= SHINGLE else x + "\n" * (SHINGLE - len(x)) for x in lines)
-    codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    grams = gram_hashes(mix(codes + np.uint64(1)), SHINGLE)
-    sizes = np.maximum(sizes, SHINGLE)
-    begins = np.cumsum(sizes) - sizes
-    counts = sizes - SHINGLE + 1
-    starts = np.cumsum(counts) - counts
-    spots = np.repeat(begins - starts, counts) + np.arange(int(counts.sum()))
-    return grams[spots], starts
+    return run
 
 
-def _lines(batches):
-    """Every line: doc, place, id of its content."""
-    for batch in batches:
-        docs, places, ids = [], [], []
-        for doc, text in _texts(batch, "id", "text"):
-            for place, line in enumerate(text.split("\n")):
-                if line := normal(line):
-                    docs.append(doc)
-                    places.append(place)
-                    ids.append(line_id(line))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, places, ids)], ["doc", "place", "id"])
+def _nodes(table: pa.Table) -> pa.Table:
+    """One shard: each distinct line once, with a number of its own and its first place."""
+    got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
+    name, doc, place, sizes, text = (np.concatenate([g[k] for g in got]) for k in range(5))
+    begins = np.cumsum(sizes) - sizes
+    one, two = name.view(np.uint64)[::2], name.view(np.uint64)[1::2]
+    order = np.lexsort((place, doc, two, one))
+    new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+    own = order[new]
+    number = (int(table.column("shard")[0].as_py()) << 32) + np.arange(len(own))
+    cuts = np.r_[0, np.cumsum(sizes[own])]
+    if cuts[-1] > np.iinfo(np.int32).max or len(own) >= 1 << 32:
+        raise ValueError("a shard of lines is too large: more shards are needed")
+    lines = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(text[take_runs(own, begins, sizes)].tobytes())])
+    return pa.table([pa.array(number, pa.int64()), pa.array(doc[own], pa.int64()), pa.array(place[own], pa.int64()), lines], ["id", "doc", "place", "line"])
 
 
 def _keys(bands: tuple, shards: int):
-    """Band keys of each different line of a task."""
+    """Band keys of the lines of a task, which are distinct."""
 
     def run(batches):
-        seen: set[int] = set()
-        ids: list[int] = []
-        keys: list[np.ndarray] = []
-        fresh: list[str] = []
-        held = 0
+        ids, keys, held = [], [], 0
         for batch in batches:
-            for (text,) in _texts(batch, "text"):
-                for line in text.split("\n"):
-                    if not (line := normal(line)) or (k := line_id(line)) in seen:
-                        continue
-                    seen.add(k)
-                    ids.append(k)
-                    fresh.append(line)
-                    held += len(line)
-                if held > 1 << 20:
-                    keys.append(band_keys(*_elements(fresh), bands))
-                    fresh, held = [], 0
-        if fresh:
-            keys.append(band_keys(*_elements(fresh), bands))
+            lines = [x.as_buffer() for x in batch.column("line")]
+            if not lines:
+                continue
+            element, n = shingles(lines)
+            keys.append(band_keys(element, np.cumsum(n) - n, bands))
+            ids.append(batch.column("id").to_numpy())
+            held += len(lines)
+            if held >= KEYED:
+                yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
+                ids, keys, held = [], [], 0
         if ids:
-            yield from packed_keys(np.array(ids, np.int64), np.concatenate(keys), shards)
+            yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
 
     return run
 
 
-def _sets(batches):
-    for batch in batches:
-        ids, sets = [], []
-        for text, wanted in _texts(batch, "text", "wanted"):
-            lines = text.split("\n")
-            for x in wanted:
-                if x["place"] < len(lines):
-                    line = normal(lines[x["place"]])
-                    if line and line_id(line) == x["line"]:  # rows of one id may differ
-                        ids.append(x["line"])
-                        sets.append(pack_set(_elements([line])[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
-
-
-def _kept(text_col: str, passing: list[str]):
+def _kept(passing: bool):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, keep in _texts(batch, "_id", "_text", "_keep"):
+            for doc, text, keep in _texts(batch, "id", "text", "keep"):
                 keep = set(keep or ())
                 lines = text.split("\n")
-                blank = [not normal(x) for x in lines]
+                blank = [not x or x.isspace() for x in lines]
                 kept = "\n".join(x for i, x in enumerate(lines) if blank[i] or i in keep)
+                if passing:
+                    rows.append(kept)
+                    continue
                 n = len(lines) - sum(blank)
                 rows.append((None if doc == NO_ID else doc, n, n - sum(i in keep and not b for i, b in enumerate(blank)), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
-            out = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            made = dict(zip(MADE, (pa.array(x, k) for x, k in zip(out, kinds))))
             if passing:
-                yield pa.RecordBatch.from_arrays([made["kept"].cast(batch.column(c).type) if c == text_col else batch.column(c) for c in passing], passing)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(rows, pa.string())], ["row", "kept"])
             else:
-                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], MADE)
 
     return run
 
 
-MADE = ("doc_id", "n_lines", "n_removed", "kept", "kept_sha256")
+MADE = ["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, passing: list[str] | None = None) -> DataFrame:
@@ -142,27 +169,33 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    source = docs.select(
+    named = (
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = source.mapInArrow(_lines, "doc long, place long, id long")
-    owners = lines.groupBy("id").agg(F.min(F.struct("doc", "place")).alias("owner"))
-    nodes = scratch.keep(owners.select("id", "owner.doc", "owner.place"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.select("id", "doc", "place").join(ids, "id")
-        wanted = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("place", F.col("id").alias("line"))).alias("wanted"))
-        return source.join(wanted, "id").mapInArrow(_sets, "id long, set binary")
-
-    roots = linked(source.select("text").mapInArrow(_keys(BANDS, shards), PACKED_SCHEMA), sets_of, percent, scratch)
-    groups = nodes.select("id", "doc", "place").join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root"))
-    first = groups.agg(F.min(F.struct("doc", "place")).alias("first")).select("first.*")
-    keep = scratch.keep(first.groupBy(F.col("doc").alias("id")).agg(F.collect_list("place").alias("keep")))
-    keep = keep.withColumnsRenamed({"id": "_id", "keep": "_keep"})
-    wide = docs if passing else docs.select(F.col(id_col), F.col(text_col))
-    wide = wide.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    wide = wide.select(*([c for c in passing if c != text_col] if passing else []), "_id", "_text", *([F.lit("").alias(text_col)] if passing else [])).join(keep, "_id", "left")
-    schema = docs.select(*passing).schema if passing else "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string"
-    return wide.mapInArrow(_kept(text_col, passing or []), schema)
+    source = docs.select(*named)
+    shards = shards_of(spark, text_bytes(source, "text"), HELD)
+    sent = source.mapInArrow(_lines(shards), "shard int, blob binary").repartition(shards, "shard")
+    nodes = scratch.keep(sent.groupBy("shard").applyInArrow(_nodes, "id long, doc long, place long, line binary"))
+    shards = shards_of(spark, nodes.count() * len(BANDS), SHARD_KEYS)
+    roots = linked(
+        nodes.select("id", "line").mapInArrow(_keys(BANDS, shards), PACKED_SCHEMA),
+        lambda ids: nodes.select("id", F.col("line").alias("set")).join(ids, "id"),
+        percent, scratch, shards, shingles, 1,
+    )
+    place = nodes.select("id", "doc", "place")
+    alike = place.join(roots, "id")
+    first = alike.groupBy("root").agg(F.min(F.struct("doc", "place", "id")).alias("first")).select(F.col("first.id").alias("id"))
+    later = alike.select("id").join(first, "id", "left_anti")
+    keep = place.join(later, "id", "left_anti").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.col("place").cast("int")).alias("keep"))
+    keep = scratch.keep(keep)
+    scratch.drop(nodes, roots)
+    if passing is None:
+        return source.join(keep, "id", "left").mapInArrow(_kept(False), "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string")
+    # other columns travel as one value, so that their names cannot clash
+    others = [c for c in passing if c != text_col]
+    row = F.struct(F.lit(0).alias("f"), *[docs[c].alias(f"f{i}") for i, c in enumerate(others)]).alias("row")
+    wide = docs.select(*named, row)
+    out = wide.join(keep, "id", "left").mapInArrow(_kept(True), StructType([wide.schema["row"], StructField("kept", StringType())]))
+    kept = {c: F.col(f"row.f{i}") for i, c in enumerate(others)} | {text_col: F.col("kept").cast(docs.schema[text_col].dataType)}
+    return out.select(*[kept[c].alias(c) for c in passing])

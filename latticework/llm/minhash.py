@@ -2,14 +2,18 @@
 
 Both near-duplicate operators use this module. A permutation yields two values,
 the smallest and the largest image of a set, so a signature of 2k values costs
-k hash evaluations. A band is the minima and maxima of two permutations.
-
-Candidates are taken without listing the pairs of a bucket: each member is
-first compared with the smallest member in its task, those with the smallest of
-all, and only members that ended in
-different components are compared with one another. Among those, elements that
-a single set has bound every overlap from above: a copy with too many edits of
-its own is ruled out against all others at once, and no pair of it is formed.
+k hash evaluations. A band joins several of them; members of one bucket (equal
+bands) are candidates. No bucket's pairs are listed:
+
+1. Each task joins its members of a bucket under the smallest of them, and a
+   shard those of the tasks, so a bucket of any size is a star. The pairs of the
+   stars are verified on full sets and united.
+2. Buckets whose members still lie in several components are searched whole.
+   What such buckets connect is a family; a family's sets meet in one place, or,
+   if they are too large together, in pairs of blocks. A kernel counts the
+   overlaps of each member through an inverted index of the elements, leaves out
+   members whose own elements already rule out every link, and returns links that
+   join different components only: fewer than it has members.
 """
 
 from __future__ import annotations
@@ -22,183 +26,289 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .repeats import squeeze, unsqueeze
-from .scratch import Scratch
-from .symbols import BASE, member, mix
+from .scratch import Scratch, shards_of
+from .symbols import BASE, mix
 
 #: Elements hashed at once.
 AT_ONCE = 1 << 17
+#: Band keys that one shard sorts.
+SHARD_KEYS = 1 << 22
+#: Elements of sets that one task compares with one another.
+CELL = 1 << 22
+#: Elements of the pairs that are verified at once.
+VERIFIED = 1 << 21
+
+#: sets as sent -> (all their elements as 64-bit hashes, one set after another; number of elements of each)
+Elements = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and offsets of n permutations."""
-    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(BASE))
-    return seeds[:n] | np.uint64(1), seeds[n:]
+    """Multipliers and offsets of n permutations of the 32-bit numbers."""
+    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(BASE)) >> np.uint64(32)
+    return seeds[:n].astype(np.uint32) | np.uint32(1), seeds[n:].astype(np.uint32)
 
 
 def min_max(elements: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minima and maxima, one row for each of n permutations, of the sets that begin at ``begins``."""
+    """Minima and maxima, one row for each of n permutations, of the sets that begin
+    at ``begins``. Elements are permuted by their upper halves; two elements of one
+    half would count as one, and full sets are compared afterwards."""
     mult, add = permutations(n)
-    low = np.empty((n, len(begins)), np.uint64)
+    low = np.empty((n, len(begins)), np.uint32)
     high = np.empty_like(low)
+    ends = np.r_[begins[1:], len(elements)]
     at = 0
     while at < len(begins):
-        stop = max(at + 1, int(np.searchsorted(begins, begins[at] + AT_ONCE)))
-        end = int(begins[stop]) if stop < len(begins) else len(elements)
-        part, cuts = elements[begins[at] : end], begins[at:stop] - begins[at]
+        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + AT_ONCE, "right")))
+        part, cuts = (elements[begins[at] : ends[stop - 1]] >> np.uint64(32)).astype(np.uint32), begins[at:stop] - begins[at]
+        image = np.empty_like(part)
         for k in range(n):
-            image = part * mult[k] + add[k]
+            np.multiply(part, mult[k], out=image)
+            np.add(image, add[k], out=image)
             low[k, at:stop] = np.minimum.reduceat(image, cuts)
             high[k, at:stop] = np.maximum.reduceat(image, cuts)
         at = stop
     return low, high
 
 
-#: The permutations of each band: disjoint pairs, bands of four values.
-PAIRS = tuple((2 * j, 2 * j + 1) for j in range(32))
+#: A band of four: the minima and maxima of two permutations of its own.
+FOUR = tuple(((2 * j, "both"), (2 * j + 1, "both")) for j in range(32))
+#: A band of five: as before, and the minimum or the maximum of a permutation that
+#: two bands share, each with one side of it.
+FIVE = tuple(((2 * j, "both"), (2 * j + 1, "both"), (64 + j // 2, ("low", "high")[j % 2])) for j in range(32))
 
 
-def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple[tuple[int, ...], ...]) -> np.ndarray:
+def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple) -> np.ndarray:
     """A 64-bit key for each set and band; no set is empty."""
-    low, high = min_max(elements, begins, 1 + max(k for band in bands for k in band))
+    low, high = min_max(elements, begins, 1 + max(k for band in bands for k, _ in band))
     out = np.empty((len(begins), len(bands)), np.uint64)
     for j, band in enumerate(bands):
         key = np.full(len(begins), np.uint64(j))
-        for k in band:
-            key = mix(mix(key * np.uint64(BASE) + low[k]) * np.uint64(BASE) + high[k])
+        for k, side in band:
+            if side != "both":
+                key = mix(key * np.uint64(BASE) + (low if side == "low" else high)[k])
+            else:
+                key = mix(key * np.uint64(BASE) + (low[k].astype(np.uint64) << np.uint64(32) | high[k]))
         out[:, j] = key
     return out
 
 
-def pack_set(hashes: np.ndarray) -> bytes:
-    """A set of 64-bit hashes as sorted 48-bit numbers."""
-    return np.unique(hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def hashed_sets(sets: list) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of sets that are sent as 64-bit numbers."""
+    return np.frombuffer(b"".join(bytes(s) for s in sets), np.uint64), np.array([len(s) // 8 for s in sets], np.int64)
+
+
+def _distinct(row: np.ndarray, element: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
+    """(row, element) once each, as one ordered array, and the bits that hold an element."""
+    bits = 64 - max(1, (rows - 1).bit_length())
+    packed = np.sort((row.astype(np.uint64) << np.uint64(bits)) | (element >> np.uint64(64 - bits)))
+    return packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed, bits
 
 
-def unpack_set(blob) -> np.ndarray:
-    raw = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view(np.uint64).ravel()
+def similar(a: list, b: list, percent: int, elements: Elements) -> np.ndarray:
+    """Which sets of a overlap enough with their sets in b. Elements are compared by
+    54 bits at least of their hashes, inside one pair."""
+    good = np.zeros(len(a), bool)
+    sizes = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
+    cuts = np.cumsum(sizes)
+    at = 0
+    while at < len(a):
+        stop = min(len(a), at + 1024, max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + VERIFIED, "right"))))
+        rows = stop - at
+        sides = []
+        for side in (a[at:stop], b[at:stop]):
+            element, n = elements(side)
+            packed, bits = _distinct(np.repeat(np.arange(rows), n), element, rows)
+            sides.append(packed)
+        n, m = (np.bincount((s >> np.uint64(bits)).astype(np.int64), minlength=rows) for s in sides)
+        every = np.sort(np.concatenate(sides))
+        both = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(bits)).astype(np.int64), minlength=rows)
+        good[at:stop] = 100 * both >= percent * (n + m - both)
+        at = stop
+    return good
 
 
-def _verified(percent: int):
+def _verified(percent: int, elements: Elements):
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(k) for k in ("a", "b", "set_a", "set_b"))
-            good = []
-            last, held = None, None
-            for i in range(batch.num_rows):
-                if b[i].as_py() != last:
-                    last, held = b[i].as_py(), unpack_set(y[i].as_buffer())
-                mine = unpack_set(x[i].as_buffer())
-                both = int(member(mine, held).sum())
-                if 100 * both >= percent * (len(mine) + len(held) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            sets = ([x.as_buffer() for x in batch.column(c)] for c in ("set_a", "set_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(similar(*sets, percent, elements)))
 
     return run
 
 
-def _elements(batches):
-    for batch in batches:
-        ids, sets = batch.column("id"), batch.column("set")
-        for i in range(batch.num_rows):
-            x = unpack_set(sets[i].as_buffer())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), ids[i].as_py()), pa.int64()), pa.array(x.view(np.int64))], ["id", "element"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, elements: Elements) -> DataFrame:
     """The pairs (a, b) whose full sets have that Jaccard similarity at least."""
     x = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     y = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent), "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent, elements), "a long, b long")
 
 
 PACKED_SCHEMA = "shard int, blob binary"
 
 
+def _by_shard(shard: np.ndarray, own: np.ndarray):
+    """(shard, members) for the members ``own``, whose shards are given."""
+    order = np.argsort(shard, kind="stable")
+    own, shard = own[order], shard[order].astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(own) else ()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(shard[a]), own[a:b]
+
+
 def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
-    """Per task and shard of keys: one member of each bucket, and the other members of the task under it."""
-    n, k = keys.shape
+    """Per task: the smallest member of each bucket, packed by shard of keys, and
+    the other members under it, packed by shard of ids."""
     key = keys.ravel() >> np.uint64(16)
-    id_ = np.repeat(ids, k)
-    order = np.lexsort((id_, key, key % np.uint64(shards)))
+    id_ = np.repeat(ids, keys.shape[1])
+    order = np.lexsort((id_, key))
     key, id_ = key[order], id_[order]
     new = np.r_[True, key[1:] != key[:-1]]
     head = id_[np.flatnonzero(new)][np.cumsum(new) - 1]
-    shard = (key % np.uint64(shards)).astype(np.int64)
-    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(shard) != 0]), len(shard)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        first = np.flatnonzero(new[a:b]) + a
-        rest = np.flatnonzero(~new[a:b]) + a
-        blob = squeeze(np.diff(key[first], prepend=np.uint64(0)), id_[first], key[rest], id_[rest], head[rest])
-        yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
+    first = np.flatnonzero(new)
+    rest = np.flatnonzero(~new & (id_ != np.r_[id_[:1], id_[:-1]]))  # a set may meet itself in two bands
+    number, name = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for shard, own in _by_shard(key[first] % np.uint64(shards), first):
+        yield _row(shard, squeeze(np.diff(key[own], prepend=np.uint64(0)), id_[own], number, name, name))
+    for shard, own in _by_shard(mix(id_[rest].view(np.uint64)) % np.uint64(shards), rest):
+        yield _row(shard, squeeze(number, name, key[own], id_[own], head[own]))
+
+
+def _row(shard: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """One shard: the members of buckets of several, each under the head of its
-    task, the heads under the smallest of them."""
+    """One shard: the heads of the tasks under the smallest of them, where a bucket
+    has several or a task has others; and the others as they came."""
     got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
     key = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
     id_ = np.concatenate([g[1] for g in got])
     rest = [np.concatenate([g[k] for g in got]) for k in (2, 3, 4)]
     order = np.lexsort((id_, key))
     key, id_ = key[order], id_[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])]  # tasks may send one item each
+    new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])] if len(key) else np.empty(0, bool)
     key, id_ = key[new], id_[new]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     count = np.diff(np.r_[at, len(key)])
-    several = np.repeat(count > 1, count) | np.isin(key, rest[0])
+    several = np.repeat(count > 1, count)
     head = np.repeat(id_[at], count)
     columns = [np.concatenate([x[several], y]) for x, y in zip((key.view(np.int64), id_, head), (rest[0].view(np.int64), *rest[1:]))]
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "id", "head"])
 
 
-def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, elements: Elements) -> list[tuple[int, int]]:
+    """Links between sets of different components that join them, a forest.
+
+    ``root``: the component of each set. ``side``: 0, or two blocks 0 and 1 of
+    which only pairs across count; then links inside a block are known elsewhere.
+    """
+    element, n = elements(sets)
+    row = np.repeat(np.arange(len(sets)), n)
+    order = np.lexsort((element, row))
+    element, row = element[order], row[order]
+    new = np.r_[True, (element[1:] != element[:-1]) | (row[1:] != row[:-1])]
+    element, row = element[new], row[new]
+    n = np.bincount(row, minlength=len(sets))
+    # elements of one set alone are in no overlap
+    _, code, seen = np.unique(element, return_inverse=True, return_counts=True)
+    shared = seen[code] > 1
+    code, row = code[shared], row[shared]
+    most = np.bincount(row, minlength=len(sets))
+    able = 100 * most >= percent * n
+    on = able[row]
+    code, row = code[on], row[on]
+    by_code = np.argsort(code, kind="stable")
+    posting, begin = row[by_code], np.searchsorted(code[by_code], np.arange(len(seen) + 1))
+    mine = np.searchsorted(row, np.arange(len(sets) + 1))
+    parent = {r: r for r in root.tolist()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    across = bool(side.any())
+    for i in np.flatnonzero(able & (side == 0)).tolist():
+        codes = code[mine[i] : mine[i + 1]]
+        a, size = begin[codes], begin[codes + 1] - begin[codes]
+        spots = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        both = np.bincount(posting[spots], minlength=len(sets))
+        near = 100 * both >= percent * (n[i] + n - both)
+        near &= (side == 1) if across else (np.arange(len(sets)) > i)
+        for j in np.flatnonzero(near).tolist():
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(root[i]), int(root[j])))
+    return out
+
+
+def _families(percent: int, elements: Elements):
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_numpy() for c in ("family", "lo", "hi", "block", "root")]
+        sets = table.column("set").combine_chunks() if table.num_rows else None
+        order = np.lexsort(columns[:3][::-1])
+        family, lo, hi, block, root = (c[order] for c in columns)
+        cuts = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b - a > 1 and (root[a:b] != root[a]).any():
+                held = [sets[int(i)].as_buffer() for i in order[a:b]]
+                out += united(root[a:b], held, (block[a:b] != lo[a]).astype(np.int64), percent, elements)
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, shards: int, elements: Elements, width: int, cell: int = CELL) -> DataFrame:
     """(id, root) of every item that is linked with another.
 
     ``packed``: what :func:`packed_keys` makes of the items' band keys in each
-    task; an item of several tasks counts once. Two items are candidates if they
-    share a key: a task joins its members of a bucket under its smallest, a shard
-    those of the tasks, so no bucket's pairs are listed.
-    ``sets_of(ids)`` gives (id, set) for the ids asked. A candidate is a link if
-    its full sets overlap enough.
+    task; an item of several tasks counts once. ``sets_of(ids)`` gives (id, set)
+    for the ids asked, a set as ``elements`` reads it, of about ``width`` bytes for
+    each element. Two items are candidates if
+    they share a key, and linked if their full sets overlap enough. ``cell``
+    bounds the elements that one task compares with one another.
     """
-    met = scratch.keep(packed.groupBy("shard").applyInArrow(_met, "key long, id long, head long"))
-    votes = scratch.keep(met.filter("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("votes")))
-    best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("minus"))).alias("top")).select("a", (-F.col("top.minus")).alias("b"))
-    best = scratch.keep(best)
-    asked = met.select("id").distinct()
-    sets = scratch.keep(sets_of(asked))
-    links = scratch.keep(verify(best, sets, percent))
-    roots = scratch.keep(components(links, scratch))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't in one component."""
-        of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))
-        joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return joined.filter("coalesce(a_root, a) <> coalesce(b_root, b)").select(*pairs.columns)
-
-    # the other heads
-    more = scratch.keep(verify(apart(votes.join(best, ["a", "b"], "left_anti").select("a", "b")), sets, percent))
-    links = links.unionByName(more)
-    roots = scratch.keep(components(links, scratch))
-    # members of one bucket in different components
-    place = met.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = place.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    place = scratch.keep(place.join(mixed, "key").distinct())
-    # elements that only one of these sets has are in no overlap; the others bound it
-    left = scratch.keep(sets.join(place.select("id").distinct(), "id"))
-    single = left.mapInArrow(_elements, "id long, element long").groupBy("element").agg(F.count("*").alias("sets"), F.min("id").alias("id"))
-    single = single.filter("sets = 1").groupBy("id").agg(F.count("*").alias("own"))
-    sizes = left.select("id", (F.octet_length("set") / 6).cast("long").alias("n")).join(single, "id", "left")
-    sizes = scratch.keep(sizes.select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most")))
-    place = place.join(sizes, "id").filter(f"100 * most >= {percent} * n")
-    p = place.select("key", F.col("id").alias("a"), "n", F.col("root").alias("r"), F.col("most").alias("x"))
-    q = place.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"), F.col("most").alias("y"))
-    able = f"100 * least(x, y) >= {percent} * (n + m - least(x, y))"
-    pairs = p.join(q, "key").filter(f"r < s and {able}").select("a", "b").distinct()
-    tested = votes.select("a", "b")
-    pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(scratch.keep(verify(pairs, sets, percent)))
-    return scratch.keep(components(links, scratch))
+    met = scratch.keep(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_met, "key long, id long, head long"))
+    sets = scratch.keep(sets_of(met.select(F.explode(F.array("id", "head")).alias("id")).distinct()))
+    star = met.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    links = scratch.keep(verify(star, sets, percent, elements))
+    roots = components(links, scratch)
+    # buckets whose members lie in several components; the pairs with the head of a plain star are known
+    place = scratch.keep(met.join(roots, "id", "left").select("key", "id", "head", F.coalesce("root", "id").alias("root")))
+    scratch.drop(met)
+    other = F.when(F.col("id") != F.col("head"), F.col("root"))
+    ends = lambda x, name: (F.min(x).alias(f"lo{name}"), F.max(x).alias(f"hi{name}"))
+    open_ = place.groupBy("key").agg(*ends("root", ""), *ends(other, "_other"), (F.min("head") == F.max("head")).alias("plain"), F.min("id").alias("least"))
+    open_ = open_.filter("case when plain then lo_other < hi_other else lo < hi end").select("key", "plain", "least")
+    place_open = scratch.keep(place.join(open_, "key").filter("not plain or id <> head").select("id", "root", "least").distinct())
+    scratch.drop(place)
+    chained_kept = components(place_open.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
+    chained = chained_kept.withColumnRenamed("root", "family")
+    items = place_open.select("id", "root").distinct().join(chained, "id").join(sets, "id")
+    items = scratch.keep(items.select("family", "id", "root", "set"))
+    scratch.drop(place_open, sets, chained_kept)
+    weight = F.octet_length("set") / width
+    total = items.agg(F.sum(weight)).collect()[0][0] or 0
+    blocks = items.groupBy("family").agg(F.ceil(F.sum(weight) / cell).cast("long").alias("blocks"))
+    cells = shards_of(scratch.spark, int(total), cell)
+    dealt = items.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "root", "set", "blocks")
+    cell_of = F.pmod(F.xxhash64("family", "lo", "hi"), F.lit(cells)).cast("int")
+    # a family of many blocks has a group for each pair of them
+    group = F.when(F.col("blocks") > 1, F.xxhash64("family", "lo", "hi")).otherwise(cell_of.cast("long"))
+    dealt = dealt.select(group.alias("cell"), "family", "lo", "hi", "block", "root", "set").repartition(cells, "cell")
+    more = scratch.keep(dealt.groupBy("cell").applyInArrow(_families(percent, elements), "a long, b long"))
+    scratch.drop(items)
+    if more.isEmpty():
+        scratch.drop(links, more)
+        return roots
+    # links join roots: the components of the roots take their members along
+    joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
+    out = components(joined, scratch)
+    scratch.drop(links, roots, more)
+    return out

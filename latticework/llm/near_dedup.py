@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .minhash import PACKED_SCHEMA, PAIRS, band_keys, linked, pack_set, packed_keys
+from .minhash import FOUR, PACKED_SCHEMA, SHARD_KEYS, band_keys, hashed_sets, linked, packed_keys
 from .repeats import NO_ID, _texts
-from .scratch import Scratch
+from .scratch import Scratch, shards_of
 from .symbols import BASE, mix, word_bounds, word_hashes
 
 #: A pair of similarity 0.8 misses all 32 bands with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
-BANDS = PAIRS
+BANDS = FOUR
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -32,19 +33,23 @@ def shingle_set(text, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_name(s: np.ndarray) -> bytes:
+    """The name of a set: 128 bits, none for the empty set."""
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
+
+
 def _named(words: int):
-    """id, n, name1, name2: size and name of each text's set."""
+    """id, n, name: size and name of each text's set."""
 
     def run(batches):
         for batch in batches:
-            ids, n, one, two = [], [], [], []
+            ids, n, names = [], [], []
             for doc, text in _texts(batch, "id", "bytes"):
                 s = shingle_set(text, words)
                 ids.append(doc)
                 n.append(len(s))
-                one.append(int(mix(s + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                two.append(int(mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, n, one, two)], ["id", "n", "name1", "name2"])
+                names.append(set_name(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(names, pa.binary())], ["id", "n", "name"])
 
     return run
 
@@ -53,9 +58,9 @@ def _keys(words: int, bands: tuple, shards: int):
     """Band keys of each different set of a task, for the smallest id that has it."""
 
     def run(batches):
-        owner: dict[tuple[int, int], int] = {}
+        owner: dict[bytes, int] = {}
         keys: list[np.ndarray] = []
-        names: list[tuple[int, int]] = []
+        names: list[bytes] = []
         sets: list[np.ndarray] = []
         held = 0
 
@@ -69,7 +74,7 @@ def _keys(words: int, bands: tuple, shards: int):
                 s = shingle_set(text, words)
                 if not len(s):
                     continue
-                name = (int(mix(s + np.uint64(1)).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64)))
+                name = set_name(s)
                 if name in owner:
                     owner[name] = min(owner[name], doc)
                     continue
@@ -91,7 +96,7 @@ def _keys(words: int, bands: tuple, shards: int):
 def _sets(words: int):
     def run(batches):
         for batch in batches:
-            rows = [(doc, pack_set(shingle_set(text, words))) for doc, text in _texts(batch, "id", "bytes")]
+            rows = [(doc, shingle_set(text, words).tobytes()) for doc, text in _texts(batch, "id", "bytes")]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["id", "set"])
 
     return run
@@ -100,7 +105,7 @@ def _sets(words: int):
 def _of_groups(signed: DataFrame, groups: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) by the smallest id of each set. Tasks have named a set by their
     own smallest id; such ids are links to the set's smallest."""
-    other = signed.join(roots.select("id"), "id", "left_semi").filter("n > 0").join(groups.withColumnRenamed("id", "least"), ["name1", "name2"])
+    other = signed.join(roots.select("id"), "id", "left_semi").filter("n > 0").join(groups.withColumnRenamed("id", "least"), "name")
     same = other.filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(same), scratch)
 
@@ -111,7 +116,8 @@ def near_duplicates(
     """doc_id, n_shingles, component_id, kept for every row.
 
     Texts are lower-cased (A-Z) and split at ASCII white space; a text's set is
-    its distinct shingles of ``words`` words. Documents are linked if
+    its distinct shingles of ``words`` words, as 64-bit hashes of whole words; sets
+    are equal if 128-bit hashes of them are. Documents are linked if
     100 * intersection >= percent * union, confirmed on full sets; component_id
     is the smallest id reachable. Equal sets are one node of the graph. Null and
     empty texts have no shingles and no links. Rows of one id are one node; a
@@ -124,16 +130,16 @@ def near_duplicates(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"),
     )
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = scratch.keep(source.mapInArrow(_named(words), "id long, n long, name1 long, name2 long"))
-    groups = scratch.keep(signed.filter("n > 0").groupBy("name1", "name2").agg(F.min("id").alias("id")))
+    signed = scratch.keep(source.mapInArrow(_named(words), "id long, n long, name binary"))
+    groups = scratch.keep(signed.filter("n > 0").groupBy("name").agg(F.min("id").alias("id")))
+    shards = shards_of(spark, groups.count() * len(bands), SHARD_KEYS)
     roots = linked(
         source.mapInArrow(_keys(words, bands, shards), PACKED_SCHEMA),
         lambda ids: source.join(ids, "id").mapInArrow(_sets(words), "id long, set binary"),
-        percent, scratch,
+        percent, scratch, shards, hashed_sets, 8,
     )
-    found = groups.join(_of_groups(signed, groups, roots, scratch), "id", "left").select("name1", "name2", F.coalesce("root", "id").alias("root"))
-    joined = signed.select("id", "n", "name1", "name2").join(found, ["name1", "name2"], "left")
+    found = groups.join(_of_groups(signed, groups, roots, scratch), "id", "left").select("name", F.coalesce("root", "id").alias("root"))
+    joined = signed.join(found, "name", "left")
     none = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     root = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("root"))
     return joined.withColumn("root", root).select(

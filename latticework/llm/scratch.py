@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,6 +48,22 @@ def ship(spark: SparkSession) -> None:
     sc._latticework_shipped = True
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def text_bytes(source: DataFrame, column: str) -> int:
+    """Bytes of a text or binary column, by one scan."""
+    return source.agg(F.sum(F.octet_length(column).cast("long"))).collect()[0][0] or 0
+
+
+def shards_of(spark: SparkSession, total: int, each: int, least: int = 1) -> int:
+    """How many shards of about ``each`` hold ``total``. A small total is dealt
+    over the session's shuffle partitions, in shards of ``each`` / 8 at least."""
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-total // each), min(wide, -(-8 * total // each)))
+
+
 class Scratch:
     """Tables of one operator call. ``keep`` writes a DataFrame as Parquet and
     reads it back, so lost executors never cost more than one step; ``drop``
@@ -61,9 +77,18 @@ class Scratch:
         atexit.register(_remove, spark, self.base)
 
     def keep(self, df: DataFrame) -> DataFrame:
+        """The shuffle files of the write go as soon as it has ended: nothing reads them again."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -73,20 +74,29 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
+#: The lowest n bytes of a 64-bit number.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, its length included."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK)))
-        lo, hi = int(starts[at]), int(ends[stop - 1])
-        n = max(BLOCK, hi - lo) + 1
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data[lo:hi]] * powers(BASE, n)[: hi - lo], out=sums[1:])
-        s, e = starts[at:stop] - lo, ends[at:stop] - lo
-        inverse = powers(pow(BASE, -1, 1 << 64), n)
-        out[at:stop] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        at = stop
+    """A 64-bit hash of each word's bytes. Words of up to 16 bytes are two numbers
+    and a length, mixed by bijections; longer ones are hashed by XXH3."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+    n = (ends - starts).astype(np.int64)
+    low = eight[starts] & LOW_BYTES[np.minimum(n, 8)]
+    out = mix(low + n.astype(np.uint64) * MIX1)
+    more = np.flatnonzero(n > 8)
+    if len(more):
+        high = eight[starts[more] + 8] & LOW_BYTES[np.minimum(n[more] - 8, 8)]
+        out[more] = mix(out[more] * np.uint64(BASE) + high)
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
     return out
 
 

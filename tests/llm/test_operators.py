@@ -249,3 +249,59 @@ def test_extraction(spark):
 def test_leaves_close_what_html_closes():
     got = [(b.text, b.path[-1][0] if b.path else "") for b in leaves("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<div>e</div>f<table><tr><td>g<td>h</table>")]
     assert got == [("a", "li"), ("b", "li"), ("c", "li"), ("d", "p"), ("e", "div"), ("f", got[5][1]), ("g", "td"), ("h", "td")]
+
+
+def test_unlinked_groups_are_searched_whole(spark):
+    """Copies with many edits of their own about one base: most are below the
+    threshold to the smallest, some pairs are links all the same. Families that are
+    split into blocks give the same components."""
+    from latticework.llm import near_dedup
+
+    r = random.Random(21)
+    base = words(r, 200).split()
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for _ in range(r.choice([2, 9, 11, 13])):
+            w[r.randrange(len(w))] = f"new{r.randrange(400)}"
+        rows.append((d, " ".join(w)))
+        if d % 9 == 0:
+            w[7] = "again"
+            rows.append((1000 + d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.near(rows)
+    assert len({x[1] for x in want.values()}) > 3  # not one component
+    assert by_id(near_duplicates(df, words=2), "n_shingles", "component_id", "kept") == want
+    whole = near_dedup.linked
+    try:
+        near_dedup.linked = lambda *a, **k: whole(*a, **k, cell=3000)
+        assert by_id(near_duplicates(df, words=2), "n_shingles", "component_id", "kept") == want
+    finally:
+        near_dedup.linked = whole
+
+
+def test_long_words_are_told_apart(spark):
+    """The two Thue-Morse words over a and b of 1,024 bytes, which polynomial hashes confuse."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert by_id(near_duplicates(df, words=2), "component_id") == {1: (1,), 2: (2,)}
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(substring_dedup(df), "n_words", "n_removed", "kept_sha256") == brute.word_repeats(rows)
+
+
+def test_recall_of_the_bands_at_the_threshold():
+    """Pairs of similarity 0.8 exactly that share no band, in sets large and small."""
+    from latticework.llm.minhash import FIVE, FOUR, band_keys
+
+    r = np.random.default_rng(7)
+    for shared, every in ((80, 100), (40, 50), (20, 25), (8, 10), (4, 5)):
+        own = (every - shared) // 2 + (every - shared) % 2
+        pairs = 4000
+        x = r.integers(0, 1 << 63, (pairs, every), dtype=np.uint64)
+        sides = x[:, : every - own], np.concatenate([x[:, :shared], x[:, every - own :]], axis=1)
+        for bands in (FOUR, FIVE):
+            a, b = (band_keys(s.ravel(), np.arange(pairs) * s.shape[1], bands) for s in sides)
+            assert (a == b).any(axis=1).sum() >= pairs - 1
