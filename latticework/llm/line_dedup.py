@@ -10,21 +10,21 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .minhash import FIVE, PACKED_SCHEMA, SHARD_KEYS, band_keys, linked, packed_keys
+from .minhash import PACKED_SCHEMA, SHARD_KEYS, SORTED, linked, packed_keys, wide_band_keys
 from .repeats import NO_ID, _changes, _texts, squeeze, take_runs, unsqueeze
 from .scratch import Scratch, shards_of, text_bytes
 from .symbols import gram_hashes, mix
 
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
-#: A pair of similarity s misses all 32 bands with probability (1 - s ** 5) ** 32:
-#: 3e-6 at 0.8. A test measures it.
-BANDS = FIVE
+#: Bands, and values in a band. A pair of similarity s misses all of them with
+#: probability (1 - s ** 6) ** 40: 5e-6 at 0.8. A test measures it.
+BANDS, ROWS = 40, 6
 PERCENT = 80
 #: Bytes of distinct lines that a task or a shard holds at once.
 HELD = 1 << 25
-#: Lines whose band keys a task sorts at once.
-KEYED = 1 << 17
+#: Lines signed together, so that they stay in a core's cache.
+TOGETHER = 250
 
 
 def normal(line: str) -> str:
@@ -106,7 +106,7 @@ def _nodes(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(number, pa.int64()), pa.array(doc[own], pa.int64()), pa.array(place[own], pa.int64()), lines], ["id", "doc", "place", "line"])
 
 
-def _keys(bands: tuple, shards: int):
+def _keys(shards: int):
     """Band keys of the lines of a task, which are distinct."""
 
     def run(batches):
@@ -115,11 +115,12 @@ def _keys(bands: tuple, shards: int):
             lines = [x.as_buffer() for x in batch.column("line")]
             if not lines:
                 continue
-            element, n = shingles(lines)
-            keys.append(band_keys(element, np.cumsum(n) - n, bands))
+            for a in range(0, len(lines), TOGETHER):
+                element, n = shingles(lines[a : a + TOGETHER])
+                keys.append(wide_band_keys(element, np.cumsum(n) - n, BANDS, ROWS))
             ids.append(batch.column("id").to_numpy())
             held += len(lines)
-            if held >= KEYED:
+            if held >= SORTED // 2:
                 yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
                 ids, keys, held = [], [], 0
         if ids:
@@ -177,9 +178,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = shards_of(spark, text_bytes(source, "text"), HELD)
     sent = source.mapInArrow(_lines(shards), "shard int, blob binary").repartition(shards, "shard")
     nodes = scratch.keep(sent.groupBy("shard").applyInArrow(_nodes, "id long, doc long, place long, line binary"))
-    shards = shards_of(spark, nodes.count() * len(BANDS), SHARD_KEYS)
+    shards = shards_of(spark, nodes.count() * BANDS, SHARD_KEYS)
     roots = linked(
-        nodes.select("id", "line").mapInArrow(_keys(BANDS, shards), PACKED_SCHEMA),
+        nodes.select("id", "line").mapInArrow(_keys(shards), PACKED_SCHEMA),
         lambda ids: nodes.select("id", F.col("line").alias("set")).join(ids, "id"),
         percent, scratch, shards, shingles, 1,
     )

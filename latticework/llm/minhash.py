@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .repeats import squeeze, unsqueeze
 from .scratch import Scratch, shards_of
-from .symbols import BASE, mix
+from .symbols import BASE, MIX2, mix
 
 #: Elements hashed at once.
 AT_ONCE = 1 << 17
@@ -70,28 +70,79 @@ def min_max(elements: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarra
     return low, high
 
 
-#: A band of four: the minima and maxima of two permutations of its own.
-FOUR = tuple(((2 * j, "both"), (2 * j + 1, "both")) for j in range(32))
-#: A band of five: as before, and the minimum or the maximum of a permutation that
-#: two bands share, each with one side of it.
-FIVE = tuple(((2 * j, "both"), (2 * j + 1, "both"), (64 + j // 2, ("low", "high")[j % 2])) for j in range(32))
+#: Bands of four values: the minima and maxima of two permutations of their own.
+FOUR = tuple((2 * j, 2 * j + 1) for j in range(32))
 
 
-def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple) -> np.ndarray:
+def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple[tuple[int, ...], ...] = FOUR) -> np.ndarray:
     """A 64-bit key for each set and band; no set is empty."""
-    low, high = min_max(elements, begins, 1 + max(k for band in bands for k, _ in band))
+    low, high = min_max(elements, begins, 1 + max(k for band in bands for k in band))
     out = np.empty((len(begins), len(bands)), np.uint64)
     for j, band in enumerate(bands):
         key = np.full(len(begins), np.uint64(j))
-        for k, side in band:
-            if side != "both":
-                key = mix(key * np.uint64(BASE) + (low if side == "low" else high)[k])
-            else:
-                key = mix(key * np.uint64(BASE) + (low[k].astype(np.uint64) << np.uint64(32) | high[k]))
+        for k in band:
+            key = mix(key * np.uint64(BASE) + (low[k].astype(np.uint64) << np.uint64(32) | high[k]))
         out[:, j] = key
     return out
 
 
+#: Other bins that an empty bin asks before it takes a minimum of its own.
+PROBES = 8
+
+
+def one_permutation(elements: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
+    """k minima for each set from one hash of its elements: each bin of hashes gives
+    its minimum; an empty bin takes that of the first filled one in an order of
+    bins of its own, or, if ``PROBES`` bins are empty, the element that is smallest
+    under a permutation of its own. Two sets agree in a value with a probability
+    of their Jaccard similarity."""
+    out = np.empty((len(begins), k), np.uint32)
+    ends = np.r_[begins[1:], len(elements)]
+    probes = (mix(np.arange(1, PROBES * k + 1, dtype=np.uint64) * np.uint64(BASE)) % np.uint64(k)).astype(np.int64).reshape(PROBES, k)
+    seeds = mix(np.arange(1, k + 1, dtype=np.uint64) * MIX2)
+    at = 0
+    while at < len(begins):
+        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + AT_ONCE, "right")))
+        part, n = elements[begins[at] : ends[stop - 1]], ends[at:stop] - begins[at:stop]
+        slot = np.repeat(np.arange(len(n), dtype=np.uint64) * np.uint64(k), n) + ((part >> np.uint64(32)) * np.uint64(k) >> np.uint64(32))
+        packed = np.sort(slot << np.uint64(32) | part & np.uint64(0xFFFFFFFF))
+        slot = (packed >> np.uint64(32)).astype(np.int64)
+        first = np.r_[True, slot[1:] != slot[:-1]]
+        made = out[at:stop].reshape(-1)
+        filled = np.zeros(len(made), bool)
+        made[slot[first]] = packed[first].astype(np.uint32)
+        filled[slot[first]] = True
+        row, bin_ = np.nonzero(~filled.reshape(-1, k))
+        base = row * k
+        for probe in probes:
+            other = base + probe[bin_]
+            hit = filled[other]
+            made[(base + bin_)[hit]] = made[other[hit]]
+            left = np.flatnonzero(~hit)
+            base, bin_ = base[left], bin_[left]
+        if len(base):
+            row = base // k
+            size = n[row]
+            spots = np.repeat(begins[at + row] - begins[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            own = part[spots]
+            image = mix(own ^ np.repeat(seeds[bin_], size)) & ~np.uint64(0xFFFFFFFF) | own & np.uint64(0xFFFFFFFF)
+            made[base + bin_] = np.minimum.reduceat(image, np.cumsum(size) - size).astype(np.uint32)
+        at = stop
+    return out
+
+
+def wide_band_keys(elements: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each set and band of ``rows`` values; no set is empty."""
+    values = one_permutation(elements, begins, bands * rows).reshape(len(begins), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), values.shape[:2]).copy()
+    for k in range(0, rows, 2):
+        two = values[:, :, k].astype(np.uint64) << np.uint64(32)
+        if k + 1 < rows:
+            two |= values[:, :, k + 1]
+        key = mix(key * np.uint64(BASE) + two)
+    return key
+
+
 def hashed_sets(sets: list) -> tuple[np.ndarray, np.ndarray]:
     """Elements of sets that are sent as 64-bit numbers."""
     return np.frombuffer(b"".join(bytes(s) for s in sets), np.uint64), np.array([len(s) // 8 for s in sets], np.int64)
@@ -146,31 +197,45 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, elements: Elements)
 PACKED_SCHEMA = "shard int, blob binary"
 
 
-def _by_shard(shard: np.ndarray, own: np.ndarray):
-    """(shard, members) for the members ``own``, whose shards are given."""
-    order = np.argsort(shard, kind="stable")
-    own, shard = own[order], shard[order].astype(np.int64)
-    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(own) else ()
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(shard[a]), own[a:b]
+#: Items whose band keys are sorted together; their places fit in 16 bits.
+SORTED = 1 << 16
+
+
+def _cuts(shard: np.ndarray):
+    """Begin and end of the stretches of equal shards."""
+    at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else ()
+    return zip(at[:-1], at[1:])
 
 
 def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
-    """Per task: the smallest member of each bucket, packed by shard of keys, and
-    the other members under it, packed by shard of ids."""
-    key = keys.ravel() >> np.uint64(16)
-    id_ = np.repeat(ids, keys.shape[1])
-    order = np.lexsort((id_, key))
-    key, id_ = key[order], id_[order]
-    new = np.r_[True, key[1:] != key[:-1]]
-    head = id_[np.flatnonzero(new)][np.cumsum(new) - 1]
-    first = np.flatnonzero(new)
-    rest = np.flatnonzero(~new & (id_ != np.r_[id_[:1], id_[:-1]]))  # a set may meet itself in two bands
+    """The smallest member of each bucket of a block of items, packed by shard of
+    keys, and the other members under it, packed by shard of ids."""
     number, name = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for shard, own in _by_shard(key[first] % np.uint64(shards), first):
-        yield _row(shard, squeeze(np.diff(key[own], prepend=np.uint64(0)), id_[own], number, name, name))
-    for shard, own in _by_shard(mix(id_[rest].view(np.uint64)) % np.uint64(shards), rest):
-        yield _row(shard, squeeze(number, name, key[own], id_[own], head[own]))
+    for lo in range(0, len(ids), SORTED):
+        own = ids[lo : lo + SORTED]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        key = keys[lo : lo + SORTED][order] & ~np.uint64(SORTED - 1)
+        packed = np.sort((key | np.arange(len(own), dtype=np.uint64)[:, None]).ravel())
+        packed = packed[np.r_[True, packed[1:] != packed[:-1]]]  # a set may meet itself in two bands
+        key, id_ = packed >> np.uint64(16), own[(packed & np.uint64(SORTED - 1)).astype(np.int64)]
+        new = np.r_[True, key[1:] != key[:-1]]
+        head = id_[new][np.cumsum(new) - 1]
+        first, rest = np.flatnonzero(new), np.flatnonzero(~new)
+        rest = rest[id_[rest] != head[rest]]
+        for a, b in _cuts(shard := _range_shard(key[first], shards)):
+            mine = first[a:b]
+            yield _row(int(shard[a]), squeeze(np.diff(key[mine], prepend=np.uint64(0)), id_[mine], number, name, name))
+        shard = _range_shard(mix(id_[rest].view(np.uint64)) >> np.uint64(16), shards)
+        rest = rest[order := np.argsort(shard, kind="stable")]
+        for a, b in _cuts(shard := shard[order]):
+            mine = rest[a:b]
+            yield _row(int(shard[a]), squeeze(number, name, key[mine], id_[mine], head[mine]))
+
+
+def _range_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of 48-bit keys, in their order."""
+    return ((key >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def _row(shard: int, blob: bytes) -> pa.RecordBatch:

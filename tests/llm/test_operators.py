@@ -294,14 +294,15 @@ def test_long_words_are_told_apart(spark):
 
 def test_recall_of_the_bands_at_the_threshold():
     """Pairs of similarity 0.8 exactly that share no band, in sets large and small."""
-    from latticework.llm.minhash import FIVE, FOUR, band_keys
+    from latticework.llm.line_dedup import BANDS, ROWS
+    from latticework.llm.minhash import band_keys, wide_band_keys
 
     r = np.random.default_rng(7)
     for shared, every in ((80, 100), (40, 50), (20, 25), (8, 10), (4, 5)):
         own = (every - shared) // 2 + (every - shared) % 2
         pairs = 4000
-        x = r.integers(0, 1 << 63, (pairs, every), dtype=np.uint64)
+        x = r.integers(0, (1 << 64) - 1, (pairs, every), dtype=np.uint64)
         sides = x[:, : every - own], np.concatenate([x[:, :shared], x[:, every - own :]], axis=1)
-        for bands in (FOUR, FIVE):
-            a, b = (band_keys(s.ravel(), np.arange(pairs) * s.shape[1], bands) for s in sides)
+        for keys in (band_keys, lambda x, at: wide_band_keys(x, at, BANDS, ROWS)):
+            a, b = (keys(s.ravel(), np.arange(pairs) * s.shape[1]) for s in sides)
             assert (a == b).any(axis=1).sum() >= pairs - 1
