@@ -1,7 +1,7 @@
 """Benchmark decontamination by character q-grams, edit-budget counting and banded alignment.
 
 A document contains an item if some stretch of it is within an edit distance of
-``EDITS`` of the item's text. By the q-gram lemma such a stretch shares at least
+``EDITS`` of the item's text, whatever its length. By the q-gram lemma such a stretch shares at least
 m + 1 - q - q * k of the item's m + 1 - q grams, and they lie in a band of
 2 * k + 1 neighbouring diagonals. So a document's grams that occur in the
 benchmark are counted in overlapping bands; bands that meet the bound are
@@ -16,18 +16,19 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .repeats import _texts
+from .rows import packed, unpacked
+from .scratch import ship
 from .symbols import BASE, gram_hashes
 
-#: The edit budget as a share of an item's length.
+#: The edit budget as a share of an item's length, the spaces around it included.
 EDITS = 0.1
+#: The longest grams; shorter items have shorter ones, so that the lemma's bound stays positive.
 GRAM = 8
 #: Bits of a gram's hash that the table of item grams is looked up by first.
 PREFIX = 20
-#: Items shorter than this must occur exactly, at word ends: an edit budget
-#: would let them match by chance.
-SHORT = 40
 #: The benchmark goes to every task, so its size is checked first.
 MOST_BYTES = 64 << 20
 GAP = re.compile(r"[\W_]+")
@@ -41,104 +42,116 @@ def _codes(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
 
 
-def within(pattern: np.ndarray, text: np.ndarray, budget: int) -> bool:
-    """Whether some stretch of ``text`` is within ``budget`` edits of ``pattern``:
-    rows of the alignment are cut to the diagonals that the budget allows."""
-    n = len(text)
-    row = np.zeros(n + 1, np.int32)  # a stretch may begin anywhere
-    steps = np.arange(n + 1, dtype=np.int32)
-    for i, c in enumerate(pattern, 1):
-        now = np.empty(n + 1, np.int32)
-        now[0] = i
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=now[1:])
+def within(pattern: np.ndarray, text: np.ndarray, first: int, last: int, budget: int) -> bool:
+    """Whether some stretch of ``text`` is within ``budget`` edits of ``pattern``,
+    by an alignment on the diagonals (place in text less place in pattern) from
+    ``first`` to ``last`` only. A stretch may begin and end anywhere."""
+    width = last - first + 1
+    far = len(pattern) + 1
+    at = np.arange(width) + first  # the place in the text that a diagonal has reached
+    padded = np.zeros(len(pattern) + width, np.uint64)  # what lies outside the text equals nothing
+    lo, hi = max(0, first), min(len(text), last + len(pattern))
+    if lo < hi:
+        padded[lo - first : hi - first] = text[lo:hi]
+    steps = np.arange(width)
+    row = np.where((at >= 0) & (at <= len(text)), 0, far)
+    for i, c in enumerate(pattern):
+        now = row + (padded[i : i + width] != c)  # no code is 0
+        np.minimum(now[:-1], row[1:] + 1, out=now[:-1])
+        at += 1
+        now[(at < 0) | (at > len(text))] = far
         row = np.minimum.accumulate(now - steps) + steps
         if row.min() > budget:
             return False
-    return bool(row.min() <= budget)
+    return True
 
 
-class Benchmark:
-    """The items, and the places of their grams."""
+class Grams:
+    """The items of one gram length, and the places of their grams."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.codes, self.short = [], [], []
-        grams, item, place = [], [], []
-        for k, text in items:
-            if not (text := normal(text)):
-                continue
-            if len(text) < SHORT:
-                self.short.append((k, text))
-                continue
-            codes = _codes(text)
-            g = gram_hashes(codes, GRAM)
-            grams.append(g)
-            item.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
-            self.ids.append(k)
-            self.codes.append(codes)
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]):
+        self.q = q
+        self.ids, self.codes = [k for k, _ in items], [c for _, c in items]
         self.size = np.array([len(c) for c in self.codes], np.int64)
-        self.budget = (self.size * EDITS).astype(np.int64)
-        self.least = np.maximum(1, self.size + 1 - GRAM - GRAM * self.budget)
-        if grams:
-            g = np.concatenate(grams)
-            order = np.argsort(g, kind="stable")
-            self.grams, self.item, self.place = g[order], np.concatenate(item)[order], np.concatenate(place)[order]
-        else:
-            self.grams, self.item, self.place = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.budget = budget(self.size)
+        self.least = self.size + 1 - q - q * self.budget
+        g = [gram_hashes(c, q) for c in self.codes]
+        item, place = np.repeat(np.arange(len(g)), [len(x) for x in g]), np.concatenate([np.arange(len(x)) for x in g])
+        g = np.concatenate(g)
+        order = np.argsort(g, kind="stable")
+        self.grams, self.item, self.place = g[order], item[order], place[order]
         # most grams of a text are no item's: a table of hash prefixes says so
         self.maybe = np.zeros(1 << PREFIX, bool)
         self.maybe[self.grams >> np.uint64(64 - PREFIX)] = True
 
-    def found(self, text: str) -> list[int]:
-        """The ids of the items that a normal text contains."""
-        hits = [k for k, s in self.short if f" {s} " in f" {text} "]
-        codes = _codes(text)
-        g = gram_hashes(codes, GRAM)
-        if not len(g) or not len(self.grams):
-            return sorted(hits)
+    def found(self, codes: np.ndarray) -> list[int]:
+        """The ids of the items that a text contains."""
+        g = gram_hashes(codes, self.q)
         spots = np.flatnonzero(self.maybe[g >> np.uint64(64 - PREFIX)])
         lo = np.searchsorted(self.grams, g[spots], "left")
         n = np.searchsorted(self.grams, g[spots], "right") - lo
         if not n.any():
-            return sorted(hits)
+            return []
         at = np.repeat(spots, n)
         entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        item, diagonal = self.item[entry], at - self.place[entry]
-        # overlapping bands: each of width 4k + 1 begins 2k before the next
+        item, place = self.item[entry], self.place[entry]
+        # the grams of a match lie on 2k + 1 neighbouring diagonals: overlapping bands
+        # of 4k + 1 diagonals, each 2k after the last, hold them whole
         half = np.maximum(1, 2 * self.budget[item])
-        shift = self.size[item]
-        for_band = []
-        for step in (0, 1):
-            band = (diagonal + shift) // half - step
-            for_band.append(np.stack([item, band]))
-        item2, band2 = np.concatenate(for_band, axis=1)
-        place2 = np.concatenate([self.place[entry], self.place[entry]])
-        key = item2 * (np.int64(1) << 40) + band2 + 1
-        order = np.argsort(key, kind="stable")
-        key, place2, item2, band2 = key[order], place2[order], item2[order], band2[order]
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[cuts, len(key)])
-        enough = size >= self.least[item2[cuts]]
+        band = (at - place + self.size[item]) // half
+        item, band, place = np.r_[item, item], np.r_[band, band - 1], np.r_[place, place]
+        order = np.lexsort((place, band, item))
+        item, band, place = item[order], band[order], place[order]
+        new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
+        cuts = np.flatnonzero(new)
+        # the lemma counts grams of the item, each once
+        once = new | np.r_[True, place[1:] != place[:-1]]
+        enough = np.add.reduceat(once, cuts) >= self.least[item[cuts]]
         done: set[int] = set()
-        for c, n in zip(cuts[enough], size[enough]):
-            i = int(item2[c])
-            # the lemma counts grams of the item, each once
-            if i in done or len(np.unique(place2[c : c + n])) < self.least[i]:
-                continue
-            width = int(max(1, 2 * self.budget[i]))
-            first = int(band2[c]) * width - int(self.size[i])  # smallest diagonal of the band
-            a, b = max(0, first - int(self.budget[i])), max(0, first + 2 * width + int(self.size[i]) + int(self.budget[i]))
-            if within(self.codes[i], codes[a:b], int(self.budget[i])):
-                done.add(i)
-        return sorted([*hits, *(self.ids[i] for i in done)])
-
-
-def _search(items: list[tuple[int, str]]):
+        for c in cuts[enough]:
+            i, k = int(item[c]), int(self.budget[item[c]])
+            if i not in done:
+                first = int(band[c]) * max(1, 2 * k) - int(self.size[i])
+                if within(self.codes[i], codes, first - k, first + max(2, 4 * k) + k, k):
+                    done.add(i)
+        return [self.ids[i] for i in done]
+
+
+def budget(size):
+    return (size * EDITS).astype(np.int64) if isinstance(size, np.ndarray) else int(size * EDITS)
+
+
+def gram_length(size: int) -> int:
+    """The longest gram, ``GRAM`` at most, by which an item with its budget shares one at least."""
+    return max(1, min(GRAM, size // (budget(size) + 1)))
+
+
+class Benchmark:
+    """All items. A text and an item have a space at either end, so that an item
+    whose length leaves no edit must stand between word ends."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        by_length: dict[int, list] = {}
+        for k, text in items:
+            if text := normal(text):
+                codes = _codes(f" {text} ")
+                by_length.setdefault(gram_length(len(codes)), []).append((k, codes))
+        self.lengths = [Grams(q, rows) for q, rows in sorted(by_length.items())]
+
+    def found(self, text: str) -> list[int]:
+        """The ids of the items that a normal text contains."""
+        if not text:
+            return []
+        codes = _codes(f" {text} ")
+        return sorted((k for grams in self.lengths for k in grams.found(codes)), key=lambda k: (k is None, k))
+
+
+def _search(items: list[tuple[int, str]], many: int):
     def run(batches):
         bench = Benchmark(items)
         for batch in batches:
-            found = [bench.found(normal(text)) for (text,) in _texts(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "item_ids"])
+            found = pa.array([bench.found(normal(text)) for (text,) in _texts(batch, "text")], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, f"found{many}"])
 
     return run
 
@@ -148,29 +161,18 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     items that the text contains.
 
     Null text and empty text contain nothing; null or blank items are contained
-    in nothing; items of equal text are all reported. A benchmark above
-    ``MOST_BYTES`` is searched in parts, one pass each. Rows may repeat; an own
-    column item_ids of ``docs`` is replaced.
+    in nothing; items of equal text are all reported, and an item of a null id as
+    null. A benchmark above ``MOST_BYTES`` is searched in parts, one after another
+    in the same tasks. Rows may repeat; an own column item_ids of ``docs`` is
+    replaced, other columns may have any names. An empty table gives no rows.
     """
-    from .scratch import ship
-
     ship(docs.sparkSession)
-    docs = docs.drop("item_ids")
+    passing = [c for c in docs.columns if c != "item_ids"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     parts = 1 + size // MOST_BYTES
-    columns = [f for f in docs.schema.fields]
-    out = docs
+    out = docs.select(packed(passing), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for p in range(parts):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        rows = [(r[0], r[1]) for r in part.collect()]
-        wide = out.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-        schema = StructType([*columns, *([StructField("_before", ArrayType(LongType()))] if p else []), StructField("item_ids", ArrayType(LongType()))])
-        out = wide.mapInArrow(_search(rows), schema)
-        if p:
-            out = out.withColumn("item_ids", F.array_sort(F.concat("_before", "item_ids"))).drop("_before")
-        if p + 1 < parts:
-            out = out.withColumnRenamed("item_ids", "_before")
-    return out
+        rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()]
+        out = out.mapInArrow(_search(rows, p), StructType([*out.schema.fields, StructField(f"found{p}", ArrayType(LongType()))]))
+    return out.select(*unpacked(passing), F.array_sort(F.concat(*[f"found{p}" for p in range(parts)])).alias("item_ids"))

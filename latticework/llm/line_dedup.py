@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .minhash import PACKED_SCHEMA, SHARD_KEYS, SORTED, linked, packed_keys, wide_band_keys
 from .repeats import NO_ID, _changes, _texts, squeeze, take_runs, unsqueeze
+from .rows import packed, unpacked
 from .scratch import Scratch, shards_of, text_bytes
 from .symbols import gram_hashes, mix
 
@@ -193,10 +194,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(nodes, roots)
     if passing is None:
         return source.join(keep, "id", "left").mapInArrow(_kept(False), "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string")
-    # other columns travel as one value, so that their names cannot clash
     others = [c for c in passing if c != text_col]
-    row = F.struct(F.lit(0).alias("f"), *[docs[c].alias(f"f{i}") for i, c in enumerate(others)]).alias("row")
-    wide = docs.select(*named, row)
+    wide = docs.select(*named, packed(others))
     out = wide.join(keep, "id", "left").mapInArrow(_kept(True), StructType([wide.schema["row"], StructField("kept", StringType())]))
-    kept = {c: F.col(f"row.f{i}") for i, c in enumerate(others)} | {text_col: F.col("kept").cast(docs.schema[text_col].dataType)}
-    return out.select(*[kept[c].alias(c) for c in passing])
+    columns = dict(zip(others, unpacked(others))) | {text_col: F.col("kept").cast(docs.schema[text_col].dataType).alias(text_col)}
+    return out.select(*[columns[c] for c in passing])

@@ -4,8 +4,8 @@ A text classifier gives each document its evidence. Documents belong to a host
 and to a path below it; the share of good documents of a host is shrunk towards
 the global share, and that of a path towards its host's, each by the strength
 that the spread between groups supports (method of moments). A document's
-posterior is its own evidence on the prior of its path. Group statistics are
-plain grouped sums over all documents.
+posterior is its own evidence on the prior that the other documents of its path,
+host and corpus give. Group statistics are plain grouped sums over all documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .repeats import _texts
-from .scratch import Scratch, ship
+from .rows import packed, unpacked
+from .scratch import Scratch
 from .textclass import MOST_TRAINING, Softmax, features, training_rows
 
 #: Documents are kept from this posterior on.
@@ -48,21 +49,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Softma
 def _evidence(model: Softmax):
     def run(batches):
         for batch in batches:
-            p = model.predict([t for (t,) in _texts(batch, "_bytes")])[:, 1]
-            p = np.clip(p, 1e-6, 1 - 1e-6)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "_p"])
+            p = np.clip(model.predict([t for (t,) in _texts(batch, "bytes")])[:, 1], 1e-6, 1 - 1e-6)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], [*batch.schema.names[:-1], "p"])
 
     return run
 
 
-def with_evidence(docs: DataFrame, model: Softmax, text_col: str = "text") -> DataFrame:
-    """``docs`` with _p, the classifier's probability that the text is good."""
-    ship(docs.sparkSession)
-    wide = docs.withColumn("_bytes", F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    return wide.mapInArrow(_evidence(model), StructType([*docs.schema.fields, StructField("_p", DoubleType())]))
-
-
-def _strength(groups: DataFrame, share: Column, n: Column, centre: Column) -> Column:
+def _strength(share: Column, n: Column, centre: Column) -> Column:
     """Documents that the prior of a group weighs, from the spread of group shares:
     c (1 - c) / between-group variance - 1."""
     spread = F.sum(n * (share - centre) * (share - centre)) / F.sum(n)
@@ -71,54 +64,59 @@ def _strength(groups: DataFrame, share: Column, n: Column, centre: Column) -> Co
     return F.greatest(F.lit(LEAST_STRENGTH), middle / F.greatest(spread - noise, F.lit(1e-6)) - 1)
 
 
-def site_priors(scored: DataFrame, site: Site) -> DataFrame:
-    """host, path, prior: the shrunken share of good documents, over all rows of ``scored`` (_p)."""
-    named = scored.select(F.coalesce(site.host, F.lit("")).alias("host"), F.coalesce(site.path, F.lit("")).alias("path"), "_p")
-    paths = named.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("_p").alias("good"))
+def site_priors(scored: DataFrame) -> DataFrame:
+    """The rows of ``scored`` (host, path, p) with ``prior`` and ``centre``: the
+    shrunken share of good documents of the row's path and of all, over all rows
+    but the row itself, so that no evidence counts twice."""
+    paths = scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("good"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    total = hosts.agg((F.sum("host_good") + 1) / (F.sum("host_n") + 2)).collect()[0][0]
-    centre = F.lit(0.5 if total is None else float(total))
-    strength = hosts.agg(_strength(hosts, F.col("host_good") / F.col("host_n"), F.col("host_n"), centre)).collect()[0][0] or LEAST_STRENGTH
-    hosts = hosts.withColumn("host_prior", (F.col("host_good") + F.lit(float(strength)) * centre) / (F.col("host_n") + F.lit(float(strength))))
-    both = paths.join(hosts.select("host", "host_prior"), "host")
-    strength = both.agg(_strength(both, F.col("good") / F.col("n"), F.col("n"), F.col("host_prior"))).collect()[0][0] or LEAST_STRENGTH
-    prior = (F.col("good") + F.lit(float(strength)) * F.col("host_prior")) / (F.col("n") + F.lit(float(strength)))
-    return both.select("host", "path", prior.alias("prior"), centre.alias("centre"))
+    n, good = hosts.agg(F.coalesce(F.sum("host_n"), F.lit(0.0)), F.coalesce(F.sum("host_good"), F.lit(0.0))).collect()[0]
+    middle = F.lit((good + 1) / (n + 2))
+    strength = hosts.agg(_strength(F.col("host_good") / F.col("host_n"), F.col("host_n"), middle)).collect()[0][0] or LEAST_STRENGTH
+    of_host = F.lit(float(strength))
+    hosts = hosts.withColumn("host_prior", (F.col("host_good") + of_host * middle) / (F.col("host_n") + of_host))
+    both = paths.join(hosts, "host")
+    strength = both.agg(_strength(F.col("good") / F.col("n"), F.col("n"), F.col("host_prior"))).collect()[0][0] or LEAST_STRENGTH
+    of_path = F.lit(float(strength))
+    centre = (F.lit(good) - F.col("p") + 1) / F.lit(n + 1)
+    host_prior = (F.col("host_good") - F.col("p") + of_host * centre) / (F.col("host_n") - 1 + of_host)
+    prior = (F.col("good") - F.col("p") + of_path * host_prior) / (F.col("n") - 1 + of_path)
+    return scored.join(both.drop("host_prior"), ["host", "path"]).withColumn("prior", prior).withColumn("centre", centre)
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def with_posterior(docs: DataFrame, labels: DataFrame, site: Site | None = None, text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """``docs`` with _evidence, _prior and _score (the posterior that a text is good).
+def scored_rows(docs: DataFrame, labels: DataFrame, site: Site | None = None, text_col: str = "text", passing: list[str] | None = None) -> DataFrame:
+    """row (the columns ``passing``), evidence, prior and score (the posterior that
+    the text is good) for every row.
 
     Null and empty texts have only the evidence of the classifier's constant. A
     null host or path is a site of its own. Labels that are null, repeated (the
     larger counts) or of unknown ids do no harm; without any, the evidence is
-    even. Rows may repeat. Site statistics are joined by site; the engine
+    even. Rows may repeat, ids may be null, and columns may have any names. An
+    empty table gives no rows. Site statistics are joined by site; the engine
     broadcasts them only below its own size threshold and deals large sites out
     otherwise.
     """
     site = site or default_site()
     scratch = Scratch(docs.sparkSession, "quality")
     model = fit(docs, labels)
-    named = docs.withColumn("_host", F.coalesce(site.host, F.lit(""))).withColumn("_path", F.coalesce(site.path, F.lit("")))
-    scored = with_evidence(named, model, text_col)
-    scored = scratch.keep(scored.drop(*([] if with_text else [text_col])))
-    priors = scratch.keep(site_priors(scored, Site(F.col("_host"), F.col("_path"))))
-    priors = priors.withColumnsRenamed({"host": "_host", "path": "_path", "prior": "_prior", "centre": "_centre"})
-    out = scored.join(priors, ["_host", "_path"], "left")
-    z = _logit(F.col("_p")) + _logit(F.coalesce("_prior", F.lit(0.5))) - _logit(F.coalesce("_centre", F.lit(0.5)))
-    return out.withColumn("_score", 1 / (1 + F.exp(-z))).withColumnRenamed("_p", "_evidence").drop("_host", "_path", "_centre")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes")
+    named = docs.select(packed(docs.columns if passing is None else passing), F.coalesce(site.host, F.lit("")).alias("host"), F.coalesce(site.path, F.lit("")).alias("path"), text)
+    schema = StructType([*named.schema.fields[:-1], StructField("p", DoubleType())])
+    scored = site_priors(scratch.keep(named.mapInArrow(_evidence(model), schema)))
+    z = _logit(F.col("p")) + _logit(F.col("prior")) - _logit(F.col("centre"))
+    return scored.select("row", F.col("p").alias("evidence"), "prior", (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, site: Site | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, evidence, prior, score, kept for every row."""
-    scored = with_posterior(docs, labels, site, with_text=False)
-    return scored.select("doc_id", F.col("_evidence").alias("evidence"), F.col("_prior").alias("prior"), F.col("_score").alias("score"), (F.col("_score") >= threshold).alias("kept"))
+    scored = scored_rows(docs, labels, site, passing=["doc_id"])
+    return scored.select(*unpacked(["doc_id"]), "evidence", "prior", "score", (F.col("score") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, site: Site | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches the threshold, with their columns."""
-    return with_posterior(docs, labels, site).filter(F.col("_score") >= threshold).select(*docs.columns)
+    return scored_rows(docs, labels, site).filter(F.col("score") >= threshold).select(*unpacked(docs.columns))

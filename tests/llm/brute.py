@@ -91,3 +91,74 @@ def lines(docs, percent=80, q=5):
         n = len(parts) - sum(blank)
         out[d] = (n, n - sum((d, p) in keep for p in range(len(parts))), sha(kept.encode()))
     return out
+
+
+def contained(text, items, share=0.1):
+    """Items within their budget of some stretch of the text, by the whole alignment."""
+    normal = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).strip()
+    t, out = normal(text), []
+    for k, item in items:
+        p = f" {normal(item)} "
+        row = [0] * (len(t) + 3)
+        for i, x in enumerate(p, 1):
+            old, row = row, [i]
+            for j, y in enumerate(f" {t} ", 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        if t and min(row) <= int(len(p) * share):
+            out.append(k)
+    return out
+
+
+def quality(rows, least=10.0):
+    """(prior, score) by document from (document, host, path, evidence)."""
+    import math
+
+    logit = lambda p: math.log(p / (1 - p))
+    n, good = len(rows), sum(r[3] for r in rows)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for _, host, path, p in rows:
+        hosts[host].append(p)
+        paths[host, path].append(p)
+    middle = (good + 1) / (n + 2)
+
+    def strength(groups, centre):
+        sizes = {g: len(x) for g, x in groups.items()}
+        every = sum(sizes.values())
+        spread = sum(len(x) * (sum(x) / len(x) - centre(g)) ** 2 for g, x in groups.items()) / every
+        noise = sum(centre(g) * (1 - centre(g)) for g in groups) / every
+        mean = sum(sizes[g] * centre(g) * (1 - centre(g)) for g in groups) / every
+        return max(least, mean / max(spread - noise, 1e-6) - 1)
+
+    s = strength(hosts, lambda g: middle)
+    prior_of = {h: (sum(x) + s * middle) / (len(x) + s) for h, x in hosts.items()}
+    z = strength(paths, lambda g: prior_of[g[0]])
+    out = {}
+    for d, host, path, p in rows:
+        centre = (good - p + 1) / (n + 1)
+        at_host = (sum(hosts[host]) - p + s * centre) / (len(hosts[host]) - 1 + s)
+        prior = (sum(paths[host, path]) - p + z * at_host) / (len(paths[host, path]) - 1 + z)
+        out[d] = prior, 1 / (1 + math.exp(-(logit(p) + logit(prior) - logit(centre))))
+    return out
+
+
+def rates(posterior, tokens, weights, ridge=1e-4, most=4.0, settled=1e-5):
+    """Accelerated projected gradient over plain arrays."""
+    import numpy as np
+
+    rate = before = np.ones(len(tokens))
+    totals = lambda r: (tokens * r) @ posterior
+    now = totals(rate)
+    total, target = now.sum(), weights / weights.sum() * now.sum()
+    w = weights / weights.sum()
+    half = posterior * np.sqrt(tokens)[:, None] * np.sqrt(w) / target
+    step = 1 / (2 * total * np.linalg.eigvalsh(half.T @ half)[-1] + 2 * ridge)
+    pace = 1.0
+    for _ in range(200):
+        momentum = (pace - 1) / (pace := (1 + (1 + 4 * pace * pace) ** 0.5) / 2)
+        ahead = rate + momentum * (rate - before)
+        slope = 2 * total * posterior @ (w / target * (totals(ahead) / target - 1)) + 2 * ridge * (ahead - 1)
+        before, rate = rate, np.clip(ahead - step * slope, 0, most)
+        last, now = now, totals(rate)
+        if abs(now - last).max() <= settled * total:
+            break
+    return rate

@@ -16,9 +16,9 @@ from latticework.llm.exact_dedup import exact_duplicates  # noqa: E402
 from latticework.llm.html_blocks import leaves  # noqa: E402
 from latticework.llm.html_extract import extract_text, labelled, trained, vectors  # noqa: E402
 from latticework.llm.line_dedup import dedup_lines  # noqa: E402
-from latticework.llm.mixing import mixed  # noqa: E402
+from latticework.llm.mixing import expected_totals, mixed  # noqa: E402
 from latticework.llm.near_dedup import near_duplicates  # noqa: E402
-from latticework.llm.quality import quality_scores  # noqa: E402
+from latticework.llm.quality import keep_good, quality_scores  # noqa: E402
 from latticework.llm.substring_dedup import substring_dedup  # noqa: E402
 from latticework.llm.suffix_dedup import bucket_pointers, suffix_dedup  # noqa: E402
 from latticework.llm.textclass import Softmax, features, training_rows  # noqa: E402
@@ -139,11 +139,32 @@ def test_decontamination(spark, docs, texts, nothing):
     rows = [(0, f"{words(r, 30)} {item.upper()}! {words(r, 5)}", None), (1, f"x {edited} y", None), (2, words(r, 200), None), (3, "A tiny, phrase.", None), (4, "tiny phrases", None), (5, None, None), (6, "", None), (7, item[: len(item) // 2], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, item_ids array<long>")
     got = by_id(contained_items(df, bench), "item_ids")
-    assert got == {0: ([1, 5],), 1: ([1, 5],), 2: ([],), 3: ([2],), 4: ([],), 5: ([],), 6: ([],), 7: ([],)}
+    assert got == {0: ([1, 5],), 1: ([1, 5],), 2: ([],), 3: ([2],), 4: ([2],), 5: ([],), 6: ([],), 7: ([],)}
     assert contained_items(nothing, bench).count() == 0
     assert all(not r.item_ids for r in contained_items(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_against_all_alignments(spark):
+    """Items of every length, planted with edits about their budget, against the whole alignment."""
+    r = random.Random(14)
+    items = [(k, words(r, n)) for k, n in enumerate([1, 1, 2, 2, 3, 5, 8, 13, 21, 34])]
+    rows = [(1000, None), (1001, ""), (1002, " .,; "), (1003, words(r, 4000))]
+    for d in range(150):
+        text = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 2 + len(text) // 9)):
+            k = r.randrange(len(text) + 1)
+            text[k : k + r.randint(0, 1)] = r.choice(["", "x", "e "])
+        rows.append((d, f"{words(r, r.randint(0, 9))}{r.choice([' ', ', ', ''])}{''.join(text)}{r.choice([' ', ''])}{words(r, r.randint(0, 9))}"))
+    rows += rows[5:8]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit(1)).withColumn("row", F.lit(2))
+    got = contained_items(df, spark.createDataFrame([*items, (None, items[7][1])], "item_id long, text string")).collect()
+    want = {d: brute.contained(t, items) for d, t in rows}
+    assert sum(map(len, want.values())) > 100 and len(got) == len(rows)
+    for row in got:
+        assert [k for k in row.item_ids if k is not None] == want[row.doc_id], row.doc_id
+        assert (None in row.item_ids) == (7 in want[row.doc_id])
+
+
 def labelled_docs(spark):
     r = random.Random(5)
     rows, labels = [], []
@@ -201,10 +222,33 @@ def test_automaton_against_edit_distance():
 
 def test_quality(spark, nothing):
     df, labels = labelled_docs(spark)
-    got = by_id(quality_scores(df, labels), "kept", "score")
-    assert sum(got[d][0] == (d % 4 != 1) for d in range(240)) >= 238
-    assert len(got) == 243 and all(0 <= s <= 1 for _, s in got.values())
+    df = df.withColumn("_bytes", F.lit(1)).withColumn("_p", F.lit(2)).withColumn("host", F.lit(3)).withColumn("p", F.lit(4))
+    rows = quality_scores(df, labels).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sum(got[d].kept == (d % 4 != 1) for d in range(240)) >= 238
+    assert len(rows) == 243 and all(0 <= r.score <= 1 for r in rows)
     assert quality_scores(nothing, labels).count() == 0
+    # all priors and scores again, from the evidence, one document at a time
+    at = {r.doc_id: (r.source or "", "/".join(x for x in (r.source, r.lang) if x is not None)) for r in df.collect()}
+    want = brute.quality([(d, *at[d], got[d].evidence) for d in got])
+    for d, (prior, score) in want.items():
+        assert got[d].prior == pytest.approx(prior) and got[d].score == pytest.approx(score)
+    twice = df.filter("doc_id < 3").unionByName(df.filter("doc_id < 3")).unionByName(df.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    assert quality_scores(twice, labels).count() == 7
+    kept = keep_good(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in rows)
+
+
+def test_quality_and_toxicity_on_held_out_rows(spark):
+    """Words that only one class uses, and rows whose labels are not given."""
+    df, labels = labelled_docs(spark)
+    given = labels.filter("doc_id % 5 <> 0")
+    got = {r.doc_id: r for r in quality_scores(df, given).collect()}
+    out = [d for d in range(240) if d % 5 == 0]
+    assert sum(got[d].kept == (d % 4 != 1) for d in out) >= 0.95 * len(out)
+    scores = {r.doc_id: r for r in toxicity(df, labels).collect()}
+    held = [d for d in range(240) if scores[d].held_out]
+    assert len(held) > 50 and sum((scores[d].score >= 0.7) == (d % 6 == 0) for d in held) >= 0.95 * len(held)
 
 
 def test_training_takes_six_thousand_rows_and_eight_hundred_steps(spark):
@@ -217,13 +261,23 @@ def test_training_takes_six_thousand_rows_and_eight_hundred_steps(spark):
 
 def test_mixing(spark, nothing):
     df, labels = labelled_docs(spark)
-    rows = mixed(df, labels, weights=(0.8, 0.1, 0.1)).collect()
-    total = np.zeros(3)
-    for r in rows:
-        total += r.tokens * r.rate * np.array(r.posterior)
-    assert np.allclose(total / total.sum(), (0.8, 0.1, 0.1), atol=0.03)
-    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+    df = df.withColumn("_tokens", F.lit(1)).withColumn("_bytes", F.lit(2)).withColumn("row", F.lit(3))
+    for weights in ((0.8, 0.1, 0.1), (0.45, 0.5, 0.05)):
+        out = mixed(df, labels, weights=weights).persist()
+        rows = out.collect()
+        total = np.zeros(3)
+        for r in rows:
+            total += r.tokens * r.rate * np.array(r.posterior)
+        assert np.allclose(total / total.sum(), weights, atol=0.002)
+        assert [x.expected for x in expected_totals(out, weights).collect()] == pytest.approx(list(total / total.sum()))
+        assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
+        # the same descent by hand, over plain arrays
+        p, t = np.array([r.posterior for r in rows]), np.array([r.tokens for r in rows], float)
+        assert np.allclose([r.rate for r in rows], brute.rates(p, t, np.array(weights)), atol=0.01)
     assert mixed(nothing, labels).count() == 0
+    ties = spark.createDataFrame([(1, "same words"), (2, "same words"), (2, "same words"), (None, "same words")], "doc_id long, text string")
+    got = mixed(ties, labels).collect()
+    assert len(got) == 4 and len({r.rate for r in got}) == 1 and len({r.copies for r in got if r.doc_id == 2}) == 1
 
 
 def test_extraction(spark):
