@@ -72,21 +72,31 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
 
 class FMIndex:
     """Backward search over the runs of a shard. Runs end in a symbol 0, so no
-    match crosses them; symbols are 1 .. sigma."""
+    match crosses them; symbols are 1 .. sigma. The suffix order is needed to build
+    the index only: what stays is the wavelet tree and a count for each symbol."""
 
     def __init__(self, sequence: np.ndarray):
-        self.sa = suffix_array(sequence)
-        last = sequence[self.sa - 1]  # the first suffix is preceded by the last symbol
+        last = sequence[suffix_array(sequence) - 1]  # the first suffix is preceded by the last symbol
+        self.size = len(sequence)
         self.sigma = int(sequence.max(initial=0)) + 1
         self.tree = WaveletTree(last.astype(np.int64), max(1, (self.sigma - 1).bit_length()))
         self.smaller = np.r_[0, np.cumsum(np.bincount(sequence, minlength=self.sigma))]
 
-    def intervals(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each start the suffix interval of text[start : start + length]."""
-        lo = np.zeros(len(starts), np.int64)
-        hi = np.full(len(starts), len(self.sa), np.int64)
-        for k in range(length - 1, -1, -1):
-            symbol = text[starts + k]
+    def matches(self, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in ``text`` the matching statistic: how many symbols before
+        it, up to ``most``, stand elsewhere too; and the first place of the suffix
+        interval of the longest such match, which equal matches share. A search goes
+        on for as long as its interval holds a second occurrence."""
+        length, begin = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        on = np.arange(len(ends))
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        for k in range(1, most + 1):
+            symbol = text[ends[on] - k]
             a, b = self.tree.rank(symbol, lo, hi)
             lo, hi = self.smaller[symbol] + a, self.smaller[symbol] + b
-        return lo, hi
+            several = np.flatnonzero(hi - lo > 1)
+            on, lo, hi = on[several], lo[several], hi[several]
+            if not len(on):
+                break
+            length[on], begin[on] = k, lo
+        return length, begin

@@ -29,12 +29,21 @@ ENDS = {
 NO_TEXT = frozenset(("script", "style", "template", "svg", "iframe", "noscript"))
 
 
+class Node:
+    """An open element: its names and the element around it, shared by all blocks inside."""
+
+    __slots__ = ("names", "parent", "total")
+
+    def __init__(self, names: tuple[str, ...], parent: Node | None):
+        self.names, self.parent, self.total = names, parent, None
+
+
 @dataclass
 class Leaf:
-    """A block: its text, the names on its path (outermost first) and the share of its text in links."""
+    """A block: its text, the innermost element it stands in and the share of its text in links."""
 
     text: str
-    path: tuple[tuple[str, ...], ...]
+    node: Node | None
     links: float
 
 
@@ -45,7 +54,7 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
         if key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
             out.append("hidden")
         elif key != "style":
-            out += [f".{w}" for w in NAME.findall(value)[:8]]
+            out += [f".{w}" for w in NAME.findall(value)]
     return tuple(out)
 
 
@@ -53,7 +62,7 @@ def leaves(page: str) -> list[Leaf]:
     """The blocks of a page in order. Character references are decoded, white
     space runs are one space, ends are trimmed; blocks without text are left out."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
     parts: list[str] = []
     in_links = size = depth = 0
 
@@ -62,10 +71,13 @@ def leaves(page: str) -> list[Leaf]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, tuple(n for _, n in stack), in_links / max(1, size)))
+                out.append(Leaf(text, stack[-1][1] if stack else None, in_links / max(1, size)))
             parts.clear()
             in_links = size = 0
 
+    def open_(tag: str, attrs: str):
+        stack.append((tag, Node(_names(tag, attrs), stack[-1][1] if stack else None)))
+
     def close(at: int):
         nonlocal depth
         if any(t in BLOCK for t, _ in stack[at:]):
@@ -85,7 +97,7 @@ def leaves(page: str) -> list[Leaf]:
                 continue
             flush()
             parts.append(m["raw_text"])
-            stack.append((raw, _names(raw, m["raw_attrs"])))
+            open_(raw, m["raw_attrs"])
             flush()
             stack.pop()
         elif m["tag"]:
@@ -119,7 +131,7 @@ def leaves(page: str) -> list[Leaf]:
                         close(at)
             if tag in VOID or m["attrs"].rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, _names(tag, m["attrs"])))
+            open_(tag, m["attrs"])
             depth += tag == "a"
     flush()
     return out

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .html_blocks import Leaf, leaves
+from .html_blocks import Leaf, Node, leaves
 from .repeats import _texts
 from .scratch import ship
 
@@ -35,27 +35,41 @@ def _slot(name: str, size: int) -> tuple[int, float]:
 
 
 @functools.lru_cache(1 << 14)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """The names on a path, hashed; the inner ones also by their distance from the leaf."""
+def _names_vector(names: tuple[str, ...], prefix: str) -> np.ndarray:
     out = np.zeros(PATH, np.float32)
-    for depth, names in enumerate(reversed(path)):
-        for name in names:
-            k, sign = _slot(name, PATH)
-            out[k] += sign
-            if depth < 2:
-                k, sign = _slot(f"{depth}:{name}", PATH)
-                out[k] += sign
+    for name in names:
+        k, sign = _slot(prefix + name, PATH)
+        out[k] += sign
+    return out
+
+
+def _path_vector(node: Node | None) -> np.ndarray:
+    """The names on a path, hashed; the inner ones also by their distance from the
+    leaf. An element keeps the sum of its path, so a page takes memory by its
+    elements, however deep they stand in one another."""
+    todo, at = [], node
+    while at is not None and at.total is None:
+        todo.append(at)
+        at = at.parent
+    for n in reversed(todo):
+        n.total = _names_vector(n.names, "") + (n.parent.total if n.parent else 0)
+    out = node.total.copy() if node else np.zeros(PATH, np.float32)
+    for depth in range(2):
+        if node is not None:
+            out += _names_vector(node.names, f"{depth}:")
+            node = node.parent
     return out
 
 
 def vectors(blocks: list[Leaf]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
     for i, b in enumerate(blocks):
-        out[i, :PATH] = _path_vector(b.path)
+        out[i, :PATH] = _path_vector(b.node)
         words = b.text.split(" ")
-        for w in words[:: max(1, len(words) // 16)]:  # a spread over the whole block
+        for w in words:
             k, sign = _slot(w.lower(), WORDS)
-            out[i, PATH + k] += 0.1 * sign
+            out[i, PATH + k] += sign
+        out[i, PATH : PATH + WORDS] *= 0.4 / np.sqrt(len(words))
         n = len(b.text)
         out[i, PATH + WORDS :] = (
             min(1.0, np.log1p(n) / 8),
@@ -63,8 +77,8 @@ def vectors(blocks: list[Leaf]) -> np.ndarray:
             b.links,
             b.text[-1] in ".!?…:;\"”»",
             min(1.0, sum(b.text.count(c) for c in ".,;!?") * 10 / n),
-            sum(map(str.isupper, b.text[:200])) / min(n, 200),
-            sum(map(str.isdigit, b.text[:200])) / min(n, 200),
+            sum(map(str.isupper, b.text)) / n,
+            sum(map(str.isdigit, b.text)) / n,
             i / len(blocks),
             1.0 / (1 + i),
             1.0 / (len(blocks) - i),
@@ -89,8 +103,8 @@ class Labeller:
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
         self.p["o"], self.p["oc"] = s(2 * HIDDEN, 1), np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """Hidden states of one direction over x (time, pages, WIDTH); and what the way back needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+        """Hidden states of one direction over x (time, pages, WIDTH); and, to ``keep``, what the way back needs."""
         t, n, _ = x.shape
         a = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
         h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
@@ -102,14 +116,15 @@ class Labeller:
             m = mask[k][:, None]
             now = f * c + i * u
             tc = np.tanh(now)
-            saved[k] = (h, c, i, f, o, u, tc, m)
+            if keep:
+                saved[k] = (h, c, i, f, o, u, tc, m)
             h, c = np.where(m, o * tc, h), np.where(m, now, c)
             out[k] = h
         return out, saved
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        f, sf = self._run(x, mask, "f")
-        b, sb = self._run(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+        f, sf = self._run(x, mask, "f", keep)
+        b, sb = self._run(x, mask, "b", keep)
         both = np.concatenate([f, b], axis=2)
         return _sigmoid(both @ self.p["o"] + self.p["oc"])[..., 0], both, sf, sb
 
@@ -140,7 +155,7 @@ class Labeller:
             order = [order[i : i + 24] for i in range(0, len(order), 24)]
             for group in order:
                 x, mask, y = pad([pages[i] for i in group])
-                p, both, sf, sb = self.forward(x, mask)
+                p, both, sf, sb = self.forward(x, mask, keep=True)
                 err = (np.where(mask, p - y, 0) / mask.sum()).astype(np.float32)[..., None]
                 g = {k: np.zeros_like(w) for k, w in self.p.items()}
                 g["o"] += both.reshape(-1, 2 * HIDDEN).T @ err.reshape(-1, 1)

@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import Scratch
-from .symbols import BASE, BLOCK, gram_hashes, leftmost_minima, member, mix, powers
+from .scratch import Scratch, shards_of, text_bytes
+from .symbols import BLOCK, gram_hashes, leftmost_minima, member, mix
 
 #: Anchors above this share of all occurrences are dealt by window content; at
 #: most so many exist, which bounds the list that is sent to every task.
@@ -59,8 +60,8 @@ class Rule:
     first: Callable[..., np.ndarray]
     #: True: the first document keeps all its windows of a content; False: only the first place
     whole_document: bool
-    #: shards for each shuffle partition
-    fine: int
+    #: bytes of text for each shard
+    share: int
     #: parts of a shard, indexed one after another
     parts: int
 
@@ -120,6 +121,8 @@ def _texts(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 def _binary(parts: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """parts, cut at the given places, as binary values."""
+    if parts.nbytes > np.iinfo(np.int32).max:
+        raise ValueError("a bucket of documents is too large: more shards are needed")
     offsets = (np.r_[cuts, len(parts)] * parts.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
 
@@ -218,23 +221,18 @@ def _flagged(rule: Rule, text, flags: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return units, at, key, member(short(key), known)
 
 
-def run_names(rule: Rule, content: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each run's units."""
-    wide = mix(rule.codes(content))
-    name = np.zeros(len(begins), np.uint64)
-    p = powers(BASE, max(int(lengths.max()), 1))
-    for lo in range(0, len(begins), 1 << 14):
-        hi = min(len(begins), lo + (1 << 14))
-        b, n = begins[lo:hi], lengths[lo:hi]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        name[lo:hi] = np.add.reduceat(wide[b[0] : b[0] + len(inside)] * p[inside], np.cumsum(n) - n)
-    return mix(name + lengths.astype(np.uint64))
+def run_names(content: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A name of 128 bits for each run's units, as two numbers."""
+    raw, wide = content.tobytes(), content.itemsize
+    names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip((begins * wide).tolist(), ((begins + lengths) * wide).tolist())]
+    return np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
 
 
 def first_owners(rule: Rule, name: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Of runs with one name, those that belong to the first owner."""
-    order = np.argsort(name)
-    begin = _changes(name[order])
+    order = np.lexsort((name[:, 1], name[:, 0]))
+    ordered = name[order]
+    begin = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)])
     count = np.diff(np.r_[begin, len(order)])
     doc = docs[order]
     mine = doc == np.repeat(np.minimum.reduceat(doc, begin), count)
@@ -261,10 +259,10 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
         content, docs, places, windows, keys = (np.concatenate(x) for x in (content, docs, places, windows, keys))
         lengths = windows + w - 1
         begins = np.r_[0, np.cumsum(lengths)[:-1]]
-        name = run_names(rule, content, begins, lengths)
+        name = run_names(content, begins, lengths)
         own = np.flatnonzero(first_owners(rule, name, docs, places))
         single = member(keys, hot) & (windows == 1)
-        key = np.where(single, name, keys)[own]
+        key = np.where(single, name[:, 0], keys)[own]
         part = (key % np.uint64(shards) * np.uint64(rule.parts) + key // np.uint64(shards) % np.uint64(rule.parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         own, part = own[order], part[order]
@@ -312,7 +310,7 @@ def _owners(rule: Rule, buckets: int):
         # tasks have sent some runs each for its own first owner: one owner stays
         lengths = windows + rule.window - 1
         begins = np.cumsum(lengths) - lengths
-        own = np.flatnonzero(first_owners(rule, run_names(rule, content, begins, lengths), docs, places))
+        own = np.flatnonzero(first_owners(rule, run_names(content, begins, lengths), docs, places))
         content, docs, places, windows = content[take_runs(own, begins, lengths)], docs[own], places[own], windows[own]
         first = rule.first(content, windows, docs, places)
         doc = np.repeat(docs, windows)[first]
@@ -365,26 +363,25 @@ def drop_repeats(docs: DataFrame, rule: Rule, finish: Callable, schema: str, id_
     """``finish(batch rows (id, bytes, flags, owned)) -> RecordBatch`` over all documents."""
     spark = docs.sparkSession
     scratch = Scratch(spark, rule.name)
-    shards = rule.fine * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"),
     )
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = buckets = shards_of(spark, text_bytes(source, "bytes"), rule.share)
     asked = scratch.keep(source.mapInArrow(_asked(rule, shards, buckets), "shard int, id long, blob binary"))
     answers = scratch.keep(
-        asked.filter("shard >= 0").select("shard", "blob").groupBy("shard")
+        asked.filter("shard >= 0").select("shard", "blob").repartition(shards, "shard").groupBy("shard")
         .applyInArrow(_answered(buckets), "id long, hot_key long, hot_count long, blob binary")
     )
     known = asked.filter("shard < 0").select("id", "blob").unionByName(answers.filter("hot_key is null").select("id", "blob"))
-    flags = scratch.keep(known.groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("flags")))
-    scratch.drop(asked)
+    flags = scratch.keep(known.repartition(buckets, "id").groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("flags")))
     # at most HOT_KEYS keys reach their share of all occurrences
     total = answers.agg(F.sum("hot_count")).collect()[0][0] or 0
     least = max(HOT_LEAST, total // HOT_KEYS)
     hot = np.sort(np.array([r[0] for r in answers.filter(F.col("hot_count") >= least).select("hot_key").collect()], np.uint64))
+    scratch.drop(asked, answers)
     runs = source.join(flags, "id").mapInArrow(_runs(rule, shards, hot), "shard int, id long, blob binary")
-    owned = scratch.keep(runs.select("shard", "blob").groupBy("shard").applyInArrow(_owners(rule, buckets), "id long, blob binary"))
-    owned = owned.groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("owned"))
+    owned = scratch.keep(runs.select("shard", "blob").repartition(shards, "shard").groupBy("shard").applyInArrow(_owners(rule, buckets), "id long, blob binary"))
+    owned = owned.repartition(buckets, "id").groupBy("id").applyInArrow(_by_id, "id long, blob binary").select("id", F.array("blob").alias("owned"))
     ready = source.join(flags, "id", "left").join(owned, "id", "left")
     return ready.mapInArrow(finish, schema)

@@ -1,11 +1,11 @@
 """Substring dedup of word windows with a compressed FM-index per shard.
 
-A shard concatenates its runs, indexes them (suffix order, Burrows-Wheeler
-transform, wavelet tree over packed bit vectors). Windows are grouped by a 64-bit
-hash: one with a hash of its own is unmatched and not searched, since equal windows
-have equal hashes. One window of each other hash goes through backward search at
-the full window length; the interval gives every occurrence of its words, and the
-first is kept. No matching statistics are computed.
+A shard concatenates its runs and indexes them (suffix order, Burrows-Wheeler
+transform, wavelet tree over packed bit vectors). The runs are then streamed
+through backward search from the end of every window: the matching statistic says
+how many of its words, last to first, stand elsewhere too. Windows whose statistic
+reaches the full length repeat; equal windows share a suffix interval, and the
+first of them by document and place is kept.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .fm_index import FMIndex
-from .repeats import NO_ID, Rule, _changes, _texts, covered, drop_repeats
-from .symbols import gram_hashes, word_bounds, word_hashes
+from .repeats import NO_ID, Rule, _texts, covered, drop_repeats
+from .symbols import word_bounds, word_hashes
 
 WINDOW = 20
 #: Windows searched at once.
@@ -39,27 +39,17 @@ def first_places(content, windows, docs, places) -> np.ndarray:
     spots = np.repeat(begins, windows) + nth
     doc, place = np.repeat(docs, windows), np.repeat(places, windows) + nth
     index = FMIndex(text)
-    # what each suffix stands for: the rank of its window among all by document and place
-    order = np.lexsort((place, doc))
-    age = np.full(len(text), len(text), np.int64)
-    age[spots[order]] = np.arange(len(order))
-    age = age[index.sa]
+    found, begin = [], []
+    for a in range(0, len(spots), AT_ONCE):
+        length, at = index.matches(text, spots[a : a + AT_ONCE] + WINDOW, WINDOW)
+        again = np.flatnonzero(length == WINDOW)
+        found.append(again + a)
+        begin.append(at[again])
+    again, interval = np.concatenate(found), np.concatenate(begin)
+    order = np.lexsort((place[again], doc[again], interval))
+    again, interval = again[order], interval[order]
     first = np.ones(len(spots), bool)
-    # windows with one hash are searched once, those alone with theirs not at all
-    name = gram_hashes(text.astype(np.uint64) + np.uint64(1), WINDOW)[spots]
-    by_name = np.argsort(name, kind="stable")
-    at = _changes(name[by_name])
-    size = np.diff(np.r_[at, len(by_name)])
-    ask = by_name[at[size > 1]]
-    for a in range(0, len(ask), AT_ONCE):
-        part = ask[a : a + AT_ONCE]
-        lo, hi = index.intervals(text, spots[part], WINDOW)
-        n = hi - lo
-        slots = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ages = age[slots]
-        least = np.minimum.reduceat(ages, np.cumsum(n) - n)
-        late = ages[ages != np.repeat(least, n)]
-        first[order[late]] = False
+    first[again[1:][interval[1:] == interval[:-1]]] = False
     return first
 
 
@@ -68,7 +58,7 @@ def _words(text) -> np.ndarray:
     return word_hashes(data, *word_bounds(data))
 
 
-RULE = Rule("substring-dedup", WINDOW, 6, _words, lambda units: units, first_places, False, 1, 2)
+RULE = Rule("substring-dedup", WINDOW, 6, _words, lambda units: units, first_places, False, 32 << 20, 2)
 
 
 def _finish(with_text: bool):

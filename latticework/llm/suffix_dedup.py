@@ -3,7 +3,9 @@
 A shard sorts the suffixes of its runs: the first buckets hold equal 8-grams; a
 bucket is then split by the bucket pointers of its members' suffixes 8, 16 and
 18 symbols on, so that each pass reuses what the last one refined, until buckets
-hold equal 50-byte strings. Buckets of one suffix are left alone.
+hold equal 50-byte strings. A pass reads the pointers that the one before it left:
+pointers refreshed inside a pass may tell apart strings that differ only beyond
+50 bytes, and such strings are equal here. Buckets of one suffix are left alone.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ def bucket_pointers(text: np.ndarray, left: np.ndarray, depth: int, gram: int =
     from a place to the end of its run. Of the places with ``depth`` bytes left,
     those with one pointer have equal ``depth`` bytes."""
     n = len(text)
+    if n + depth >= 1 << 31:
+        raise ValueError("a shard of bytes is too large: pointers of 31 bits are sorted in pairs")
     active = np.flatnonzero(left >= gram)
     padded = np.r_[text, np.zeros(gram, np.uint8)].astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -76,7 +80,7 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer(text, np.uint8)
 
 
-RULE = Rule("suffix-dedup", WINDOW, 20, _bytes, lambda units: BYTE_CODES[units], first_documents, True, 2, 8)
+RULE = Rule("suffix-dedup", WINDOW, 20, _bytes, lambda units: BYTE_CODES[units], first_documents, True, 16 << 20, 4)
 
 
 def _finish(with_text: bool):

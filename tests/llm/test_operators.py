@@ -300,8 +300,21 @@ def test_extraction(spark):
     assert right / every > 0.97
 
 
+def test_deep_pages_take_memory_by_their_elements():
+    import tracemalloc
+
+    peaks = []
+    for depth in (1000, 4000):
+        tracemalloc.start()
+        blocks = leaves("<div class='a b'>x" * depth)
+        assert vectors(blocks).shape[0] == len(blocks) == depth
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0]
+
+
 def test_leaves_close_what_html_closes():
-    got = [(b.text, b.path[-1][0] if b.path else "") for b in leaves("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<div>e</div>f<table><tr><td>g<td>h</table>")]
+    got = [(b.text, b.node.names[0] if b.node else "") for b in leaves("<ul><li>a<li>b<ul><li>c</ul></ul><p>d<div>e</div>f<table><tr><td>g<td>h</table>")]
     assert got == [("a", "li"), ("b", "li"), ("c", "li"), ("d", "p"), ("e", "div"), ("f", got[5][1]), ("g", "td"), ("h", "td")]
 
 
