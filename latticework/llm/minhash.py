@@ -6,11 +6,15 @@ k hash evaluations. A band joins several of them; members of one bucket (equal
 bands) are candidates. No bucket's pairs are listed:
 
 1. Each task joins its members of a bucket under the smallest of them, and a
-   shard those of the tasks, so a bucket of any size is a star. The pairs of the
-   stars are verified on full sets and united.
-2. Buckets whose members still lie in several components are searched whole.
-   What such buckets connect is a family; a family's sets meet in one place, or,
-   if they are too large together, in pairs of blocks. A kernel counts the
+   shard those of the tasks, so no shard sees all of a large bucket.
+2. All members of a bucket are compared with its head, the smallest: as many
+   pairs as members. Links are united. By the triangle inequality of the Jaccard
+   distance, two linked members are both near the head or both far from it, so
+   the far ones take a new head among themselves. Members that met by chance come
+   apart in this way.
+3. Near members that still lie in several components are searched whole. What
+   their buckets connect is a family; a family's sets meet in one place, or, if
+   they are too large together, in pairs of blocks. A kernel counts the
    overlaps of each member through an inverted index of the elements, leaves out
    members whose own elements already rule out every link, and returns links that
    join different components only: fewer than it has members.
@@ -19,6 +23,7 @@ bands) are candidates. No bucket's pairs are listed:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,11 @@ CELL = 1 << 22
 #: Elements of the pairs that are verified at once.
 VERIFIED = 1 << 21
 
+#: Heads that a bucket has one after another before the rest of it is searched whole.
+TURNS = 3
+#: Members at least so similar to their head stay together.
+NEAR = 0.3
+
 #: sets as sent -> (all their elements as 64-bit hashes, one set after another; number of elements of each)
 Elements = Callable[[list], tuple[np.ndarray, np.ndarray]]
 
@@ -155,10 +165,10 @@ def _distinct(row: np.ndarray, element: np.ndarray, rows: int) -> tuple[np.ndarr
     return packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed, bits
 
 
-def similar(a: list, b: list, percent: int, elements: Elements) -> np.ndarray:
-    """Which sets of a overlap enough with their sets in b. Elements are compared by
-    54 bits at least of their hashes, inside one pair."""
-    good = np.zeros(len(a), bool)
+def similar(a: list, b: list, percent: int, elements: Elements) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of a overlap enough with their sets in b, and the similarities.
+    Elements are compared by 54 bits at least of their hashes, inside one pair."""
+    good, ratio = np.zeros(len(a), bool), np.zeros(len(a))
     sizes = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
     cuts = np.cumsum(sizes)
     at = 0
@@ -174,24 +184,26 @@ def similar(a: list, b: list, percent: int, elements: Elements) -> np.ndarray:
         every = np.sort(np.concatenate(sides))
         both = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(bits)).astype(np.int64), minlength=rows)
         good[at:stop] = 100 * both >= percent * (n + m - both)
+        ratio[at:stop] = both / np.maximum(1, n + m - both)
         at = stop
-    return good
+    return good, ratio
 
 
 def _verified(percent: int, elements: Elements):
     def run(batches):
         for batch in batches:
             sets = ([x.as_buffer() for x in batch.column(c)] for c in ("set_a", "set_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(similar(*sets, percent, elements)))
+            good, ratio = similar(*sets, percent, elements)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good), pa.array(ratio)], ["a", "b", "linked", "ratio"])
 
     return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int, elements: Elements) -> DataFrame:
-    """The pairs (a, b) whose full sets have that Jaccard similarity at least."""
+    """a, b, linked, ratio: whether the full sets of the pairs (a, b) have that Jaccard similarity, and which they have."""
     x = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     y = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent, elements), "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified(percent, elements), "a long, b long, linked boolean, ratio double")
 
 
 PACKED_SCHEMA = "shard int, blob binary"
@@ -339,17 +351,30 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     """
     met = scratch.keep(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_met, "key long, id long, head long"))
     sets = scratch.keep(sets_of(met.select(F.explode(F.array("id", "head")).alias("id")).distinct()))
-    star = met.filter("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    links = scratch.keep(verify(star, sets, percent, elements))
-    roots = components(links, scratch)
-    # buckets whose members lie in several components; the pairs with the head of a plain star are known
-    place = scratch.keep(met.join(roots, "id", "left").select("key", "id", "head", F.coalesce("root", "id").alias("root")))
+    left = scratch.keep(met.select("key", F.explode(F.array("id", "head")).alias("id")).distinct())
     scratch.drop(met)
-    other = F.when(F.col("id") != F.col("head"), F.col("root"))
-    ends = lambda x, name: (F.min(x).alias(f"lo{name}"), F.max(x).alias(f"hi{name}"))
-    open_ = place.groupBy("key").agg(*ends("root", ""), *ends(other, "_other"), (F.min("head") == F.max("head")).alias("plain"), F.min("id").alias("least"))
-    open_ = open_.filter("case when plain then lo_other < hi_other else lo < hi end").select("key", "plain", "least")
-    place_open = scratch.keep(place.join(open_, "key").filter("not plain or id <> head").select("id", "root", "least").distinct())
+    links, near = [], []
+    for turn in range(TURNS):
+        # the smallest member of each bucket is its head
+        heads = left.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+        star = scratch.keep(left.join(heads, "key").filter("id <> head").select("key", F.col("id").alias("a"), F.col("head").alias("b")))
+        scratch.drop(left)
+        told = scratch.keep(verify(star.select("a", "b").distinct(), sets, percent, elements))
+        links.append(told)
+        star = star.join(told.select("a", "b", "ratio"), ["a", "b"])
+        # 1 - similarity is a metric: of two linked members both are as near to the head as this or both as far as that
+        near.append(scratch.keep(star.filter(F.col("ratio") >= NEAR).select(F.lit(turn).alias("turn"), "key", F.col("a").alias("id"))))
+        left = scratch.keep(star.filter(F.col("ratio") < NEAR + 1 - percent / 100 + 1e-9).select("key", F.col("a").alias("id")))
+    near.append(left.select(F.lit(TURNS).alias("turn"), "key", "id"))
+    found = reduce(DataFrame.unionByName, [t.filter("linked").select("a", "b") for t in links])
+    roots = components(found, scratch)
+    scratch.drop(*links)
+    # what is left of a bucket and still lies in several components
+    place = reduce(DataFrame.unionByName, near).join(roots, "id", "left").select("turn", "key", "id", F.coalesce("root", "id").alias("root"))
+    place = scratch.keep(place)
+    scratch.drop(*near[:-1], left)
+    open_ = place.groupBy("turn", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("least")).filter("lo < hi")
+    place_open = scratch.keep(place.join(open_.select("turn", "key", "least"), ["turn", "key"]).select("id", "root", "least").distinct())
     scratch.drop(place)
     chained_kept = components(place_open.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
     chained = chained_kept.withColumnRenamed("root", "family")
@@ -370,10 +395,10 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     more = scratch.keep(dealt.groupBy("cell").applyInArrow(_families(percent, elements), "a long, b long"))
     scratch.drop(items)
     if more.isEmpty():
-        scratch.drop(links, more)
+        scratch.drop(more)
         return roots
     # links join roots: the components of the roots take their members along
     joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     out = components(joined, scratch)
-    scratch.drop(links, roots, more)
+    scratch.drop(roots, more)
     return out
