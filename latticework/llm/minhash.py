@@ -14,10 +14,10 @@ bands) are candidates. No bucket's pairs are listed:
    apart in this way.
 3. Near members that still lie in several components are searched whole. What
    their buckets connect is a family; a family's sets meet in one place, or, if
-   they are too large together, in pairs of blocks. A kernel counts the
-   overlaps of each member through an inverted index of the elements, leaves out
-   members whose own elements already rule out every link, and returns links that
-   join different components only: fewer than it has members.
+   they are too large together, in pairs of blocks. A kernel finds each member's
+   partners through an inverted index of the rarest elements, of which two linked
+   sets share one, counts the overlaps, and returns links that join different
+   components only: fewer than it has members.
 """
 
 from __future__ import annotations
@@ -273,6 +273,11 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "id", "head"])
 
 
+def _spots(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after another."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, elements: Elements) -> list[tuple[int, int]]:
     """Links between sets of different components that join them, a forest.
 
@@ -291,12 +296,15 @@ def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, element
     shared = seen[code] > 1
     code, row = code[shared], row[shared]
     most = np.bincount(row, minlength=len(sets))
-    able = 100 * most >= percent * n
-    on = able[row]
-    code, row = code[on], row[on]
-    by_code = np.argsort(code, kind="stable")
-    posting, begin = row[by_code], np.searchsorted(code[by_code], np.arange(len(seen) + 1))
+    # a link shares an element among the rarest of either side: all but as many as it must share, and one more
+    order = np.lexsort((code, seen[code], row))
+    code, row = code[order], row[order]
     mine = np.searchsorted(row, np.arange(len(sets) + 1))
+    rare = np.maximum(0, n - -(-percent * n // 100) + 1 - (n - most))
+    head = np.arange(len(row)) - mine[row] < rare[row]
+    by_code = np.flatnonzero(head)[np.argsort(code[head], kind="stable")]
+    posting, begin = row[by_code], np.searchsorted(code[by_code], np.arange(len(seen) + 1))
+    marked = np.zeros(len(seen), bool)
     parent = {r: r for r in root.tolist()}
 
     def find(x):
@@ -307,14 +315,20 @@ def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, element
 
     out = []
     across = bool(side.any())
-    for i in np.flatnonzero(able & (side == 0)).tolist():
-        codes = code[mine[i] : mine[i + 1]]
-        a, size = begin[codes], begin[codes + 1] - begin[codes]
-        spots = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        both = np.bincount(posting[spots], minlength=len(sets))
-        near = 100 * both >= percent * (n[i] + n - both)
-        near &= (side == 1) if across else (np.arange(len(sets)) > i)
-        for j in np.flatnonzero(near).tolist():
+    for i in np.flatnonzero((rare > 0) & (side == 0)).tolist():
+        codes = code[mine[i] : mine[i] + rare[i]]
+        spots = _spots(begin[codes], begin[codes + 1] - begin[codes])
+        other = np.unique(posting[spots])
+        other = other[(side[other] == 1) if across else (other > i)]
+        other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+        if not len(other):
+            continue
+        marked[code[mine[i] : mine[i + 1]]] = True
+        size = mine[other + 1] - mine[other]
+        both = np.add.reduceat(marked[code[_spots(mine[other], size)]].astype(np.int64), np.cumsum(size) - size)
+        marked[code[mine[i] : mine[i + 1]]] = False
+        near = 100 * both >= percent * (n[i] + n[other] - both)
+        for j in other[near].tolist():
             x, y = find(int(root[i])), find(int(root[j]))
             if x != y:
                 parent[max(x, y)] = min(x, y)
