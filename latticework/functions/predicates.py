@@ -56,14 +56,14 @@ class Predicate:
         return Predicate(p.right, symmetric(p.op), p.left, p.r, p.l) if p.l > p.r else p
 
     def test(self, of: Callable[[str, int], Column]) -> Column:
-        """The test as a Column that is never null: a null equals a null and is neither less nor more than anything."""
+        """The test as a Column that is never null: a null equals a null and is less
+        than any value, so that just one of <, = and > holds."""
         a, b = of(self.left, self.l), of(self.right, self.r)
-        if self.op == "=":
-            return a.eqNullSafe(b)
-        if self.op == "<>":
-            return ~a.eqNullSafe(b)
-        plain = {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[self.op]
-        return F.coalesce(plain, F.lit(False))
+        less = lambda x, y: F.coalesce(x < y, x.isNull() & y.isNotNull())
+        return {
+            "=": lambda: a.eqNullSafe(b), "<>": lambda: ~a.eqNullSafe(b), "<": lambda: less(a, b), ">": lambda: less(b, a),
+            "<=": lambda: ~less(b, a), ">=": lambda: ~less(a, b),
+        }[self.op]()
 
     def __str__(self) -> str:
         return f"t{self.l + 1}.{self.left} {self.op} t{self.r + 1}.{self.right}"

@@ -9,10 +9,13 @@ BLOCK_ROWS = 2_000
 
 
 def distinct_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The distinct rows as _id, _times and columns _0, _1, ...: what pair plans work on."""
+    """The distinct rows as _id, _times and columns _0, _1, ...: what pair plans work
+    on. A row's id is its content behind a hash of it, so both sides of a self join
+    agree on it, whatever order their rows are in and however often they are made."""
     out = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
     out = out.groupBy(*[f"_{i}" for i in range(len(columns))]).agg(F.count("*").alias("_times"))
-    return out.withColumn("_id", F.monotonically_increasing_id())
+    content = [F.col(f"_{i}") for i in range(len(columns))]
+    return out.withColumn("_id", F.struct(F.xxhash64(*content).alias("hash"), *content))
 
 
 def sides(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
