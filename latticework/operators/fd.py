@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.masks import bits, invert_agree_sets, next_level
-from ..plans.encode import keyed
-from ..plans.kernels import Counter, agree_sets, mask_words, word_value
-from ..plans.pairs import distinct_rows, neighbour_pairs
+from ..plans.kernels import Counter, agree_sets
 from ..sources.tables import attributes
 
 SCHEMA = "lhs string, rhs string, lhs_size int"
+#: Rows that each column gives to the sample of a hybrid search.
+SAMPLE_ROWS = 2_000
+#: How far apart rows of the sample are compared.
+DISTANCES = (1, 2, 3, 5, 8)
 
 
 def names(mask: int, columns: list[str]) -> str:
@@ -71,16 +75,43 @@ def by_validation(count: Counter, n: int, seed: set[int], most: int | None = Non
     return out
 
 
-def sampled_agree_sets(df: DataFrame, columns: list[str], null_equals_null: bool = True, distances: int = 2) -> set[int]:
-    """Agree sets of rows that stand near each other among the rows of one value."""
-    rows = distinct_rows(keyed(df, columns, null_equals_null), columns)
+def sampled_rows(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """For each column up to SAMPLE_ROWS rows, of the values of least hash first: whole
+    groups of rare values, and some rows of frequent ones. Which rows these are
+    depends on contents alone. Thinning before the sort leaves each task little to
+    send, by value, or by content for values that make up much of the table."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    thin = max(1, rows // (1_000 * SAMPLE_ROWS))
+    out = None
+    for c in columns:
+        value = F.xxhash64(F.col(f"`{c}`"))
+        by_value, by_content = F.pmod(value, F.lit(thin)) == 0, F.pmod(content, F.lit(thin)) == 0
+        part = df.filter(by_value | by_content).orderBy(~by_value, value, content).limit(SAMPLE_ROWS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sampled_agree_sets(df: DataFrame, columns: list[str], rows: int, null_equals_null: bool = True) -> set[int]:
+    """Agree sets of rows that stand near each other among the rows of one value in
+    the sample. At most SAMPLE_ROWS rows a column reach the driver; they only seed a
+    search. Tables with nested columns, whose values have no plain codes, get no seeds."""
+    kinds = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
+    if not rows or not all(isinstance(f.dataType, kinds) for f in df.schema):
+        return set()
+    # -0.0 and NaNs as the counts see them
+    plain = [F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0)).cast(t).alias(n) if t in ("double", "float") else c.alias(n) for n, t, c in ((n, t, F.col(f"`{n}`")) for n, t in df.dtypes)]
+    sample = sampled_rows(df.select(*plain), columns, rows).toArrow()
+    codes = np.stack([sample[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns], 1)
     n, out = len(columns), set()
-    for d in range(1, distances + 1):
-        masks = neighbour_pairs(rows, n, d).select(*mask_words([F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(n)])).distinct()
-        new = {word_value(r, n) for r in masks.collect()} - out
-        if not new:
-            break
-        out |= new
+    for i in range(n):
+        for turn in (1, -1):  # the first of the keys counts last in lexsort
+            order = np.lexsort([codes[:, (i + turn * k) % n] for k in range(n - 1, -1, -1)])
+            for d in DISTANCES:
+                a, b = codes[order[d:]], codes[order[:-d]]
+                same = (a == b) & (null_equals_null | (a >= 0))
+                same = same[same[:, i] & ~same.all(1)]
+                packed = np.unique(np.packbits(same, axis=1, bitorder="little"), axis=0)
+                out |= {int.from_bytes(m.tobytes(), "little") for m in packed}
     return out
 
 
@@ -100,7 +131,8 @@ def discover_fds(
         elif method == "difference":
             found = invert_agree_sets(agree_sets(df, columns, pair_plan, null_equals_null), len(columns), most)
         elif method == "hybrid":
-            found = by_validation(Counter(df, columns, null_equals_null), len(columns), sampled_agree_sets(df, columns, null_equals_null), most)
+            count = Counter(df, columns, null_equals_null)
+            found = by_validation(count, len(columns), sampled_agree_sets(df, columns, count.rows, null_equals_null), most)
         else:
             raise ValueError(f"unknown method: {method}")
     finally:

@@ -58,7 +58,7 @@ def discover_uccs(
         elif method == "difference":
             found = invert_for_keys(agree_sets(df, columns, pair_plan, null_equals_null), len(columns), most)
         elif method == "hybrid":
-            found = by_validation(count, len(columns), sampled_agree_sets(df, columns, null_equals_null), most)
+            found = by_validation(count, len(columns), sampled_agree_sets(df, columns, count.rows, null_equals_null), most)
         else:
             raise ValueError(f"unknown method: {method}")
     finally:
