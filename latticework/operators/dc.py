@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.masks import bits, hitting_sets, maximal
 from ..functions.predicates import Constraint, Predicate, minimize, predicate_space, text
-from ..plans.kernels import evidence, word_value
+from ..plans.kernels import evidence, mask_words, word_value
 from ..plans.pairs import distinct_rows, neighbour_pairs, partner_pairs, sides, triangle_pairs
 from ..sources.tables import attributes
 from .stats import likeness
@@ -100,9 +100,10 @@ def discover_dcs(
         n = len(columns)
         sample = partner_pairs(base, n, partners).unionByName(neighbour_pairs(base, n))
         known = {word_value(r, len(space)) for r in evidence(df, columns, space, pairs=sample).collect()}
-        twice = base.filter("_times > 1").limit(1).count()
-        if twice:  # equal rows satisfy just the predicates that accept equality inside a row
-            known |= {word_value(r, len(space)) for r in evidence(df, columns, space, "triangle").collect()}
+        # equal rows satisfy just the predicates that accept equality inside a row
+        at = {c: i for i, c in enumerate(columns)}
+        own = base.filter("_times > 1").select(*mask_words([p.test(lambda c, r: F.col(f"_{at[c]}")) for p in space]))
+        known |= {word_value(r, len(space)) for r in own.distinct().collect()}
         checked: set[Constraint] = set()
         while True:
             suggested = covers(known, space, most)

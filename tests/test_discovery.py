@@ -54,6 +54,11 @@ def test_lineitem_is_searched_whole(spark):
         assert (len(got), max(r[-1] for r in got)) == (n, 6)
 
 
+def test_constraints_of_repeated_rows_and_nulls(spark):
+    df = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (2, None), (2, 1)], "a long, b long")
+    assert found(discover_dcs(df, method="hybrid")) == found(discover_dcs(df, method="evidence"))
+
+
 @pytest.mark.parametrize("method", ("evidence", "hybrid"))
 def test_sample_constraints(sample, method):
     assert discover_dcs(sample, id_col="index", method=method).count() == 17
