@@ -39,7 +39,11 @@ AT_ONCE = 1 << 17
 #: Band keys that one shard sorts.
 SHARD_KEYS = 1 << 22
 #: Elements of sets that one task compares with one another.
-CELL = 1 << 22
+CELL = 1 << 21
+#: Bytes of sets that become elements at once in a cell.
+PART = 1 << 18
+#: Rare elements that two sets must have in common to be compared.
+COMMON = 8
 #: Elements of the pairs that are verified at once.
 VERIFIED = 1 << 21
 
@@ -278,60 +282,76 @@ def _spots(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+def _codes(sets: list, elements: Elements) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct elements of each set that other sets have too, as numbers, with
+    the set of each, ordered by set and number; and the sizes of the whole sets.
+    Sets are read in parts, so that what ``elements`` needs meanwhile stays small."""
+    parts, n, at = [], [], 0
+    sizes = np.cumsum([len(x) for x in sets])
+    while at < len(sets):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
+        element, count = elements(sets[at:stop])
+        parts.append(element)
+        n.append(count)
+        at = stop
+    number = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.uint64)
+    del parts
+    row = np.repeat(np.arange(len(sets), dtype=np.uint64), np.concatenate(n))
+    packed = np.sort(row << np.uint64(32) | number)
+    packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
+    row, code = (packed >> np.uint64(32)).astype(np.int32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    n = np.bincount(row, minlength=len(sets))
+    # elements of one set alone are in no overlap
+    shared = (np.bincount(code) > 1)[code]
+    return code[shared], row[shared], n
+
+
 def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, elements: Elements) -> list[tuple[int, int]]:
     """Links between sets of different components that join them, a forest.
 
     ``root``: the component of each set. ``side``: 0, or two blocks 0 and 1 of
     which only pairs across count; then links inside a block are known elsewhere.
+
+    Elements have one order, the rarest first. Two linked sets share at least
+    ``need`` elements each, percent of their size. So the first ``COMMON`` shared
+    ones lie among the first size - need + COMMON of either set: sets with fewer
+    in common there are not compared.
     """
-    element, n = elements(sets)
-    row = np.repeat(np.arange(len(sets)), n)
-    order = np.lexsort((element, row))
-    element, row = element[order], row[order]
-    new = np.r_[True, (element[1:] != element[:-1]) | (row[1:] != row[:-1])]
-    element, row = element[new], row[new]
-    n = np.bincount(row, minlength=len(sets))
-    # elements of one set alone are in no overlap
-    _, code, seen = np.unique(element, return_inverse=True, return_counts=True)
-    shared = seen[code] > 1
-    code, row = code[shared], row[shared]
-    most = np.bincount(row, minlength=len(sets))
-    # a link shares an element among the rarest of either side: all but as many as it must share, and one more
+    code, row, n = _codes(sets, elements)
+    seen = np.bincount(code)
     order = np.lexsort((code, seen[code], row))
     code, row = code[order], row[order]
     mine = np.searchsorted(row, np.arange(len(sets) + 1))
-    rare = np.maximum(0, n - -(-percent * n // 100) + 1 - (n - most))
-    head = np.arange(len(row)) - mine[row] < rare[row]
-    by_code = np.flatnonzero(head)[np.argsort(code[head], kind="stable")]
+    need = -(-percent * n // 100)
+    rare = np.maximum(0, np.minimum(n, n - need + COMMON) - (n - np.diff(mine)))
+    head = np.flatnonzero(np.arange(len(row)) - mine[row] < rare[row])
+    by_code = head[np.argsort(code[head], kind="stable")]
     posting, begin = row[by_code], np.searchsorted(code[by_code], np.arange(len(seen) + 1))
     marked = np.zeros(len(seen), bool)
-    parent = {r: r for r in root.tolist()}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    component = root.copy()
     out = []
     across = bool(side.any())
     for i in np.flatnonzero((rare > 0) & (side == 0)).tolist():
         codes = code[mine[i] : mine[i] + rare[i]]
-        spots = _spots(begin[codes], begin[codes + 1] - begin[codes])
-        other = np.unique(posting[spots])
+        common = np.bincount(posting[_spots(begin[codes], begin[codes + 1] - begin[codes])], minlength=len(sets))
+        other = np.flatnonzero(common)
         other = other[(side[other] == 1) if across else (other > i)]
-        other = other[(root[other] != root[i]) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
+        most = np.maximum(n[other], n[i])
+        other = other[
+            (component[other] != component[i])
+            & (100 * np.minimum(n[other], n[i]) >= percent * most)
+            & (common[other] >= np.minimum(COMMON, -(-percent * most // 100)))
+        ]
         if not len(other):
             continue
         marked[code[mine[i] : mine[i + 1]]] = True
         size = mine[other + 1] - mine[other]
-        both = np.add.reduceat(marked[code[_spots(mine[other], size)]].astype(np.int64), np.cumsum(size) - size)
+        both = np.add.reduceat(marked[code[_spots(mine[other], size)]].astype(np.int32), np.cumsum(size) - size)
         marked[code[mine[i] : mine[i + 1]]] = False
-        near = 100 * both >= percent * (n[i] + n[other] - both)
-        for j in other[near].tolist():
-            x, y = find(int(root[i])), find(int(root[j]))
+        for j in other[100 * both >= percent * (n[i] + n[other] - both)].tolist():
+            x, y = component[i], component[j]
             if x != y:
-                parent[max(x, y)] = min(x, y)
+                component[component == max(x, y)] = min(x, y)
                 out.append((int(root[i]), int(root[j])))
     return out
 
