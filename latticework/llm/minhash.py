@@ -12,10 +12,11 @@ bands) are candidates. No bucket's pairs are listed:
    distance, two linked members are both near the head or both far from it, so
    the far ones take a new head among themselves. Members that met by chance come
    apart in this way.
-3. Near members that still lie in several components are searched whole. What
-   their buckets connect is a family; a family's sets meet in one place, or, if
-   they are too large together, in pairs of blocks. A kernel finds each member's
-   partners through an inverted index of the rarest elements, of which two linked
+3. Near members that still lie in several components are searched whole. Buckets
+   of one smallest member are a family; buckets that merely share some member stay
+   apart, as a chain of them would take in much of a large corpus. A family's sets
+   meet in one place, or, if they are too large together, in pairs of blocks, a
+   round after another. A kernel finds each member's partners through an inverted index of the rarest elements, of which two linked
    sets share one, counts the overlaps, and returns links that join different
    components only: fewer than it has members.
 """
@@ -40,6 +41,8 @@ AT_ONCE = 1 << 17
 SHARD_KEYS = 1 << 22
 #: Elements of sets that one task compares with one another.
 CELL = 1 << 21
+#: Copies of a family's sets that pairs of blocks may have on disk at once, as a multiple of all families' sets.
+COPIES = 2
 #: Bytes of sets that become elements at once in a cell.
 PART = 1 << 18
 #: Rare elements that two sets must have in common to be compared.
@@ -408,31 +411,33 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     place = scratch.keep(place)
     scratch.drop(*near[:-1], left)
     open_ = place.groupBy("turn", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("least")).filter("lo < hi")
-    place_open = scratch.keep(place.join(open_.select("turn", "key", "least"), ["turn", "key"]).select("id", "root", "least").distinct())
-    scratch.drop(place)
-    chained_kept = components(place_open.select(F.col("id").alias("a"), F.col("least").alias("b")), scratch)
-    chained = chained_kept.withColumnRenamed("root", "family")
-    items = place_open.select("id", "root").distinct().join(chained, "id").join(sets, "id")
-    items = scratch.keep(items.select("family", "id", "root", "set"))
-    scratch.drop(place_open, sets, chained_kept)
+    items = place.join(open_.select("turn", "key", "least"), ["turn", "key"]).select(F.col("least").alias("family"), "id", "root").distinct()
+    items = scratch.keep(items.join(sets, "id").select("family", "id", "root", "set"))
+    scratch.drop(place, sets)
     weight = F.octet_length("set") / width
-    total = items.agg(F.sum(weight)).collect()[0][0] or 0
-    blocks = items.groupBy("family").agg(F.ceil(F.sum(weight) / cell).cast("long").alias("blocks"))
-    cells = shards_of(scratch.spark, int(total), cell)
-    dealt = items.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))))
+    blocks = items.groupBy("family").agg(F.ceil(F.sum(weight) / cell).cast("long").alias("blocks"), F.sum(weight).alias("weight"))
+    total, copied = blocks.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("blocks"))).collect()[0]
+    cells = shards_of(scratch.spark, int(total or 0), cell)
+    rounds = -(-int(copied or 0) // max(1, int(COPIES * (total or 0)))) or 1
+    dealt = items.join(blocks.drop("weight"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.greatest("blocks", F.lit(1))))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "root", "set", "blocks")
     cell_of = F.pmod(F.xxhash64("family", "lo", "hi"), F.lit(cells)).cast("int")
     # a family of many blocks has a group for each pair of them
     group = F.when(F.col("blocks") > 1, F.xxhash64("family", "lo", "hi")).otherwise(cell_of.cast("long"))
-    dealt = dealt.select(group.alias("cell"), "family", "lo", "hi", "block", "root", "set").repartition(cells, "cell")
-    more = scratch.keep(dealt.groupBy("cell").applyInArrow(_families(percent, elements), "a long, b long"))
+    turn_of = F.pmod(F.xxhash64("family", "lo", "hi", F.lit("round")), F.lit(rounds))
+    dealt = dealt.select(group.alias("cell"), turn_of.alias("round"), "family", "lo", "hi", "block", "root", "set")
+    parts = []
+    for k in range(rounds):
+        now = dealt.filter(F.col("round") == k).drop("round").repartition(cells, "cell")
+        parts.append(scratch.keep(now.groupBy("cell").applyInArrow(_families(percent, elements), "a long, b long")))
     scratch.drop(items)
+    more = reduce(DataFrame.unionByName, parts)
     if more.isEmpty():
-        scratch.drop(more)
+        scratch.drop(*parts)
         return roots
     # links join roots: the components of the roots take their members along
     joined = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
     out = components(joined, scratch)
-    scratch.drop(roots, more)
+    scratch.drop(roots, *parts)
     return out
