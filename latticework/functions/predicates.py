@@ -65,6 +65,10 @@ class Predicate:
             "<=": lambda: ~less(b, a), ">=": lambda: ~less(a, b),
         }[self.op]()
 
+    def accepts(self, outcome: int) -> bool:
+        """Whether it holds if its left side is less (-1), equal (0) or more (1)."""
+        return bool(OUTCOMES[self.op] & (LESS, EQUAL, MORE)[outcome + 1])
+
     def __str__(self) -> str:
         return f"t{self.l + 1}.{self.left} {self.op} t{self.r + 1}.{self.right}"
 

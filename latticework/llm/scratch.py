@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shipping import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where it
@@ -34,20 +34,6 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_latticework_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    tmp = tempfile.mkdtemp(prefix="latticework-")  # the driver serves it until it ends
-    atexit.register(shutil.rmtree, tmp, True)
-    tree = Path(tmp, "tree", package.name)
-    shutil.copytree(package, tree, ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(f"{tmp}/{package.name}", "zip", tree.parent))
-    sc._latticework_shipped = True
-
-
 #: Removes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.masks import bits, hitting_sets, maximal
 from ..functions.predicates import Constraint, Predicate, minimize, predicate_space, text
-from ..plans.kernels import evidence, mask_words, word_value
+from ..plans.counts import outcomes
+from ..plans.kernels import countable, evidence, mask_words, ordered_of, word_value
 from ..plans.pairs import distinct_rows, neighbour_pairs, partner_pairs, sides, triangle_pairs
 from ..sources.tables import attributes
 from .stats import likeness
@@ -55,9 +56,14 @@ def violating_pairs(df: DataFrame, columns: list[str], dc: Constraint, rows: Dat
 
 
 def dc_violations(df: DataFrame, dc: Constraint | list[Predicate], columns: list[str] | None = None) -> DataFrame:
-    """violations: the number of ordered pairs of different rows on which all predicates of ``dc`` hold."""
+    """violations: the number of ordered pairs of different rows on which all predicates of ``dc``
+    hold. Where no equality makes a join key, pairs are counted by their outcomes, if these can be told."""
     dc = frozenset(dc)
     used = sorted({c for p in dc for c in (p.left, p.right)}) if columns is None else columns
+    if all(p.op != "=" for p in dc) and countable(used, dc):
+        found = outcomes(df, used, ordered_of(used, dc)).items()
+        n = sum(times for outcome, times in found if all(p.accepts(outcome[used.index(p.left)]) for p in dc))
+        return df.sparkSession.createDataFrame([(n,)], "violations long")
     rows = distinct_rows(df, used)
     met = violating_pairs(df, used, dc, rows).agg(F.coalesce(F.sum(F.col("ta") * F.col("tb")), F.lit(0)).cast("bigint").alias("n"))
     at = {c: i for i, c in enumerate(used)}
@@ -68,7 +74,7 @@ def dc_violations(df: DataFrame, dc: Constraint | list[Predicate], columns: list
     return met.unionByName(own).agg(F.sum("n").cast("bigint").alias("violations"))
 
 
-def evidence_sets(df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, cross_column: bool = False, plan: str = "triangle") -> DataFrame:
+def evidence_sets(df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, cross_column: bool = False, plan: str = "counts") -> DataFrame:
     """predicates (text, in the order of the space), pairs: the distinct evidence of ordered pairs."""
     columns = attributes(df, columns, id_col)
     space = space_of(df, columns, cross_column)
@@ -79,7 +85,7 @@ def evidence_sets(df: DataFrame, columns: list[str] | None = None, id_col: str |
 
 def discover_dcs(
     df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, method: str = "evidence",
-    most: int | None = None, cross_column: bool = False, pair_plan: str = "triangle", partners: int = 20,
+    most: int | None = None, cross_column: bool = False, pair_plan: str = "counts", partners: int = 20,
 ) -> DataFrame:
     """All minimal constraints of at most ``most`` predicates.
 

@@ -117,7 +117,7 @@ def sampled_agree_sets(df: DataFrame, columns: list[str], rows: int, null_equals
 
 def discover_fds(
     df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, method: str = "levels",
-    most: int | None = None, null_equals_null: bool = True, pair_plan: str = "triangle",
+    most: int | None = None, null_equals_null: bool = True, pair_plan: str = "counts",
 ) -> DataFrame:
     """All minimal, non-trivial dependencies lhs -> rhs with at most ``most`` columns
     on the left. ``method``: levels (counts, set by set), difference (agree sets

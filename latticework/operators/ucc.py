@@ -45,7 +45,7 @@ def by_validation(count: Counter, n: int, seed: set[int], most: int | None = Non
 
 def discover_uccs(
     df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, method: str = "levels",
-    most: int | None = None, null_equals_null: bool = True, pair_plan: str = "triangle",
+    most: int | None = None, null_equals_null: bool = True, pair_plan: str = "counts",
 ) -> DataFrame:
     """All minimal column sets whose values are unique. In a table of at
     most one row the empty set is unique. Methods as for FDs."""

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.masks import bits
 from ..functions.predicates import Predicate
+from .counts import COUNTED, ORDERED, exactly, outcomes, pairs_agreeing
 from .encode import keyed, ordered
-from .pairs import PLANS, distinct_rows
+from .pairs import PLANS, agreement_classes, distinct_rows
 
 #: Column sets counted by one job: the rows that its Expand makes are rows * sets.
 SETS_AT_ONCE = 48
@@ -105,23 +106,40 @@ def word_value(row, n: int) -> int:
 
 
 def agree_masks(df: DataFrame, columns: list[str], plan: str = "triangle", null_equals_null: bool = True) -> DataFrame:
-    """m0, m1, ...: the distinct agree sets of pairs of different rows. Rows are
-    deduplicated first; a row that stands twice adds the full set (or, if nulls
-    differ, the set of its non-null columns)."""
+    """m0, m1, ...: the distinct agree sets of pairs of different rows, made at once.
+
+    counts: from the sizes of the groups of every column set, for up to ``COUNTED``
+    columns; wider tables go by the triangle plan. The pair plans meet classes of
+    rows instead of rows (see :func:`agreement_classes`); a class of several rows
+    adds the set of the values that it has in common."""
     n = len(columns)
-    rows = distinct_rows(df, columns)
-    same = lambda i: F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) if null_equals_null else F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False))
-    out = PLANS[plan](rows, n).select(*mask_words([same(i) for i in range(n)])).distinct()
-    twice = rows.filter("_times > 1").select(*mask_words([F.lit(True) if null_equals_null else F.col(f"_{i}").isNotNull() for i in range(n)]))
-    out = out.unionByName(twice).distinct()
-    if plan == "sharing":
-        # the empty set, if fewer pairs share a value than there are pairs
-        shared = PLANS[plan](rows, n).count()
-        total = rows.count()
-        if shared < total * (total - 1) // 2:
-            zero = df.sparkSession.range(1).select(*[F.lit(0).cast("bigint").alias(c) for c in out.columns])
-            out = out.unionByName(zero).distinct()
-    return out
+    words = range(-(-n // WORD))
+    if plan == "counts" and n <= COUNTED:
+        exact = exactly(pairs_agreeing(df, columns, null_equals_null), range(n))
+        return _mask_frame(df, sorted(m for m, p in exact.items() if p), n)
+    plan = "triangle" if plan == "counts" else plan
+    rows = agreement_classes(df, columns, null_equals_null).persist()
+    try:
+        same = lambda i: F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False))
+        met = PLANS[plan](rows, n).select(*mask_words([same(i) for i in range(n)]))
+        met = met.groupBy(*[f"m{k}" for k in words]).agg(F.count("*").alias("pairs")).collect()
+        found = {word_value(r, n) for r in met}
+        twice = rows.filter("_times > 1").select(*mask_words([F.col(f"_{i}").isNotNull() for i in range(n)])).distinct().collect()
+        found |= {word_value(r, n) for r in twice}
+        if plan == "sharing":
+            # the empty set, if fewer pairs share a value than there are pairs
+            total = rows.count()
+            if sum(r["pairs"] for r in met) < total * (total - 1) // 2:
+                found.add(0)
+    finally:
+        rows.unpersist()
+    return _mask_frame(df, sorted(found), n)
+
+
+def _mask_frame(df: DataFrame, masks: list[int], n: int) -> DataFrame:
+    words = range(-(-n // WORD))
+    rows = [tuple(m >> WORD * k & (1 << WORD) - 1 for k in words) for m in masks]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"m{k} long" for k in words))
 
 
 def agree_sets(df: DataFrame, columns: list[str], plan: str = "triangle", null_equals_null: bool = True) -> set[int]:
@@ -171,11 +189,24 @@ def _swap_check(df: DataFrame, context: list[str], a: str, b: str, descending: b
 
 def evidence(df: DataFrame, columns: list[str], space: list[Predicate], plan: str = "triangle", pairs: DataFrame | None = None) -> DataFrame:
     """m0, m1, ..., pairs: the distinct sets of predicates that ordered pairs of
-    different rows satisfy, with the number of such pairs."""
+    different rows satisfy, with the number of such pairs.
+
+    counts: from the sizes of groups and from pairs of columns that rise together,
+    if the space compares each column with itself only and up to ``ORDERED`` of
+    ``COUNTED`` columns by order; other spaces go by the triangle plan."""
     n = len(columns)
+    words = [f"m{k}" for k in range(-(-len(space) // WORD))]
+    if plan == "counts" and pairs is None and countable(columns, space):
+        met: dict[int, int] = {}
+        for found, times in outcomes(df, columns, ordered_of(columns, space)).items():
+            outcome = dict(zip(columns, found))
+            mask = sum(1 << k for k, p in enumerate(space) if p.accepts(outcome[p.left]))
+            met[mask] = met.get(mask, 0) + times
+        rows = [(*(m >> WORD * k & (1 << WORD) - 1 for k in range(len(words))), times) for m, times in sorted(met.items())]
+        return df.sparkSession.createDataFrame(rows, ", ".join(f"{c} long" for c in (*words, "pairs")))
+    plan = "triangle" if plan == "counts" else plan
     rows = distinct_rows(df, columns)
     met = PLANS[plan](rows, n) if pairs is None else pairs
-    words = [f"m{k}" for k in range(-(-len(space) // WORD))]
     at = {c: i for i, c in enumerate(columns)}
     side = lambda p, q: (lambda column, row: F.col(f"{(p, q)[row]}{at[column]}"))
     there = met.select((F.col("ta") * F.col("tb")).alias("pairs"), *mask_words([p.test(side("a", "b")) for p in space]))
@@ -186,3 +217,14 @@ def evidence(df: DataFrame, columns: list[str], space: list[Predicate], plan: st
     if pairs is None:
         every = every.unionByName(twice)
     return every.groupBy(*words).agg(F.sum("pairs").cast("bigint").alias("pairs"))
+
+
+def ordered_of(columns: list[str], space: Iterable[Predicate]) -> set[int]:
+    """The columns that a space compares by order."""
+    return {columns.index(p.left) for p in space if p.op not in ("=", "<>")}
+
+
+def countable(columns: list[str], space: Iterable[Predicate]) -> bool:
+    """Whether the counts plan can tell the pairs of every outcome of a space."""
+    space = list(space)
+    return len(columns) <= COUNTED and len(ordered_of(columns, space)) <= ORDERED and all(p.left == p.right and (p.l, p.r) == (0, 1) for p in space)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .encode import distinct_ranks
+
 #: Rows of a block of the triangle plan.
 BLOCK_ROWS = 2_000
 
@@ -18,6 +20,20 @@ def distinct_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("_id", F.struct(F.xxhash64(*content).alias("hash"), *content))
 
 
+def agreement_classes(df: DataFrame, columns: list[str], null_equals_null: bool = True) -> DataFrame:
+    """The rows as :func:`distinct_rows` has them, as far as they can agree with others:
+    a value that stands once in its column agrees with none and is null, other
+    values are numbers. So copies of a row that differ in a key are one class."""
+    source = out = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        values = source.groupBy(F.col(f"c{i}").alias("v")).agg(F.count("*").alias("n")).filter("n > 1")
+        if not null_equals_null:
+            values = values.filter("v is not null")
+        ranks = distinct_ranks(values, "v").withColumnsRenamed({"value": "_value", "rank": f"r{i}"})
+        out = out.join(ranks, F.col(f"c{i}").eqNullSafe(F.col("_value")), "left").drop("_value", f"c{i}")
+    return distinct_rows(out, [f"r{i}" for i in range(len(columns))])
+
+
 def sides(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     left = rows.select(F.col("_id").alias("ida"), F.col("_times").alias("ta"), *[F.col(f"_{i}").alias(f"a{i}") for i in range(n)])
     right = rows.select(F.col("_id").alias("idb"), F.col("_times").alias("tb"), *[F.col(f"_{i}").alias(f"b{i}") for i in range(n)])
@@ -25,8 +41,10 @@ def sides(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
 
 
 def all_pairs(rows: DataFrame, n: int) -> DataFrame:
-    """Every unordered pair by one non-equi self join; for small tables."""
+    """Every unordered pair by one non-equi self join; for small tables. The left side
+    is dealt over the session's shuffle partitions, as a few rows are much work."""
     left, right = sides(rows, n)
+    left = left.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ida")
     return left.join(right, F.col("ida") < F.col("idb"))
 
 
@@ -49,13 +67,14 @@ def triangle_pairs(rows: DataFrame, n: int, side: int | None = None) -> DataFram
 
 def sharing_pairs(rows: DataFrame, n: int) -> DataFrame:
     """Every unordered pair that agrees somewhere, once: an equi join for each
-    column, which takes the pairs that agree in no earlier one."""
+    column, which takes the pairs that agree in no earlier one. A null agrees with
+    none, as in :func:`agreement_classes`."""
     left, right = sides(rows, n)
     out = None
     for i in range(n):
-        meet: Column = F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) & (F.col("ida") < F.col("idb"))
+        meet: Column = (F.col(f"a{i}") == F.col(f"b{i}")) & (F.col("ida") < F.col("idb"))
         for j in range(i):
-            meet = meet & ~F.col(f"a{j}").eqNullSafe(F.col(f"b{j}"))
+            meet = meet & ~F.coalesce(F.col(f"a{j}") == F.col(f"b{j}"), F.lit(False))
         part = left.join(right, meet)
         out = part if out is None else out.unionByName(part)
     return out
