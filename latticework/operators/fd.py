@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from ..functions.masks import bits, invert_agree_sets, next_level
 from ..plans.kernels import Counter, agree_sets
+from ..plans.sharded import PLAIN, comparable
 from ..sources.tables import attributes
 
 SCHEMA = "lhs string, rhs string, lhs_size int"
@@ -95,12 +95,9 @@ def sampled_agree_sets(df: DataFrame, columns: list[str], rows: int, null_equals
     """Agree sets of rows that stand near each other among the rows of one value in
     the sample. At most SAMPLE_ROWS rows a column reach the driver; they only seed a
     search. Tables with nested columns, whose values have no plain codes, get no seeds."""
-    kinds = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
-    if not rows or not all(isinstance(f.dataType, kinds) for f in df.schema):
+    if not rows or not all(isinstance(f.dataType, PLAIN) for f in df.schema):
         return set()
-    # -0.0 and NaNs as the counts see them
-    plain = [F.when(F.isnan(c), F.lit(float("nan"))).otherwise(c + F.lit(0.0)).cast(t).alias(n) if t in ("double", "float") else c.alias(n) for n, t, c in ((n, t, F.col(f"`{n}`")) for n, t in df.dtypes)]
-    sample = sampled_rows(df.select(*plain), columns, rows).toArrow()
+    sample = sampled_rows(comparable(df), columns, rows).toArrow()
     codes = np.stack([sample[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns], 1)
     n, out = len(columns), set()
     for i in range(n):

@@ -17,9 +17,12 @@ from ..functions.predicates import Predicate
 from .counts import COUNTED, ORDERED, exactly, outcomes, pairs_agreeing
 from .encode import keyed, ordered
 from .pairs import PLANS, agreement_classes, distinct_rows
+from .sharded import column_groups, dealing, plain, sharded_counts
 
 #: Column sets counted by one job: the rows that its Expand makes are rows * sets.
 SETS_AT_ONCE = 48
+#: Column sets, and rows times sets, above which rows are dealt out by a column instead of expanded.
+MANY_SETS, MANY_ROWS = 16, 1 << 20
 #: Candidates checked for swaps by one job.
 CHECKS_AT_ONCE = 24
 #: A mask column holds this many bits; wider tables use more columns.
@@ -62,7 +65,12 @@ def distinct_counts(keys: DataFrame, masks: Iterable[int], rows: int, at_once: i
 
 
 class Counter:
-    """Counts of column sets, each counted once; supersets of a key need no count."""
+    """Counts of column sets, each counted once; supersets of a key need no count.
+
+    Many sets at once are counted by shards (see :mod:`.sharded`): one job, whose
+    shuffle carries rows once for each column that they are dealt by. Sets without
+    such a column have few values; they are counted by groups, as are columns whose
+    equality is Spark's alone."""
 
     def __init__(self, df: DataFrame, columns: list[str], null_equals_null: bool = True, at_once: int = SETS_AT_ONCE):
         self.keys = keyed(df, columns, null_equals_null)
@@ -71,6 +79,25 @@ class Counter:
         self.known: dict[int, int] = {0: min(1, self.rows)}
         self.unique: list[int] = []
         self.jobs = 0
+        self.groups: dict[int, tuple[int, int]] | None = None
+        self.plain = plain(self.keys)
+
+    def _counts(self, masks: list[int]) -> dict[int, int]:
+        found: dict[int, int] = {}
+        if self.rows and self.plain and len(masks) > 1 and (len(masks) > MANY_SETS or len(masks) * self.rows > MANY_ROWS):
+            if self.groups is None:
+                self.groups = column_groups(self.keys, self.at_once)
+                self.jobs += 1
+            bases = dealing(self.groups, self.rows)
+            order = sorted(self.groups, key=lambda i: (-self.groups[i][0], i))
+            found = {m: self.groups[m.bit_length() - 1][0] for m in masks if m.bit_count() == 1}
+            base_of = {m: b for m in masks if m.bit_count() > 1 and (b := next((c for c in bases if m >> c & 1), None)) is not None}
+            if base_of:
+                found |= sharded_counts(self.keys, list(base_of), base_of, order, self.rows)
+                self.jobs += 1
+            masks = [m for m in masks if m not in found]
+        self.jobs += -(-len(masks) // self.at_once)
+        return found | distinct_counts(self.keys, masks, self.rows, self.at_once)
 
     def __call__(self, masks: Iterable[int]) -> dict[int, int]:
         masks = list(masks)
@@ -82,8 +109,7 @@ class Counter:
                 else:
                     new.append(m)
         if new:
-            self.jobs += -(-len(new) // self.at_once)
-            found = distinct_counts(self.keys, new, self.rows, self.at_once)
+            found = self._counts(new)
             self.known |= found
             self.unique += [m for m in sorted(new, key=int.bit_count) if found[m] == self.rows and not any(u & m == u for u in self.unique)]
         return {m: self.known[m] for m in masks}
