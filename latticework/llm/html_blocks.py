@@ -32,10 +32,10 @@ NO_TEXT = frozenset(("script", "style", "template", "svg", "iframe", "noscript")
 class Node:
     """An open element: its names and the element around it, shared by all blocks inside."""
 
-    __slots__ = ("names", "parent", "total")
+    __slots__ = ("names", "parent", "total", "around")
 
     def __init__(self, names: tuple[str, ...], parent: Node | None):
-        self.names, self.parent, self.total = names, parent, None
+        self.names, self.parent, self.total, self.around = names, parent, None, None
 
 
 @dataclass

@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import random
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,46 +44,95 @@ def _names_vector(names: tuple[str, ...], prefix: str) -> np.ndarray:
     return out
 
 
-def _path_vector(node: Node | None) -> np.ndarray:
-    """The names on a path, hashed; the inner ones also by their distance from the
-    leaf. An element keeps the sum of its path, so a page takes memory by its
-    elements, however deep they stand in one another."""
-    todo, at = [], node
-    while at is not None and at.total is None:
-        todo.append(at)
-        at = at.parent
-    for n in reversed(todo):
-        n.total = _names_vector(n.names, "") + (n.parent.total if n.parent else 0)
-    out = node.total.copy() if node else np.zeros(PATH, np.float32)
-    for depth in range(2):
-        if node is not None:
-            out += _names_vector(node.names, f"{depth}:")
-            node = node.parent
+@functools.lru_cache(1 << 14)
+def _own_vector(names: tuple[str, ...]) -> np.ndarray:
+    return _names_vector(names, "") + _names_vector(names, "0:")
+
+
+def _around(node: Node) -> np.ndarray:
+    """What an element adds to the vectors of the blocks right inside its children:
+    the names on its path, hashed, and its own names as those one step away. An
+    element keeps the sums, so a page takes memory by its elements, however deep
+    they stand in one another."""
+    if node.around is None:
+        todo, at = [], node
+        while at is not None and at.total is None:
+            todo.append(at)
+            at = at.parent
+        for n in reversed(todo):
+            n.total = _names_vector(n.names, "") + (n.parent.total if n.parent else 0)
+        node.around = node.total + _names_vector(node.names, "1:")
+    return node.around
+
+
+def _path_vector(node: Node | None, out: np.ndarray) -> None:
+    """The names on a path, hashed; the inner ones also by their distance from the leaf."""
+    if node is None:
+        return
+    if node.parent is None:
+        out[:] = _own_vector(node.names)
+    else:
+        np.add(_around(node.parent), _own_vector(node.names), out=out)
+
+
+class _WordCodes(dict):
+    """Twice the slot of a word, and one more for a negative sign."""
+
+    def __missing__(self, word: str) -> int:
+        k, sign = _slot(word, WORDS)
+        self[word] = code = 2 * k + (sign < 0)
+        return code
+
+
+_word_codes = _WordCodes()
+#: Words whose codes are remembered from page to page.
+REMEMBERED = 1 << 17
+UPPER, DIGIT, STOP = 1, 2, 3
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """For each code point whether it is an upper-case letter, a digit or a punctuation mark."""
+    every = range(0x110000)
+    out = np.fromiter(map(str.isupper, map(chr, every)), np.uint8, len(every)) * np.uint8(UPPER)
+    out[np.fromiter(map(str.isdigit, map(chr, every)), bool, len(every))] = DIGIT
+    out[[ord(c) for c in ".,;!?"]] = STOP
     return out
 
 
 def vectors(blocks: list[Leaf]) -> np.ndarray:
-    out = np.zeros((len(blocks), WIDTH), np.float32)
+    count = len(blocks)
+    out = np.zeros((count, WIDTH), np.float32)
+    if not count:
+        return out
     for i, b in enumerate(blocks):
-        out[i, :PATH] = _path_vector(b.node)
-        words = b.text.split(" ")
-        for w in words:
-            k, sign = _slot(w.lower(), WORDS)
-            out[i, PATH + k] += sign
-        out[i, PATH : PATH + WORDS] *= 0.4 / np.sqrt(len(words))
-        n = len(b.text)
-        out[i, PATH + WORDS :] = (
-            min(1.0, np.log1p(n) / 8),
-            min(1.0, np.log1p(len(words)) / 6),
-            b.links,
-            b.text[-1] in ".!?…:;\"”»",
-            min(1.0, sum(b.text.count(c) for c in ".,;!?") * 10 / n),
-            sum(map(str.isupper, b.text)) / n,
-            sum(map(str.isdigit, b.text)) / n,
-            i / len(blocks),
-            1.0 / (1 + i),
-            1.0 / (len(blocks) - i),
-        )
+        _path_vector(b.node, out[i, :PATH])
+    if len(_word_codes) > REMEMBERED:
+        _word_codes.clear()
+    words = [b.text.lower().split(" ") for b in blocks]
+    n_words = np.array([len(w) for w in words])
+    codes = np.fromiter(map(_word_codes.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+    seen = np.bincount(np.repeat(np.arange(count) * 2 * WORDS, n_words) + codes, minlength=2 * WORDS * count).reshape(count, WORDS, 2)
+    out[:, PATH : PATH + WORDS] = (seen[:, :, 0] - seen[:, :, 1]) * (0.4 / np.sqrt(n_words))[:, None]
+    n = np.array([len(b.text) for b in blocks])
+    kind = _classes()[np.frombuffer("".join([b.text for b in blocks]).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    begins = np.cumsum(n) - n
+    share = lambda k: np.add.reduceat((kind == k).astype(np.int64), begins)
+    i = np.arange(count)
+    measures = (
+        np.minimum(1.0, np.log1p(n) / 8),
+        np.minimum(1.0, np.log1p(n_words) / 6),
+        [b.links for b in blocks],
+        [b.text[-1] in ".!?…:;\"”»" for b in blocks],
+        np.minimum(1.0, share(STOP) * 10 / n),
+        share(UPPER) / n,
+        share(DIGIT) / n,
+        i / count,
+        1.0 / (1 + i),
+        1.0 / (count - i),
+    )
+    for k, measure in enumerate(measures):
+        out[:, PATH + WORDS + k] = measure
     return out
 
 
