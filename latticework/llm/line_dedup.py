@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -33,20 +34,36 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+@functools.cache
+def _symbols() -> np.ndarray:
+    """A well-mixed number for each code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+def _filled(line: bytes) -> bytes:
+    """A short line is filled up with line ends."""
+    return line if len(line) >= 4 * SHINGLE else line + b"\n" * (SHINGLE - len(line.decode("utf-8", "surrogatepass")))
+
+
 def shingles(lines: list) -> tuple[np.ndarray, np.ndarray]:
     """The shingle hashes of non-empty lines (UTF-8), concatenated, and their numbers."""
-    raw = b"".join(bytes(x) for x in lines)
-    codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    begins = np.cumsum([0, *(len(x) for x in lines)])
-    before = np.r_[0, np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)]
-    sizes = np.diff(before[begins])
-    wide = np.maximum(sizes, SHINGLE)
-    starts = np.cumsum(wide) - wide
-    spread = np.full(int(wide.sum()), 10, np.uint64)  # short lines are filled up with line ends
-    spread[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(len(codes))] = codes
-    counts = wide - SHINGLE + 1
-    spots = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
-    return gram_hashes(mix(spread + np.uint64(1)), SHINGLE)[spots], counts
+    filled = [_filled(bytes(x)) for x in lines]
+    raw = b"".join(filled)
+    sizes = np.array([len(x) for x in filled], np.int64)
+    codes = np.frombuffer(raw, np.uint8)
+    if not raw.isascii():
+        before = np.r_[0, np.cumsum(codes & 0xC0 != 0x80, dtype=np.int64)]
+        sizes = np.diff(before[np.r_[0, np.cumsum(sizes)]])
+        codes = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    grams = gram_hashes(_symbols()[codes], SHINGLE)
+    inside = np.ones(len(grams), bool)
+    inside[(np.cumsum(sizes)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    return grams[inside], sizes - SHINGLE + 1
+
+
+def _normal(line: str) -> str:
+    """As :func:`normal`, of a line in lower case. Of all white space only the space is printable."""
+    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
 
 
 def _lines(shards: int):
@@ -72,7 +89,7 @@ def _lines(shards: int):
         for batch in batches:
             for doc, text in _texts(batch, "id", "text"):
                 for place, line in enumerate(text.lower().split("\n")):
-                    if not (line := " ".join(line.split()).encode("utf-8", "surrogatepass")):
+                    if not (line := _normal(line).encode("utf-8", "surrogatepass")):
                         continue
                     name = xxhash.xxh3_128_digest(line)
                     known = places.get(name)

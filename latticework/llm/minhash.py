@@ -121,16 +121,15 @@ def one_permutation(elements: np.ndarray, begins: np.ndarray, k: int) -> np.ndar
     while at < len(begins):
         stop = max(at + 1, int(np.searchsorted(ends, begins[at] + AT_ONCE, "right")))
         part, n = elements[begins[at] : ends[stop - 1]], ends[at:stop] - begins[at:stop]
-        slot = np.repeat(np.arange(len(n), dtype=np.uint64) * np.uint64(k), n) + ((part >> np.uint64(32)) * np.uint64(k) >> np.uint64(32))
-        packed = np.sort(slot << np.uint64(32) | part & np.uint64(0xFFFFFFFF))
-        slot = (packed >> np.uint64(32)).astype(np.int64)
-        first = np.r_[True, slot[1:] != slot[:-1]]
+        slot = np.repeat(np.arange(len(n)) * k, n) + ((part >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).view(np.int64)
         made = out[at:stop].reshape(-1)
+        made.fill(0xFFFFFFFF)
+        np.minimum.at(made, slot, part.astype(np.uint32))
         filled = np.zeros(len(made), bool)
-        made[slot[first]] = packed[first].astype(np.uint32)
-        filled[slot[first]] = True
-        row, bin_ = np.nonzero(~filled.reshape(-1, k))
-        base = row * k
+        filled[slot] = True
+        empty = np.flatnonzero(~filled)
+        base = np.repeat(np.arange(len(n)) * k, k - filled.reshape(-1, k).sum(1))
+        bin_ = empty - base
         for probe in probes:
             other = base + probe[bin_]
             hit = filled[other]
@@ -268,6 +267,11 @@ def _met(table: pa.Table) -> pa.Table:
     key = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
     id_ = np.concatenate([g[1] for g in got])
     rest = [np.concatenate([g[k] for g in got]) for k in (2, 3, 4)]
+    # most keys stand once and go at once
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(key) else order
+    key, id_ = key[order], id_[order]
     order = np.lexsort((id_, key))
     key, id_ = key[order], id_[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])] if len(key) else np.empty(0, bool)
@@ -297,7 +301,7 @@ def _codes(sets: list, elements: Elements) -> tuple[np.ndarray, np.ndarray, np.n
         parts.append(element)
         n.append(count)
         at = stop
-    number = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.uint64)
+    number = pa.array(np.concatenate(parts)).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.uint64)
     del parts
     row = np.repeat(np.arange(len(sets), dtype=np.uint64), np.concatenate(n))
     packed = np.sort(row << np.uint64(32) | number)
@@ -321,9 +325,12 @@ def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, element
     in common there are not compared.
     """
     code, row, n = _codes(sets, elements)
+    # elements are numbered by how many sets have them
     seen = np.bincount(code)
-    order = np.lexsort((code, seen[code], row))
-    code, row = code[order], row[order]
+    rank = np.empty(len(seen), np.uint64)
+    rank[np.argsort(seen, kind="stable")] = np.arange(len(seen), dtype=np.uint64)
+    packed = np.sort(row.astype(np.uint64) << np.uint64(32) | rank[code])
+    row, code = (packed >> np.uint64(32)).astype(np.int32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int32)
     mine = np.searchsorted(row, np.arange(len(sets) + 1))
     need = -(-percent * n // 100)
     rare = np.maximum(0, np.minimum(n, n - need + COMMON) - (n - np.diff(mine)))
@@ -390,18 +397,21 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     sets = scratch.keep(sets_of(met.select(F.explode(F.array("id", "head")).alias("id")).distinct()))
     left = scratch.keep(met.select("key", F.explode(F.array("id", "head")).alias("id")).distinct())
     scratch.drop(met)
-    links, near = [], []
+    links, near, told_by_key = [], [], []
     for turn in range(TURNS):
         # the smallest member of each bucket is its head
         heads = left.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
         star = scratch.keep(left.join(heads, "key").filter("id <> head").select("key", F.col("id").alias("a"), F.col("head").alias("b")))
-        scratch.drop(left)
+        if not turn:
+            scratch.drop(left)
         told = scratch.keep(verify(star.select("a", "b").distinct(), sets, percent, elements))
         links.append(told)
-        star = star.join(told.select("a", "b", "ratio"), ["a", "b"])
+        ratios = scratch.keep(star.join(told.select("a", "b", "ratio"), ["a", "b"]).select("key", F.col("a").alias("id"), "ratio"))
+        told_by_key.append(ratios)
+        scratch.drop(star)
         # 1 - similarity is a metric: of two linked members both are as near to the head as this or both as far as that
-        near.append(scratch.keep(star.filter(F.col("ratio") >= NEAR).select(F.lit(turn).alias("turn"), "key", F.col("a").alias("id"))))
-        left = scratch.keep(star.filter(F.col("ratio") < NEAR + 1 - percent / 100 + 1e-9).select("key", F.col("a").alias("id")))
+        near.append(ratios.filter(F.col("ratio") >= NEAR).select(F.lit(turn).alias("turn"), "key", "id"))
+        left = ratios.filter(F.col("ratio") < NEAR + 1 - percent / 100 + 1e-9).select("key", "id")
     near.append(left.select(F.lit(TURNS).alias("turn"), "key", "id"))
     found = reduce(DataFrame.unionByName, [t.filter("linked").select("a", "b") for t in links])
     roots = components(found, scratch)
@@ -409,7 +419,7 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     # what is left of a bucket and still lies in several components
     place = reduce(DataFrame.unionByName, near).join(roots, "id", "left").select("turn", "key", "id", F.coalesce("root", "id").alias("root"))
     place = scratch.keep(place)
-    scratch.drop(*near[:-1], left)
+    scratch.drop(*told_by_key)
     open_ = place.groupBy("turn", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("id").alias("least")).filter("lo < hi")
     items = place.join(open_.select("turn", "key", "least"), ["turn", "key"]).select(F.col("least").alias("family"), "id", "root").distinct()
     items = scratch.keep(items.join(sets, "id").select("family", "id", "root", "set"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from latticework.llm.line_dedup import shingles
+from latticework.llm.line_dedup import _normal, dedup_lines, normal, shingles
 from latticework.llm.minhash import PACKED_SCHEMA, hashed_sets, linked, packed_keys, united
 from latticework.llm.scratch import Scratch
 from latticework.llm.symbols import mix
@@ -82,3 +82,39 @@ def test_chained_buckets_are_no_one_family(spark, cell):
     roots = linked(table.mapInArrow(keys, PACKED_SCHEMA), lambda ids: table.join(ids, "id"), 80, Seen(spark, "families"), 4, hashed_sets, 8, cell)
     assert {r.id: r.root for r in roots.collect()} == {31: 31, 32: 31}
     assert sizes and max(sizes) <= 4
+
+
+def test_shingles_of_lines_together():
+    """One hash for each shingle, whatever lines stand beside it and however short they are."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abé中😀\ud800 ") for _ in range(rng.randint(1, 12))) for _ in range(300)] + ["abcdefgh"] * 2
+    names: dict[str, int] = {}
+    for some in (lines, lines[::-1], lines[-2:], lines[:1]):
+        element, n = shingles([x.encode("utf-8", "surrogatepass") for x in some])
+        cuts = np.r_[0, np.cumsum(n)]
+        assert len(element) == cuts[-1]
+        for k, x in enumerate(some):
+            filled = x.ljust(5, "\n")
+            got = element[cuts[k] : cuts[k + 1]].tolist()
+            assert len(got) == len(filled) - 4
+            for i, h in enumerate(got):
+                assert names.setdefault(filled[i : i + 5], h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_lines_are_normalised_alike():
+    rng = random.Random(6)
+    for _ in range(3000):
+        line = "".join(rng.choice("aB é\t\r\x0b\x1c\x85\xa0 　​İ") for _ in range(rng.randint(0, 6)))
+        assert _normal(line.lower()) == normal(line)
+
+
+def test_a_turn_writes_what_it_found_once(spark, monkeypatch):
+    """Of what is known by key: the members at first, and a table of similarities for each of three turns; near and far members are read from these."""
+    made = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: made.append(tuple(df.columns)) or keep(self, df))
+    texts = [f"the line number {k % 7} of the page {k % 3} ends here" for k in range(60)] + [f"{k} something else {k * k}" for k in range(20)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert dedup_lines(docs).count() == len(texts)
+    assert sum(set(c) <= {"turn", "key", "id", "ratio"} and "key" in c for c in made) == 1 + 3
