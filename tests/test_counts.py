@@ -11,7 +11,8 @@ from latticework.functions.masks import bits
 from latticework.functions.predicates import Predicate
 from latticework.operators.dc import dc_violations, evidence_sets, space_of
 from latticework.operators.fd import discover_fds
-from latticework.plans import counts, pairs
+from latticework.operators.ucc import discover_uccs
+from latticework.plans import counts, kernels, pairs
 from latticework.plans.kernels import Counter, agree_sets, evidence
 from latticework.plans.sharded import refined
 
@@ -112,3 +113,16 @@ def test_refined_classes():
     columns = [np.array([r.randrange(k) for _ in range(200)]) for k in (2, 9, 40, 3)]
     sets = [s for n in range(1, 5) for s in permutations(range(4), n)]
     assert refined(columns, sets) == {s: len(set(zip(*(columns[i].tolist() for i in s)))) for s in sets}
+
+
+def test_hybrid_searches_by_shards(spark, monkeypatch):
+    """Every count by shards, and every count by groups."""
+    r = random.Random(11)
+    rows = [(i // 3, i % 3, *(r.choice([None, *range(k)]) for k in (30, 9, 2))) for i in range(150)]
+    df = spark.createDataFrame([(*x, x[0] % 7) for x in rows], ", ".join(f"c{i} int" for i in range(6)))
+    found = []
+    for many in (0, 1 << 60):
+        monkeypatch.setattr(kernels, "MANY_SETS", many)
+        monkeypatch.setattr(kernels, "MANY_ROWS", many)
+        found.append([{tuple(x) for x in f(df, method="hybrid").collect()} for f in (discover_fds, discover_uccs)])
+    assert found[0] == found[1] and all(found[0])
