@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from ..functions.masks import invert_for_keys, next_level
-from ..plans.kernels import Counter, agree_sets
+from ..plans.kernels import WORD, Counter, agree_sets
 from ..sources.tables import attributes
 from .fd import names, sampled_agree_sets
 
@@ -25,7 +27,8 @@ def by_levels(count: Counter, n: int, most: int | None = None) -> list[int]:
     return found
 
 
-def by_validation(count: Counter, n: int, seed: set[int], most: int | None = None) -> list[int]:
+def by_validation(unique: Callable[[list[int]], set[int]], n: int, seed: set[int], most: int | None = None) -> list[int]:
+    """``unique``: which of some column sets are unique. Seeds spare work, never decide."""
     out: list[int] = []
     waiting: dict[int, set[int]] = {}
     for x in invert_for_keys(seed, n):
@@ -34,15 +37,27 @@ def by_validation(count: Counter, n: int, seed: set[int], most: int | None = Non
         if most is not None and size > most:
             break
         now = [x for x in waiting.pop(size, ()) if not any(y & x == y for y in out)]
-        counts = count(now)
+        good = unique(now)
         for x in now:
-            if counts[x] == count.rows:
+            if x in good:
                 out.append(x)
             else:
                 waiting.setdefault(size + 1, set()).update(x | 1 << b for b in range(n) if not x >> b & 1)
     return out
 
 
+def by_shards(count: Counter, n: int, most: int | None = None) -> list[int]:
+    """One job tells all sets with a column that deals rows out; the others are counted, unless they have too few values."""
+    agree, dealt = count.repeats()
+
+    def unique(sets: list[int]) -> set[int]:
+        rest = [x for x in sets if not x & dealt and count.may_be_unique(x)]
+        counts = count(rest) if rest else {}
+        return {x for x in sets if x & dealt and not any(a & x == x for a in agree)} | {x for x in rest if counts[x] == count.rows}
+
+    return by_validation(unique, n, agree, most)
+
+
 def discover_uccs(
     df: DataFrame, columns: list[str] | None = None, id_col: str | None = None, method: str = "levels",
     most: int | None = None, null_equals_null: bool = True, pair_plan: str = "counts",
@@ -58,7 +73,11 @@ def discover_uccs(
         elif method == "difference":
             found = invert_for_keys(agree_sets(df, columns, pair_plan, null_equals_null), len(columns), most)
         elif method == "hybrid":
-            found = by_validation(count, len(columns), sampled_agree_sets(df, columns, count.rows, null_equals_null), most)
+            if len(columns) <= WORD and count.by_shards(len(columns)):
+                found = by_shards(count, len(columns), most)
+            else:
+                unique = lambda sets: {x for x, c in count(sets).items() if c == count.rows}
+                found = by_validation(unique, len(columns), sampled_agree_sets(df, columns, count.rows, null_equals_null), most)
         else:
             raise ValueError(f"unknown method: {method}")
     finally:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,7 +18,7 @@ from ..functions.predicates import Predicate
 from .counts import COUNTED, ORDERED, exactly, outcomes, pairs_agreeing
 from .encode import keyed, ordered
 from .pairs import PLANS, agreement_classes, distinct_rows
-from .sharded import column_groups, dealing, plain, sharded_counts
+from .sharded import column_groups, dealing, plain, sharded_agree_sets, sharded_counts
 
 #: Column sets counted by one job: the rows that its Expand makes are rows * sets.
 SETS_AT_ONCE = 48
@@ -82,14 +83,34 @@ class Counter:
         self.groups: dict[int, tuple[int, int]] | None = None
         self.plain = plain(self.keys)
 
+    def by_shards(self, sets: int) -> bool:
+        """Whether so many column sets are counted by shards."""
+        return bool(self.rows and self.plain and sets > 1 and (sets > MANY_SETS or sets * self.rows > MANY_ROWS))
+
+    def _dealing(self) -> tuple[list[int], list[int]]:
+        """The columns that deal rows out, and all columns, those with the most values first."""
+        if self.groups is None:
+            self.groups = column_groups(self.keys, self.at_once)
+            self.jobs += 1
+        return dealing(self.groups, self.rows), sorted(self.groups, key=lambda i: (-self.groups[i][0], i))
+
+    def repeats(self) -> tuple[set[int], int]:
+        """Agree sets of pairs of rows, and a mask of columns: a set that has one of
+        these columns is unique if and only if no agree set contains it. The mask has
+        no column of few values, see :func:`.sharded.dealing`."""
+        bases, order = self._dealing()
+        several = [b for b in bases if self.groups[b][0] < self.rows]  # no two rows agree on a key
+        self.jobs += bool(several)
+        return sharded_agree_sets(self.keys, several, order, self.rows) if several else set(), sum(1 << b for b in bases)
+
+    def may_be_unique(self, mask: int) -> bool:
+        """Whether the columns, once grouped, have as many combinations of values as there are rows."""
+        return self.groups is None or prod(self.groups[i][0] for i in bits(mask)) >= self.rows
+
     def _counts(self, masks: list[int]) -> dict[int, int]:
         found: dict[int, int] = {}
-        if self.rows and self.plain and len(masks) > 1 and (len(masks) > MANY_SETS or len(masks) * self.rows > MANY_ROWS):
-            if self.groups is None:
-                self.groups = column_groups(self.keys, self.at_once)
-                self.jobs += 1
-            bases = dealing(self.groups, self.rows)
-            order = sorted(self.groups, key=lambda i: (-self.groups[i][0], i))
+        if self.by_shards(len(masks)):
+            bases, order = self._dealing()
             found = {m: self.groups[m.bit_length() - 1][0] for m in masks if m.bit_count() == 1}
             base_of = {m: b for m in masks if m.bit_count() > 1 and (b := next((c for c in bases if m >> c & 1), None)) is not None}
             if base_of:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from ..functions.masks import bits
+from ..functions.masks import bits, hitting_sets, maximal
 from ..sources.shipping import ship
 
 PLAIN = (NumericType, StringType, BooleanType, DateType, TimestampType, TimestampNTZType, BinaryType)
@@ -60,11 +60,11 @@ def dealing(groups: dict[int, tuple[int, int]], rows: int) -> list[int]:
     return sorted((i for i, (_, largest) in groups.items() if largest <= most), key=lambda i: (-groups[i][0], i))
 
 
-def refined(columns: list[np.ndarray], sets: Iterable[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
-    """The distinct rows of each set of columns, which are given as codes from 0."""
-    out = {}
+def classes(columns: list[np.ndarray], sets: Iterable[tuple[int, ...]]):
+    """For each set of columns, which are given as codes from 0: the set, the rows
+    that are equal to others in it, their classes, and how many rows stand alone."""
     sizes = [int(c.max()) + 1 if len(c) else 1 for c in columns]
-    # for each column of the set before: rows that share their values so far, their classes, and the rows that stand alone
+    # the same for each column of the set before
     path: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     n = len(columns[0])
     for s in sorted(sets):
@@ -80,20 +80,26 @@ def refined(columns: list[np.ndarray], sets: Iterable[tuple[int, ...]]) -> dict[
             stay = several[own]
             number = np.cumsum(several) - 1
             path.append((c, row[stay], number[own[stay]], alone + int(len(own) - stay.sum())))
-        _, row, own, alone = path[-1]
-        out[s] = alone + (int(own.max()) + 1 if len(own) else 0)
-    return out
+        yield s, *path[-1][1:]
+
+
+def refined(columns: list[np.ndarray], sets: Iterable[tuple[int, ...]]) -> dict[tuple[int, ...], int]:
+    """The distinct rows of each set of columns, which are given as codes from 0."""
+    return {s: alone + (int(own.max()) + 1 if len(own) else 0) for s, _, own, alone in classes(columns, sets)}
+
+
+def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Equal values as equal numbers from 0, a null as 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def _counted(sets: dict[int, dict[tuple[int, ...], int]]):
     def run(table: pa.Table) -> pa.Table:
         base = table.column("_base")[0].as_py()
         wanted = sets[base]
-        codes = []
-        for k in range(table.num_columns - 2):
-            column = table.column(f"k{k}").combine_chunks()
-            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-            codes.append(column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        codes = [_codes(table.column(f"k{k}")) for k in range(table.num_columns - 2)]
         found = refined(codes, wanted)
         return pa.table([pa.array([wanted[s] for s in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["set", "n"])
 
@@ -118,3 +124,64 @@ def sharded_counts(keys: DataFrame, masks: list[int], base_of: dict[int, int], o
     every = reduce(DataFrame.unionByName, dealt).repartition(shards * len(sets), "_base", "_shard")
     parts = every.groupBy("_base", "_shard").applyInArrow(_counted(sets), "set int, n long")
     return {masks[r["set"]]: r["n"] for r in parts.groupBy("set").agg(F.sum("n").alias("n")).collect()}
+
+
+def repeated(columns: list[np.ndarray]) -> set[int]:
+    """Agree sets (bits are places in ``columns``) of pairs of rows that are equal in
+    the first column, so many that a set with this column is unique if and only if
+    none of them contains it.
+
+    Smallest sets that no known agree set contains are tried; where rows are equal in
+    one, neighbours in its classes give more agree sets, until all sets tried are unique."""
+    every = (1 << len(columns)) - 1
+    found: set[int] = set()
+    unique: set[int] = set()
+    while todo := [x for x in hitting_sets([every & ~a for a in found]) if x not in unique]:
+        for s, row, own, _ in classes(columns, [(0, *bits(x)) for x in todo]):
+            if not len(row):
+                unique.add(sum(1 << c for c in s[1:]))
+                continue
+            order = np.argsort(own, kind="stable")
+            same = own[order[1:]] == own[order[:-1]]
+            a, b = row[order[1:][same]], row[order[:-1][same]]
+            agree = np.zeros(len(a), np.int64)
+            for k, c in enumerate(columns):
+                agree |= (c[a] == c[b]).astype(np.int64) << k
+            found |= set(np.unique(agree).tolist())
+        found = set(maximal(found))
+    return found
+
+
+def _repeated(places: dict[int, list[int]]):
+    def run(batches):
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.concat_tables(parts)
+        base = table.column("_base").to_numpy()
+        for b in np.unique(base).tolist():
+            own = table.filter(pa.array(base == b))
+            found = repeated([_codes(own.column(f"k{k}")) for k in places[b]])
+            masks = [sum(1 << places[b][k] for k in bits(a)) for a in found]
+            yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int64())], ["agree"])
+
+    return run
+
+
+def sharded_agree_sets(keys: DataFrame, bases: list[int], order: list[int], rows: int) -> set[int]:
+    """Agree sets of pairs of rows over ``keys`` (nulls equal nulls; 62 columns at
+    most), so many that a set with a column of ``bases`` is unique if and only if none
+    of them contains it. One job: rows are dealt out by each of ``bases``, with the
+    columns that are not dealt by before, and each shard searches on its own.
+    ``order``: all columns, those with the most values first."""
+    spark = keys.sparkSession
+    ship(spark)
+    shards = max(-(-2 * rows // SHARD_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SMALL_GROUP)), 1)
+    source = comparable(keys.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys.columns)]))
+    places, dealt = {}, []
+    for at, b in enumerate(bases):
+        places[b] = [b, *(c for c in order if c != b and c not in bases[:at])]
+        own = [F.col(f"k{i}") if i in places[b] else F.lit(None).cast(f.dataType).alias(f"k{i}") for i, f in enumerate(source.schema)]
+        dealt.append(source.select(F.lit(b).alias("_base"), F.pmod(F.xxhash64(f"k{b}"), F.lit(shards)).cast("int").alias("_shard"), *own))
+    parts = reduce(DataFrame.unionByName, dealt).repartition(shards * len(bases), "_base", "_shard")
+    return {r["agree"] for r in parts.mapInArrow(_repeated(places), "agree long").distinct().collect()}

@@ -126,3 +126,27 @@ def test_hybrid_searches_by_shards(spark, monkeypatch):
         monkeypatch.setattr(kernels, "MANY_ROWS", many)
         found.append([{tuple(x) for x in f(df, method="hybrid").collect()} for f in (discover_fds, discover_uccs)])
     assert found[0] == found[1] and all(found[0])
+
+
+@pytest.mark.parametrize("small", [1 << 12, 8, 1])
+def test_keys_by_shards_need_one_search(spark, monkeypatch, small):
+    """All sets with a column that deals rows out are told by one job, however many levels the search has."""
+    made = []
+
+    class Kept(Counter):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr("latticework.operators.ucc.Counter", Kept)
+    monkeypatch.setattr(kernels, "MANY_ROWS", 0)
+    monkeypatch.setattr("latticework.plans.sharded.SMALL_GROUP", small)
+    for seed, values in ((1, 4), (2, 20), (3, 3)):
+        r = random.Random(seed)
+        rows = [(*x, r.randrange(9), i if seed == 2 else i // 6) for i, x in enumerate(rows_of(seed, 4, 70, values))] + [(None,) * 6]
+        rows += rows[5:6] if seed == 3 else []
+        got = {r.columns for r in discover_uccs(frame(spark, rows, 6), method="hybrid").collect()}
+        want = brute.uccs(rows, 6)
+        assert got == {",".join(f"c{i}" for i in bits(x)) for x in want}
+        assert bool(want) == (seed != 3) and (seed != 1 or max(map(int.bit_count, want)) > 3)
+        assert small < 1 << 12 or made[-1].jobs <= 2
