@@ -11,7 +11,7 @@ space and punctuation runs as one space.
 
 from __future__ import annotations
 
-import re
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +31,24 @@ GRAM = 8
 PREFIX = 20
 #: The benchmark goes to every task, so its size is checked first.
 MOST_BYTES = 64 << 20
-GAP = re.compile(r"[\W_]+")
 
 
-def normal(text: str | None) -> str:
-    return GAP.sub(" ", (text or "").lower()).strip()
+@functools.cache
+def _word() -> np.ndarray:
+    """Whether each code point is a letter or a digit."""
+    return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
-    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+def normal_codes(text: str | None) -> np.ndarray:
+    """Numbers for the characters of a text in lower case, with one space between
+    its words and at either end; nothing for a text without words."""
+    points = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = _word()[points]
+    keep = word.copy()
+    keep[1:] |= word[:-1]  # a gap gives its first character
+    first = int(word.argmax())
+    keep[first - 1] = word[first]  # the gap before the first word its last; without words there is none
+    return (np.where(word, points, np.uint32(32))[keep].astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
 
 
 def within(pattern: np.ndarray, text: np.ndarray, first: int, last: int, budget: int) -> bool:
@@ -79,7 +88,9 @@ class Grams:
         item, place = np.repeat(np.arange(len(g)), [len(x) for x in g]), np.concatenate([np.arange(len(x)) for x in g])
         g = np.concatenate(g)
         order = np.argsort(g, kind="stable")
-        self.grams, self.item, self.place = g[order], item[order], place[order]
+        self.item, self.place = item[order], place[order]
+        self.grams, self.times = np.unique(g, return_counts=True)
+        self.first = np.cumsum(self.times) - self.times
         # most grams of a text are no item's: a table of hash prefixes says so
         self.maybe = np.zeros(1 << PREFIX, bool)
         self.maybe[self.grams >> np.uint64(64 - PREFIX)] = True
@@ -88,18 +99,29 @@ class Grams:
         """The ids of the items that a text contains."""
         g = gram_hashes(codes, self.q)
         spots = np.flatnonzero(self.maybe[g >> np.uint64(64 - PREFIX)])
-        lo = np.searchsorted(self.grams, g[spots], "left")
-        n = np.searchsorted(self.grams, g[spots], "right") - lo
-        if not n.any():
+        g = g[spots]
+        which = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+        hit = self.grams[which] == g
+        spots, which = spots[hit], which[hit]
+        n = self.times[which]
+        entry = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        item, at = self.item[entry], np.repeat(spots, n)
+        # most items have too few grams in the whole text
+        some = np.flatnonzero((np.bincount(item, minlength=len(self.ids)) >= self.least)[item])
+        if not len(some):
             return []
-        at = np.repeat(spots, n)
-        entry = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        item, place = self.item[entry], self.place[entry]
+        item, place, at = item[some], self.place[entry[some]], at[some]
         # the grams of a match lie on 2k + 1 neighbouring diagonals: overlapping bands
         # of 4k + 1 diagonals, each 2k after the last, hold them whole
         half = np.maximum(1, 2 * self.budget[item])
         band = (at - place + self.size[item]) // half
         item, band, place = np.r_[item, item], np.r_[band, band - 1], np.r_[place, place]
+        # most others too few in a band; bands that share a number count as one here
+        number = (item * (len(codes) + 2) + band + 1) & ((1 << (4 * len(item)).bit_length()) - 1)
+        some = np.flatnonzero(np.bincount(number)[number] >= self.least[item])
+        if not len(some):
+            return []
+        item, band, place = item[some], band[some], place[some]
         order = np.lexsort((place, band, item))
         item, band, place = item[order], band[order], place[order]
         new = np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1])]
@@ -133,16 +155,15 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]]):
         by_length: dict[int, list] = {}
         for k, text in items:
-            if text := normal(text):
-                codes = _codes(f" {text} ")
+            if len(codes := normal_codes(text)):
                 by_length.setdefault(gram_length(len(codes)), []).append((k, codes))
         self.lengths = [Grams(q, rows) for q, rows in sorted(by_length.items())]
 
-    def found(self, text: str) -> list[int]:
-        """The ids of the items that a normal text contains."""
-        if not text:
+    def found(self, text: str | None) -> list[int]:
+        """The ids of the items that a text contains."""
+        codes = normal_codes(text)
+        if not len(codes):
             return []
-        codes = _codes(f" {text} ")
         return sorted((k for grams in self.lengths for k in grams.found(codes)), key=lambda k: (k is None, k))
 
 
@@ -150,7 +171,7 @@ def _search(items: list[tuple[int, str]], many: int):
     def run(batches):
         bench = Benchmark(items)
         for batch in batches:
-            found = pa.array([bench.found(normal(text)) for (text,) in _texts(batch, "text")], pa.list_(pa.int64()))
+            found = pa.array([bench.found(text) for (text,) in _texts(batch, "text")], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, f"found{many}"])
 
     return run

@@ -1,5 +1,6 @@
 import importlib.util
 import random
+import re
 import time
 import zlib
 from pathlib import Path
@@ -13,6 +14,7 @@ spec = importlib.util.spec_from_file_location("text_brute", Path(__file__).paren
 brute = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(brute)
 
+from latticework.llm import decontam  # noqa: E402
 from latticework.llm.decontam import contained_items  # noqa: E402
 from latticework.llm.exact_dedup import exact_duplicates  # noqa: E402
 from latticework.llm.html_blocks import leaves  # noqa: E402
@@ -167,6 +169,25 @@ def test_decontamination_against_all_alignments(spark):
         assert (None in row.item_ids) == (7 in want[row.doc_id])
 
 
+def test_decontamination_sorts_no_scattered_grams(monkeypatch):
+    """Texts that share grams with items, but too few in a band, are told by counts alone."""
+    r = random.Random(15)
+    items = [(k, words(r, 40)) for k in range(9)]
+    bench = decontam.Benchmark(items)
+    lots = " ".join(text[a : a + 12] for _ in range(20) for _, text in items for a in [r.randrange(len(text))])
+    few = " ".join(text[:16] for _, text in items)
+    assert bench.found(f"{lots} {items[3][1].upper()}, {few}") == [3]
+    monkeypatch.setattr(decontam.np, "lexsort", None)
+    assert bench.found(few) == bench.found(lots) == []
+
+
+def test_normal_codes():
+    r = random.Random(16)
+    for text in ["", None, "_", "x", " İSTANBUL a_b__c ΟΔΟΣ\n", "½ Ⅷ 五 ٣", "\ud800 x", *("".join(r.choice("aZ_ .é½\n") for _ in range(r.randint(0, 20))) for _ in range(300))]:
+        plain = re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
+        assert ((decontam.normal_codes(text) * np.uint64(pow(decontam.BASE, -1, 1 << 64))) - np.uint64(1)).tolist() == ([ord(c) for c in f" {plain} "] if plain else [])
+
+
 def labelled_docs(spark):
     r = random.Random(5)
     rows, labels = [], []
