@@ -47,7 +47,8 @@ COPIES = 2
 PART = 1 << 18
 #: Rare elements that two sets must have in common to be compared.
 COMMON = 8
-#: Elements of the pairs that are verified at once.
+#: Pairs, and elements of pairs, that are verified at once.
+PAIRS = 1 << 9
 VERIFIED = 1 << 21
 
 #: Heads that a bucket has one after another before the rest of it is searched whole.
@@ -164,11 +165,14 @@ def hashed_sets(sets: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(bytes(s) for s in sets), np.uint64), np.array([len(s) // 8 for s in sets], np.int64)
 
 
-def _distinct(row: np.ndarray, element: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
-    """(row, element) once each, as one ordered array, and the bits that hold an element."""
-    bits = 64 - max(1, (rows - 1).bit_length())
-    packed = np.sort((row.astype(np.uint64) << np.uint64(bits)) | (element >> np.uint64(64 - bits)))
-    return packed[np.r_[True, packed[1:] != packed[:-1]]] if len(packed) else packed, bits
+def _read(sets: list, elements: Elements) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of sets; one that stands several times in a row is read once."""
+    new = np.array([not i or sets[i] != sets[i - 1] for i in range(len(sets))], bool)
+    if new.all():
+        return elements(sets)
+    element, n = elements([sets[i] for i in np.flatnonzero(new)])
+    which = np.cumsum(new) - 1
+    return element[_spots((np.cumsum(n) - n)[which], n[which])], n[which]
 
 
 def similar(a: list, b: list, percent: int, elements: Elements) -> tuple[np.ndarray, np.ndarray]:
@@ -179,18 +183,25 @@ def similar(a: list, b: list, percent: int, elements: Elements) -> tuple[np.ndar
     cuts = np.cumsum(sizes)
     at = 0
     while at < len(a):
-        stop = min(len(a), at + 1024, max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + VERIFIED, "right"))))
+        stop = min(len(a), at + PAIRS, max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + VERIFIED, "right"))))
         rows = stop - at
+        bits = 63 - max(1, (rows - 1).bit_length())
+        # one number for pair, element and side, so that one order tells all overlaps
         sides = []
-        for side in (a[at:stop], b[at:stop]):
-            element, n = elements(side)
-            packed, bits = _distinct(np.repeat(np.arange(rows), n), element, rows)
+        for k, side in enumerate((a[at:stop], b[at:stop])):
+            element, n = _read(side, elements)
+            packed = element >> np.uint64(63 - bits)
+            packed &= ~np.uint64(1)
+            packed |= np.repeat(np.arange(rows, dtype=np.uint64) << np.uint64(bits + 1) | np.uint64(k), n)
             sides.append(packed)
-        n, m = (np.bincount((s >> np.uint64(bits)).astype(np.int64), minlength=rows) for s in sides)
-        every = np.sort(np.concatenate(sides))
-        both = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(bits)).astype(np.int64), minlength=rows)
-        good[at:stop] = 100 * both >= percent * (n + m - both)
-        ratio[at:stop] = both / np.maximum(1, n + m - both)
+        every = np.concatenate(sides)
+        every.sort()
+        step = every[1:] ^ every[:-1]
+        first = np.r_[np.searchsorted(every, np.arange(rows, dtype=np.uint64) << np.uint64(bits + 1)), len(every)]
+        union = np.diff(np.r_[0, np.cumsum(np.r_[True, step > 1][: len(every)])][first])
+        both = np.diff(np.r_[0, np.cumsum(np.r_[False, step == 1][: len(every)])][first])
+        good[at:stop] = 100 * both >= percent * union
+        ratio[at:stop] = both / np.maximum(1, union)
         at = stop
     return good, ratio
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from latticework.llm import minhash
 from latticework.llm.line_dedup import _normal, dedup_lines, normal, shingles
 from latticework.llm.minhash import PACKED_SCHEMA, hashed_sets, linked, packed_keys, united
 from latticework.llm.scratch import Scratch
@@ -118,3 +119,23 @@ def test_a_turn_writes_what_it_found_once(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     assert dedup_lines(docs).count() == len(texts)
     assert sum(set(c) <= {"turn", "key", "id", "ratio"} and "key" in c for c in made) == 1 + 3
+
+
+def test_pairs_that_are_verified_together():
+    """Similarities against Python's sets; the head of many pairs in a row is read once for each ``PAIRS``."""
+    r = random.Random(21)
+    made = [r.sample(range(60), r.randint(1, 50)) * r.randint(1, 2) for _ in range(1100)]
+    packed = [mix(np.array(x, np.uint64) + np.uint64(1)).tobytes() for x in made]
+    heads = [i // 700 * 700 for i in range(1100)]
+    seen = []
+
+    def elements(sets):
+        seen.extend(sets)
+        return minhash.hashed_sets(sets)
+
+    for n in (1100, 512, 2, 1, 0):
+        good, ratio = minhash.similar(packed[:n], [packed[k] for k in heads[:n]], 80, elements)
+        want = [len({*made[i]} & {*made[heads[i]]}) / len({*made[i]} | {*made[heads[i]]}) for i in range(n)]
+        assert ratio.tolist() == want and good.tolist() == [x >= 0.8 for x in want]
+        if n == 1100:
+            assert len(seen) <= n + 2 * -(-n // minhash.PAIRS)
