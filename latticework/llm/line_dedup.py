@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .minhash import PACKED_SCHEMA, SHARD_KEYS, SORTED, linked, packed_keys, wide_band_keys
-from .repeats import NO_ID, _changes, _texts, squeeze, take_runs, unsqueeze
+from .repeats import NO_ID, _changes, _texts, squeeze, unsqueeze
 from .rows import packed, unpacked
 from .scratch import Scratch, shards_of, text_bytes
 from .symbols import gram_hashes, mix
@@ -20,13 +20,17 @@ from .symbols import gram_hashes, mix
 #: Characters in a shingle; a shorter line is one shingle.
 SHINGLE = 5
 #: Bands, and values in a band. A pair of similarity s misses all of them with
-#: probability (1 - s ** 6) ** 40: 5e-6 at 0.8. A test measures it.
-BANDS, ROWS = 40, 6
+#: probability (1 - s ** 7) ** 52: 5e-6 at 0.8, which a test measures. Unlike pairs,
+#: whose number grows with the square of the lines, meet by chance ever less often
+#: with more values.
+BANDS, ROWS = 52, 7
 PERCENT = 80
 #: Bytes of distinct lines that a task or a shard holds at once.
 HELD = 1 << 25
+#: Distinct lines that are written as one value, 2 ** BLOCK of them.
+BLOCK = 9
 #: Lines signed together, so that they stay in a core's cache.
-TOGETHER = 250
+TOGETHER = 256
 
 
 def normal(line: str) -> str:
@@ -108,7 +112,8 @@ def _lines(shards: int):
 
 
 def _nodes(table: pa.Table) -> pa.Table:
-    """One shard: each distinct line once, with a number of its own and its first place."""
+    """One shard: each distinct line once, with its first place, in blocks of lines;
+    a line's number is that of its block and its place there."""
     got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
     name, doc, place, sizes, text = (np.concatenate([g[k] for g in got]) for k in range(5))
     begins = np.cumsum(sizes) - sizes
@@ -116,12 +121,35 @@ def _nodes(table: pa.Table) -> pa.Table:
     order = np.lexsort((place, doc, two, one))
     new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
     own = order[new]
-    number = (int(table.column("shard")[0].as_py()) << 32) + np.arange(len(own))
-    cuts = np.r_[0, np.cumsum(sizes[own])]
-    if cuts[-1] > np.iinfo(np.int32).max or len(own) >= 1 << 32:
+    if len(own) >= 1 << 32:
         raise ValueError("a shard of lines is too large: more shards are needed")
-    lines = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(text[take_runs(own, begins, sizes)].tobytes())])
-    return pa.table([pa.array(number, pa.int64()), pa.array(doc[own], pa.int64()), pa.array(place[own], pa.int64()), lines], ["id", "doc", "place", "line"])
+    cuts = np.r_[np.arange(0, len(own), 1 << BLOCK), len(own)]
+    first, raw, blobs = int(table.column("shard")[0].as_py()) << 32 - BLOCK, memoryview(text), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        mine = own[a:b]
+        held = b"".join([raw[x : x + n] for x, n in zip(begins[mine].tolist(), sizes[mine].tolist())])
+        blobs.append(squeeze(sizes[mine], np.frombuffer(held, np.uint8)))
+    lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[own], pa.int64())) for x in (doc, place)]
+    return pa.table([pa.array(first + np.arange(len(blobs)), pa.int64()), *lists, pa.array(blobs, pa.binary())], NODES)
+
+
+NODES = ["block", "doc", "place", "lines"]
+
+
+def _block(blob: bytes) -> list[bytes]:
+    """The lines of a block."""
+    sizes, text = unsqueeze(blob)
+    raw, ends = text.tobytes(), np.cumsum(sizes).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _chosen(batches):
+    """The lines of some numbers, block by block."""
+    for batch in batches:
+        for ids, blob in zip(batch.column("ids").to_pylist(), batch.column("lines")):
+            lines = _block(blob.as_buffer())
+            some = [lines[i & (1 << BLOCK) - 1] for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(some, pa.binary())], ["id", "set"])
 
 
 def _keys(shards: int):
@@ -130,52 +158,52 @@ def _keys(shards: int):
     def run(batches):
         ids, keys, held = [], [], 0
         for batch in batches:
-            lines = [x.as_buffer() for x in batch.column("line")]
-            if not lines:
-                continue
-            for a in range(0, len(lines), TOGETHER):
-                element, n = shingles(lines[a : a + TOGETHER])
-                keys.append(wide_band_keys(element, np.cumsum(n) - n, BANDS, ROWS))
-            ids.append(batch.column("id").to_numpy())
-            held += len(lines)
-            if held >= SORTED // 2:
-                yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
-                ids, keys, held = [], [], 0
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("lines")):
+                lines = _block(blob.as_buffer())
+                for a in range(0, len(lines), TOGETHER):
+                    element, n = shingles(lines[a : a + TOGETHER])
+                    keys.append(wide_band_keys(element, np.cumsum(n) - n, BANDS, ROWS))
+                ids.append((block << BLOCK) + np.arange(len(lines)))
+                held += len(lines)
+                if held >= SORTED // 2:
+                    yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
+                    ids, keys, held = [], [], 0
         if ids:
             yield from packed_keys(np.concatenate(ids), np.concatenate(keys), shards)
 
     return run
 
 
-def _kept(passing: bool):
+def _kept(passing: bool, with_text: bool = True):
     def run(batches):
         for batch in batches:
             rows = []
             for doc, text, keep in _texts(batch, "id", "text", "keep"):
                 keep = set(keep or ())
                 lines = text.split("\n")
-                blank = [not x or x.isspace() for x in lines]
-                kept = "\n".join(x for i, x in enumerate(lines) if blank[i] or i in keep)
+                filled = [i for i, x in enumerate(lines) if x and not x.isspace()]
+                gone = {i for i in filled if i not in keep}
+                kept = "\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text
                 if passing:
                     rows.append(kept)
                     continue
-                n = len(lines) - sum(blank)
-                rows.append((None if doc == NO_ID else doc, n, n - sum(i in keep and not b for i, b in enumerate(blank)), kept, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()))
+                name = hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((None if doc == NO_ID else doc, len(filled), len(gone), *[kept] * with_text, name))
             if passing:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(rows, pa.string())], ["row", "kept"])
             else:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], MADE)
+                made = {c: kind for c, kind in MADE.items() if with_text or c != "kept"}
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * len(made), made.values())], list(made))
 
     return run
 
 
-MADE = ["doc_id", "n_lines", "n_removed", "kept", "kept_sha256"]
+MADE = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string()}
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, passing: list[str] | None = None) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept (the remaining text), kept_sha256 for every
-    row; or, with ``passing``, these columns of ``docs`` with the remaining text in
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, passing: list[str] | None = None, with_text: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept (the remaining text; not without
+    ``with_text``), kept_sha256 for every row; or, with ``passing``, these columns of ``docs`` with the remaining text in
     its column.
 
     Lines end at \\n and are compared in lower case with white space runs as one
@@ -195,22 +223,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(*named)
     shards = shards_of(spark, text_bytes(source, "text"), HELD)
     sent = source.mapInArrow(_lines(shards), "shard int, blob binary").repartition(shards, "shard")
-    nodes = scratch.keep(sent.groupBy("shard").applyInArrow(_nodes, "id long, doc long, place long, line binary"))
-    shards = shards_of(spark, nodes.count() * BANDS, SHARD_KEYS)
-    roots = linked(
-        nodes.select("id", "line").mapInArrow(_keys(shards), PACKED_SCHEMA),
-        lambda ids: nodes.select("id", F.col("line").alias("set")).join(ids, "id"),
-        percent, scratch, shards, shingles, 1,
-    )
-    place = nodes.select("id", "doc", "place")
-    alike = place.join(roots, "id")
+    nodes = scratch.keep(sent.groupBy("shard").applyInArrow(_nodes, "block long, doc array<long>, place array<long>, lines binary"))
+    count = nodes.agg(F.sum(F.size("doc"))).collect()[0][0] or 0
+    shards = shards_of(spark, count * BANDS, SHARD_KEYS)
+    blocks = nodes.select("block", "lines")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.groupBy(F.shiftright("id", BLOCK).alias("block")).agg(F.collect_list("id").alias("ids"))
+        return blocks.join(wanted, "block").select("ids", "lines").mapInArrow(_chosen, "id long, set binary")
+
+    roots = linked(blocks.mapInArrow(_keys(shards), PACKED_SCHEMA), sets_of, percent, scratch, shards, shingles, 1)
+    # lines are looked up and left out by block, so that no row for each line is moved by its number
+    at = (F.col("id") - F.shiftleft("block", BLOCK)).cast("int")
+    by_block = lambda ids, *more: ids.groupBy(F.shiftright("id", BLOCK).alias("block")).agg(F.collect_list(F.struct("id", *more)).alias("some"))
+    places = nodes.select("block", "doc", "place")
+    alike = places.join(by_block(roots, "root"), "block").select("block", "doc", "place", F.inline("some"))
+    alike = scratch.keep(alike.select("root", F.get("doc", at).alias("doc"), F.get("place", at).alias("place"), "id"))
     first = alike.groupBy("root").agg(F.min(F.struct("doc", "place", "id")).alias("first")).select(F.col("first.id").alias("id"))
-    later = alike.select("id").join(first, "id", "left_anti")
-    keep = place.join(later, "id", "left_anti").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.col("place").cast("int")).alias("keep"))
+    later = by_block(alike.select("id").join(first, "id", "left_anti")).select("block", F.col("some.id").alias("later"))
+    placed = places.join(later, "block", "left").select("block", "later", F.posexplode(F.arrays_zip("doc", "place")).alias("at", "first"))
+    stays = F.col("later").isNull() | ~F.array_contains("later", F.shiftleft("block", BLOCK) + F.col("at"))
+    keep = placed.filter(stays).groupBy(F.col("first.doc").alias("id")).agg(F.collect_list(F.col("first.place").cast("int")).alias("keep"))
     keep = scratch.keep(keep)
-    scratch.drop(nodes, roots)
+    scratch.drop(nodes, roots, alike)
     if passing is None:
-        return source.join(keep, "id", "left").mapInArrow(_kept(False), "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string")
+        made = "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string"
+        return source.join(keep, "id", "left").mapInArrow(_kept(False, with_text), made if with_text else made.replace(" kept string,", ""))
     others = [c for c in passing if c != text_col]
     wide = docs.select(*named, packed(others))
     out = wide.join(keep, "id", "left").mapInArrow(_kept(True), StructType([wide.schema["row"], StructField("kept", StringType())]))

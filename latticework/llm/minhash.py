@@ -23,6 +23,7 @@ bands) are candidates. No bucket's pairs are listed:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from functools import reduce
 
@@ -47,6 +48,10 @@ COPIES = 2
 PART = 1 << 18
 #: Rare elements that two sets must have in common to be compared.
 COMMON = 8
+#: Sets of a family that are compared by one product of matrices; a power of two.
+FEW = 256
+#: Elements in one product.
+MULTIPLIED = 1 << 13
 #: Pairs, and elements of pairs, that are verified at once.
 PAIRS = 1 << 9
 VERIFIED = 1 << 21
@@ -104,60 +109,85 @@ def band_keys(elements: np.ndarray, begins: np.ndarray, bands: tuple[tuple[int,
     return out
 
 
-#: Other bins that an empty bin asks before it takes a minimum of its own.
-PROBES = 8
+#: Other bins that an empty bin asks before it takes a minimum of its own, for which
+#: all elements are hashed again; all bins are asked at once while more than one in
+#: ``SWEPT`` is empty.
+PROBES, SWEPT = 32, 16
+#: What a bin without an element holds; an element of just this value is not seen, in any set.
+EMPTY = np.uint32(0xFFFFFFFF)
+
+
+@functools.cache
+def _probes(k: int) -> np.ndarray:
+    return (mix(np.arange(1, PROBES * k + 1, dtype=np.uint64) * np.uint64(BASE)) % np.uint64(k)).astype(np.int64).reshape(PROBES, k)
 
 
 def one_permutation(elements: np.ndarray, begins: np.ndarray, k: int) -> np.ndarray:
-    """k minima for each set from one hash of its elements: each bin of hashes gives
-    its minimum; an empty bin takes that of the first filled one in an order of
-    bins of its own, or, if ``PROBES`` bins are empty, the element that is smallest
-    under a permutation of its own. Two sets agree in a value with a probability
-    of their Jaccard similarity."""
-    out = np.empty((len(begins), k), np.uint32)
+    """k minima for each set from one hash of its elements, one row for each of k:
+    each bin of hashes gives its minimum; an empty bin takes that of the first filled
+    one in an order of bins of its own, or, if ``PROBES`` bins are empty, the element
+    that is smallest under a permutation of its own. Two sets agree in a value with a
+    probability of their Jaccard similarity."""
+    out = np.empty((k, len(begins)), np.uint32)
     ends = np.r_[begins[1:], len(elements)]
-    probes = (mix(np.arange(1, PROBES * k + 1, dtype=np.uint64) * np.uint64(BASE)) % np.uint64(k)).astype(np.int64).reshape(PROBES, k)
+    probes = _probes(k)
     seeds = mix(np.arange(1, k + 1, dtype=np.uint64) * MIX2)
     at = 0
     while at < len(begins):
         stop = max(at + 1, int(np.searchsorted(ends, begins[at] + AT_ONCE, "right")))
         part, n = elements[begins[at] : ends[stop - 1]], ends[at:stop] - begins[at:stop]
-        slot = np.repeat(np.arange(len(n)) * k, n) + ((part >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).view(np.int64)
-        made = out[at:stop].reshape(-1)
-        made.fill(0xFFFFFFFF)
-        np.minimum.at(made, slot, part.astype(np.uint32))
-        filled = np.zeros(len(made), bool)
-        filled[slot] = True
-        empty = np.flatnonzero(~filled)
-        base = np.repeat(np.arange(len(n)) * k, k - filled.reshape(-1, k).sum(1))
-        bin_ = empty - base
-        for probe in probes:
-            other = base + probe[bin_]
-            hit = filled[other]
-            made[(base + bin_)[hit]] = made[other[hit]]
-            left = np.flatnonzero(~hit)
-            base, bin_ = base[left], bin_[left]
-        if len(base):
-            row = base // k
+        slot = part >> np.uint64(32)
+        slot *= np.uint64(k)
+        slot >>= np.uint64(32)
+        slot *= np.uint64(len(n))
+        slot += np.repeat(np.arange(len(n), dtype=np.uint64), n)
+        made = np.full(k * len(n), EMPTY, np.uint32)
+        np.minimum.at(made, slot.view(np.int64), part.astype(np.uint32))
+        made = made.reshape(k, len(n))
+        full = made.copy()
+        blank, asked = full == EMPTY, 0
+        while asked < PROBES and np.count_nonzero(blank) * SWEPT > blank.size:
+            held = blank.astype(np.uint32)
+            held -= np.uint32(1)  # all ones where a bin holds a value
+            held |= made[probes[asked]]
+            full &= held
+            np.equal(full, EMPTY, out=blank)
+            asked += 1
+        spot = np.flatnonzero(blank)
+        bin_, row = np.divmod(spot, len(n))
+        flat, given = full.reshape(-1), made.reshape(-1)
+        for probe in probes[asked:]:
+            if not len(row):
+                break
+            other = given[probe[bin_] * len(n) + row]
+            left = np.flatnonzero(other == EMPTY)
+            flat[spot] = other
+            spot, bin_, row = spot[left], bin_[left], row[left]
+        if len(row):
             size = n[row]
             spots = np.repeat(begins[at + row] - begins[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
             own = part[spots]
             image = mix(own ^ np.repeat(seeds[bin_], size)) & ~np.uint64(0xFFFFFFFF) | own & np.uint64(0xFFFFFFFF)
-            made[base + bin_] = np.minimum.reduceat(image, np.cumsum(size) - size).astype(np.uint32)
+            flat[spot] = np.minimum.reduceat(image, np.cumsum(size) - size).astype(np.uint32)
+        out[:, at:stop] = full
         at = stop
     return out
 
 
 def wide_band_keys(elements: np.ndarray, begins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each set and band of ``rows`` values; no set is empty."""
-    values = one_permutation(elements, begins, bands * rows).reshape(len(begins), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), values.shape[:2]).copy()
+    values = one_permutation(elements, begins, bands * rows).reshape(bands, rows, len(begins))
+    key = np.repeat(np.arange(bands, dtype=np.uint64), len(begins)).reshape(bands, len(begins))
     for k in range(0, rows, 2):
-        two = values[:, :, k].astype(np.uint64) << np.uint64(32)
+        two = values[:, k].astype(np.uint64)
+        two <<= np.uint64(32)
         if k + 1 < rows:
-            two |= values[:, :, k + 1]
-        key = mix(key * np.uint64(BASE) + two)
-    return key
+            two |= values[:, k + 1]
+        two ^= two >> np.uint64(29)
+        key *= np.uint64(BASE)
+        key += two
+        key ^= key >> np.uint64(33)
+    return mix(np.ascontiguousarray(key.T))
 
 
 def hashed_sets(sets: list) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +267,10 @@ def _cuts(shard: np.ndarray):
 
 
 def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
-    """The smallest member of each bucket of a block of items, packed by shard of
-    keys, and the other members under it, packed by shard of ids."""
-    number, name = np.empty(0, np.uint64), np.empty(0, np.int64)
+    """The smallest member of each bucket of a block of items, and whether the block
+    has others, packed by shard of keys; and all members of a bucket that has
+    several, packed by shard of ids."""
+    number, name, flag = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)
     for lo in range(0, len(ids), SORTED):
         own = ids[lo : lo + SORTED]
         order = np.argsort(own, kind="stable")
@@ -249,17 +280,20 @@ def packed_keys(ids: np.ndarray, keys: np.ndarray, shards: int):
         packed = packed[np.r_[True, packed[1:] != packed[:-1]]]  # a set may meet itself in two bands
         key, id_ = packed >> np.uint64(16), own[(packed & np.uint64(SORTED - 1)).astype(np.int64)]
         new = np.r_[True, key[1:] != key[:-1]]
-        head = id_[new][np.cumsum(new) - 1]
         first, rest = np.flatnonzero(new), np.flatnonzero(~new)
-        rest = rest[id_[rest] != head[rest]]
+        bucket = np.searchsorted(first, rest, "right") - 1
+        other = id_[rest] != id_[first[bucket]]
+        several = np.zeros(len(first), np.uint8)
+        several[bucket[other]] = 1
+        rest = np.concatenate([first[several > 0], rest[other]])
         for a, b in _cuts(shard := _range_shard(key[first], shards)):
             mine = first[a:b]
-            yield _row(int(shard[a]), squeeze(np.diff(key[mine], prepend=np.uint64(0)), id_[mine], number, name, name))
+            yield _row(int(shard[a]), squeeze(np.diff(key[mine], prepend=np.uint64(0)), id_[mine], several[a:b], number, name))
         shard = _range_shard(mix(id_[rest].view(np.uint64)) >> np.uint64(16), shards)
         rest = rest[order := np.argsort(shard, kind="stable")]
         for a, b in _cuts(shard := shard[order]):
             mine = rest[a:b]
-            yield _row(int(shard[a]), squeeze(number, name, key[mine], id_[mine], head[mine]))
+            yield _row(int(shard[a]), squeeze(number, name, flag, key[mine], id_[mine]))
 
 
 def _range_shard(key: np.ndarray, shards: int) -> np.ndarray:
@@ -272,27 +306,30 @@ def _row(shard: int, blob: bytes) -> pa.RecordBatch:
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """One shard: the heads of the tasks under the smallest of them, where a bucket
-    has several or a task has others; and the others as they came."""
+    """One shard: a bucket of two items that is whole here as one row, its larger
+    member with the other; of larger ones the heads of the tasks, and what tasks
+    have sent of their own, one member a row. Members may come twice."""
     got = [unsqueeze(b) for b in table.column("blob").to_pylist()]
     key = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-    id_ = np.concatenate([g[1] for g in got])
-    rest = [np.concatenate([g[k] for g in got]) for k in (2, 3, 4)]
+    id_, more, rest_key, rest = (np.concatenate([g[k] for g in got]) for k in (1, 2, 3, 4))
     # most keys stand once and go at once
     order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     order = order[np.r_[False, same] | np.r_[same, False]] if len(key) else order
-    key, id_ = key[order], id_[order]
-    order = np.lexsort((id_, key))
-    key, id_ = key[order], id_[order]
+    order = order[np.lexsort((id_[order], key[order]))]
+    key, id_, more = key[order], id_[order], more[order]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    whole = np.maximum.reduceat(more, begin) == 0 if len(key) else np.empty(0, bool)
     new = np.r_[True, (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])] if len(key) else np.empty(0, bool)
     key, id_ = key[new], id_[new]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     count = np.diff(np.r_[at, len(key)])
-    several = np.repeat(count > 1, count)
-    head = np.repeat(id_[at], count)
-    columns = [np.concatenate([x[several], y]) for x, y in zip((key.view(np.int64), id_, head), (rest[0].view(np.int64), *rest[1:]))]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], ["key", "id", "head"])
+    pair = at[(count == 2) & whole]
+    many = np.repeat((count > 2) | (count == 2) & ~whole, count)
+    columns = [np.concatenate(x) for x in ((key[pair].view(np.int64), key[many].view(np.int64), rest_key.view(np.int64)), (id_[pair + 1], id_[many], rest))]
+    other = np.concatenate([id_[pair], np.zeros(len(columns[0]) - len(pair), np.int64)])
+    none = np.arange(len(other)) >= len(pair)
+    return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(other, pa.int64(), mask=none)], ["key", "id", "other"])
 
 
 def _spots(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -377,6 +414,36 @@ def united(root: np.ndarray, sets: list, side: np.ndarray, percent: int, element
     return out
 
 
+def few_united(root: np.ndarray, n: np.ndarray, element: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """As :func:`united`, of up to ``FEW`` sets: their elements, one set after
+    another, and how many each has. All overlaps are one product of matrices.
+    Elements are compared by 56 bits."""
+    low = np.uint64(FEW - 1)
+    packed = element & ~low
+    packed |= np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    packed.sort()
+    new = np.ones(len(packed) + 1, bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:-1])
+    packed = packed[new[:-1]]
+    row = (packed & low).astype(np.int64)
+    sizes = np.bincount(row, minlength=len(n))
+    new = np.ones(len(packed) + 1, bool)
+    np.greater(packed[1:] ^ packed[:-1], low, out=new[1:-1])
+    shared = ~(new[:-1] & new[1:])
+    new, row = np.flatnonzero(new[:-1][shared]), row[shared]
+    both = np.zeros((len(n), len(n)), np.int64)
+    for at in range(0, len(new), MULTIPLIED):
+        cuts = np.r_[new[at : at + MULTIPLIED + 1], len(row)][: MULTIPLIED + 1]
+        has = np.zeros((len(cuts) - 1, len(n)), np.float32)
+        has[np.repeat(np.arange(len(has)), np.diff(cuts)), row[cuts[0] : cuts[-1]]] = 1
+        both += (has.T @ has).astype(np.int64)
+    good = 100 * both >= percent * (sizes[:, None] + sizes - both)
+    good &= np.triu(root[:, None] != root, 1)
+    if side.any():
+        good &= side[:, None] != side
+    return sorted({(int(root[i]), int(root[j])) for i, j in zip(*np.nonzero(good))})
+
+
 def _families(percent: int, elements: Elements):
     def run(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_numpy() for c in ("family", "lo", "hi", "block", "root")]
@@ -384,11 +451,31 @@ def _families(percent: int, elements: Elements):
         order = np.lexsort(columns[:3][::-1])
         family, lo, hi, block, root = (c[order] for c in columns)
         cuts = np.flatnonzero(np.r_[True, (family[1:] != family[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), True])
-        out = []
+        out, few, held, size = [], [], [], 0
+
+        def told():
+            element, n = elements(held)
+            ends, at = np.r_[0, np.cumsum(n)], 0
+            for a, b in few:
+                own = n[at : at + b - a]
+                found = few_united(root[a:b], own, element[ends[at] : ends[at + b - a]], (block[a:b] != lo[a]).astype(np.int64), percent)
+                out.extend(found)
+                at += b - a
+
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a > 1 and (root[a:b] != root[a]).any():
-                held = [sets[int(i)].as_buffer() for i in order[a:b]]
-                out += united(root[a:b], held, (block[a:b] != lo[a]).astype(np.int64), percent, elements)
+                mine = [sets[int(i)].as_buffer() for i in order[a:b]]
+                if b - a > FEW:
+                    out += united(root[a:b], mine, (block[a:b] != lo[a]).astype(np.int64), percent, elements)
+                    continue
+                few.append((a, b))
+                held += mine
+                size += sum(x.size for x in mine)
+                if size > PART:
+                    told()
+                    few, held, size = [], [], 0
+        if few:
+            told()
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -404,10 +491,11 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     they share a key, and linked if their full sets overlap enough. ``cell``
     bounds the elements that one task compares with one another.
     """
-    met = scratch.keep(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_met, "key long, id long, head long"))
-    sets = scratch.keep(sets_of(met.select(F.explode(F.array("id", "head")).alias("id")).distinct()))
-    left = scratch.keep(met.select("key", F.explode(F.array("id", "head")).alias("id")).distinct())
-    scratch.drop(met)
+    met = scratch.keep(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_met, "key long, id long, other long"))
+    sets = scratch.keep(sets_of(met.select(F.explode(F.array("id", "other")).alias("id")).filter("id is not null").distinct()))
+    # buckets of two are told by their one pair; nothing has to be known by key
+    two = met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    left = scratch.keep(met.filter("other is null").select("key", "id"))
     links, near, told_by_key = [], [], []
     for turn in range(TURNS):
         # the smallest member of each bucket is its head
@@ -415,7 +503,10 @@ def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         star = scratch.keep(left.join(heads, "key").filter("id <> head").select("key", F.col("id").alias("a"), F.col("head").alias("b")))
         if not turn:
             scratch.drop(left)
-        told = scratch.keep(verify(star.select("a", "b").distinct(), sets, percent, elements))
+        pairs = star.select("a", "b") if turn else star.select("a", "b").unionByName(two)
+        told = scratch.keep(verify(pairs.distinct(), sets, percent, elements))
+        if not turn:
+            scratch.drop(met)
         links.append(told)
         ratios = scratch.keep(star.join(told.select("a", "b", "ratio"), ["a", "b"]).select("key", F.col("a").alias("id"), "ratio"))
         told_by_key.append(ratios)

@@ -35,7 +35,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(_table(spark, sf_dir, "documents")).drop("kept")
+    return dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from latticework.llm import minhash
-from latticework.llm.line_dedup import _normal, dedup_lines, normal, shingles
+from latticework.llm.line_dedup import BANDS, ROWS, _normal, dedup_lines, normal, shingles
 from latticework.llm.minhash import PACKED_SCHEMA, hashed_sets, linked, packed_keys, united
 from latticework.llm.scratch import Scratch
 from latticework.llm.symbols import mix
@@ -139,3 +139,61 @@ def test_pairs_that_are_verified_together():
         assert ratio.tolist() == want and good.tolist() == [x >= 0.8 for x in want]
         if n == 1100:
             assert len(seen) <= n + 2 * -(-n // minhash.PAIRS)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_few_sets_are_compared_by_one_product(percent, monkeypatch):
+    """All pairs of different components, and across blocks only; elements repeat; products of one and of several parts."""
+    r = np.random.default_rng(percent)
+    for part in (1 << 13, 7):
+        monkeypatch.setattr(minhash, "MULTIPLIED", part)
+        for m in (0, 1, 2, 9, minhash.FEW):
+            sets = [mix(r.integers(0, 12, r.integers(1, 25)).astype(np.uint64) + np.uint64(1 + 6 * r.integers(0, 3))) for _ in range(m)]
+            root = r.integers(0, max(1, m), m)
+            for side in (np.zeros(m, np.int64), r.integers(0, 2, m)):
+                want = {
+                    (int(root[i]), int(root[j]))
+                    for i in range(m)
+                    for j in range(i + 1, m)
+                    if root[i] != root[j] and (not side.any() or side[i] != side[j]) and 100 * len({*sets[i]} & {*sets[j]}) >= percent * len({*sets[i]} | {*sets[j]})
+                }
+                n = np.array([len(x) for x in sets], np.int64)
+                element = np.concatenate([np.empty(0, np.uint64), *sets])
+                assert minhash.few_united(root, n, element, side, percent) == sorted(want)
+
+
+def test_pairs_by_chance_stay_few():
+    """Lines of one vocabulary, none alike: how many pairs meet in a bucket at all. Those grow with the square of the lines, so bands are long."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    lines = [" ".join(r.choice(words) for _ in range(100)).encode() for _ in range(3000)]
+    element, n = shingles(lines)
+    keys = minhash.wide_band_keys(element, np.cumsum(n) - n, BANDS, ROWS)
+    order = np.sort(keys.T, axis=1)
+    assert (order[:, 1:] == order[:, :-1]).sum() < len(lines) // 8
+
+
+def test_buckets_of_two_are_told_by_their_pair(spark, monkeypatch):
+    """What is known by key are buckets of more than two and those met in a task; the rest is one row a bucket."""
+    seen = {}
+    keep = Scratch.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        if "key" in df.columns:
+            seen.setdefault(tuple(df.columns), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    ids = [(1, 11, 5), (2, 12, 5), (3, 21, 6), (4, 22, 6), (5, 23, 6)]
+    sets = {row: mix(np.arange(row * 100, row * 100 + 20, dtype=np.uint64)).tobytes() for _, _, row in ids}
+
+    def keys(batches):
+        for batch in batches:
+            for i, g in zip(batch.column("id").to_pylist(), batch.column("g").to_pylist()):
+                yield from packed_keys(np.array([i]), mix(np.array([[g << 1, g << 1 | 1]], np.uint64)), 2)
+
+    table = spark.createDataFrame([(i, g, bytearray(sets[g])) for _, i, g in ids], "id long, g long, set binary").repartition(3)
+    roots = linked(table.mapInArrow(keys, PACKED_SCHEMA), lambda x: table.select("id", "set").join(x, "id"), 80, Scratch(spark, "two"), 2, hashed_sets, 8)
+    assert {r.id: r.root for r in roots.collect()} == {11: 11, 12: 11, 21: 21, 22: 21, 23: 21}
+    assert seen[("key", "id", "other")] == 2 * 1 + 2 * 3 and seen[("key", "id")] == 2 * 3
