@@ -5,8 +5,9 @@ the smallest and the largest image of a set, so a signature of 2k values costs
 k hash evaluations. A band joins several of them; members of one bucket (equal
 bands) are candidates. No bucket's pairs are listed:
 
-1. Each task joins its members of a bucket under the smallest of them, and a
-   shard those of the tasks, so no shard sees all of a large bucket.
+1. Each task sends the smallest of its members of a bucket to one shard, and all
+   of several apart from it, so no shard sees all of a large bucket. A bucket of
+   two, from two tasks, is one pair, and nothing more is kept of it by key.
 2. All members of a bucket are compared with its head, the smallest: as many
    pairs as members. Links are united. By the triangle inequality of the Jaccard
    distance, two linked members are both near the head or both far from it, so
@@ -16,9 +17,10 @@ bands) are candidates. No bucket's pairs are listed:
    of one smallest member are a family; buckets that merely share some member stay
    apart, as a chain of them would take in much of a large corpus. A family's sets
    meet in one place, or, if they are too large together, in pairs of blocks, a
-   round after another. A kernel finds each member's partners through an inverted index of the rarest elements, of which two linked
-   sets share one, counts the overlaps, and returns links that join different
-   components only: fewer than it has members.
+   round after another. The overlaps of up to ``FEW`` sets are one product of
+   matrices. Of more, a kernel finds each member's partners through an inverted
+   index of the rarest elements, counts the overlaps, and returns links that join
+   different components only: fewer than it has members.
 """
 
 from __future__ import annotations

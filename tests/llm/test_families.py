@@ -163,14 +163,14 @@ def test_few_sets_are_compared_by_one_product(percent, monkeypatch):
 
 
 def test_pairs_by_chance_stay_few():
-    """Lines of one vocabulary, none alike: how many pairs meet in a bucket at all. Those grow with the square of the lines, so bands are long."""
+    """Lines of one vocabulary, none alike: hardly a pair meets in a bucket. Such pairs grow with the square of the lines; 40 bands of six values had 21 here."""
     r = random.Random(8)
     words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(400)]
     lines = [" ".join(r.choice(words) for _ in range(100)).encode() for _ in range(3000)]
     element, n = shingles(lines)
     keys = minhash.wide_band_keys(element, np.cumsum(n) - n, BANDS, ROWS)
     order = np.sort(keys.T, axis=1)
-    assert (order[:, 1:] == order[:, :-1]).sum() < len(lines) // 8
+    assert (order[:, 1:] == order[:, :-1]).sum() <= 8
 
 
 def test_buckets_of_two_are_told_by_their_pair(spark, monkeypatch):
