@@ -26,6 +26,8 @@ SETS_AT_ONCE = 48
 MANY_SETS, MANY_ROWS = 16, 1 << 20
 #: Candidates checked for swaps by one job.
 CHECKS_AT_ONCE = 24
+#: Classes of rows above which a pair plan does not meet their pairs (1/2 billion) if these can be counted.
+MEET_CLASSES = {"nested": 1 << 15}
 #: A mask column holds this many bits; wider tables use more columns.
 WORD = 62
 
@@ -158,15 +160,18 @@ def agree_masks(df: DataFrame, columns: list[str], plan: str = "triangle", null_
     counts: from the sizes of the groups of every column set, for up to ``COUNTED``
     columns; wider tables go by the triangle plan. The pair plans meet classes of
     rows instead of rows (see :func:`agreement_classes`); a class of several rows
-    adds the set of the values that it has in common."""
+    adds the set of the values that it has in common. Pairs of more classes than
+    ``MEET_CLASSES`` are counted where they can be, as their number grows with the
+    square of the classes."""
     n = len(columns)
     words = range(-(-n // WORD))
     if plan == "counts" and n <= COUNTED:
-        exact = exactly(pairs_agreeing(df, columns, null_equals_null), range(n))
-        return _mask_frame(df, sorted(m for m, p in exact.items() if p), n)
+        return _mask_frame(df, _counted(df, columns, null_equals_null), n)
     plan = "triangle" if plan == "counts" else plan
     rows = agreement_classes(df, columns, null_equals_null).persist()
     try:
+        if n <= COUNTED and plan in MEET_CLASSES and rows.count() > MEET_CLASSES[plan]:
+            return _mask_frame(df, _counted(df, columns, null_equals_null), n)
         same = lambda i: F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False))
         met = PLANS[plan](rows, n).select(*mask_words([same(i) for i in range(n)]))
         met = met.groupBy(*[f"m{k}" for k in words]).agg(F.count("*").alias("pairs")).collect()
@@ -183,6 +188,11 @@ def agree_masks(df: DataFrame, columns: list[str], plan: str = "triangle", null_
     return _mask_frame(df, sorted(found), n)
 
 
+def _counted(df: DataFrame, columns: list[str], null_equals_null: bool) -> list[int]:
+    exact = exactly(pairs_agreeing(df, columns, null_equals_null), range(len(columns)))
+    return sorted(m for m, p in exact.items() if p)
+
+
 def _mask_frame(df: DataFrame, masks: list[int], n: int) -> DataFrame:
     words = range(-(-n // WORD))
     rows = [tuple(m >> WORD * k & (1 << WORD) - 1 for k in words) for m in masks]

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import brute
+from latticework import queries
 from latticework.functions.masks import bits
 from latticework.functions.predicates import Predicate
 from latticework.operators.dc import dc_violations, evidence_sets, space_of
@@ -150,3 +151,21 @@ def test_keys_by_shards_need_one_search(spark, monkeypatch, small):
         assert got == {",".join(f"c{i}" for i in bits(x)) for x in want}
         assert bool(want) == (seed != 3) and (seed != 1 or max(map(int.bit_count, want)) > 3)
         assert small < 1 << 12 or made[-1].jobs <= 2
+
+
+@pytest.mark.parametrize("query", ["agree_sets_part_nested"])
+def test_many_classes_are_counted(spark, monkeypatch, query):
+    """A named plan meets no pairs of more classes than it may, and finds the same sets."""
+    name = query.split("_")[2]
+    columns = queries.COLUMNS[name]
+    values = rows_of(3, len(columns) - 1, 60, 3)
+    rows = [(i, *(v and v % (2 + k) for k, v in enumerate(r))) for i, r in enumerate(values)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in columns))
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    for plan in kernels.MEET_CLASSES:
+        monkeypatch.setitem(kernels.MEET_CLASSES, plan, 10)
+    for plan in pairs.PLANS:
+        monkeypatch.setitem(pairs.PLANS, plan, None)
+    full = (1 << len(columns)) - 1
+    want = brute.agree(rows, len(columns))
+    assert {r.mask for r in queries.QUERIES[query](spark, "").collect()} == ({full - m for m in want} if query.startswith("difference") else want)
