@@ -29,16 +29,20 @@ SETS_AT_ONCE = 48
 BLOCK = 250_000
 
 
-def pairs_within(keys: DataFrame, masks: list[int]) -> dict[int, int]:
-    """The unordered pairs of rows that agree on each column set at least."""
+def pairs_within(keys: DataFrame, masks: list[int], times: str | None = None) -> dict[int, int]:
+    """The unordered pairs of rows that agree on each column set at least. With
+    ``times``, the column that says how many rows a row stands for, a null agrees
+    with none."""
     out = {}
     for at in range(0, len(masks), SETS_AT_ONCE):
         part = masks[at : at + SETS_AT_ONCE]
         used = sorted({i for m in part for i in bits(m)})
         names = [f"k{i}" for i in used]
-        source = keys.select(*[F.col(f"`{keys.columns[i]}`").alias(f"k{i}") for i in used])
+        source = keys.select(*[F.col(f"`{keys.columns[i]}`").alias(f"k{i}") for i in used], (F.col(times) if times else F.lit(1)).alias("times"))
         sets = [[f"k{i}" for i in bits(m)] for m in part]
-        groups = source.groupingSets(sets, *names).agg(F.grouping_id().alias("gid"), F.count("*").cast("decimal(19,0)").alias("n")).filter("n > 1")
+        groups = source.groupingSets(sets, *names).agg(F.grouping_id().alias("gid"), F.sum("times").cast("decimal(19,0)").alias("n"), *[F.grouping(c).alias(f"no_{c}") for c in names]).filter("n > 1")
+        for c in names if times else ():
+            groups = groups.filter(f"no_{c} = 1 or {c} is not null")
         found = {r["gid"]: int(r["p"]) for r in groups.groupBy("gid").agg(F.sum(F.expr("n * (n - 1)")).alias("p")).collect()}
         # a bit of the id is set for each column that a group lacks, the first column highest
         top = len(used) - 1
@@ -49,12 +53,20 @@ def pairs_within(keys: DataFrame, masks: list[int]) -> dict[int, int]:
 def pairs_agreeing(df: DataFrame, columns: list[str], null_equals_null: bool = True) -> dict[int, int]:
     """For each column set on which two rows agree, the unordered pairs that agree on
     it at least. Sets that hold one without pairs are not counted."""
-    keys = keyed(df, columns, null_equals_null)
-    rows = df.count()
+    return _by_levels(keyed(df, columns, null_equals_null), len(columns), df.count())
+
+
+def pairs_of_classes(classes: DataFrame, n: int) -> dict[int, int]:
+    """The same from the :func:`.pairs.agreement_classes` of a table of n columns."""
+    rows = classes.agg(F.sum("_times")).collect()[0][0] or 0
+    return _by_levels(classes.select(*[f"_{i}" for i in range(n)], "_times"), n, rows, "_times")
+
+
+def _by_levels(keys: DataFrame, n: int, rows: int, times: str | None = None) -> dict[int, int]:
     out = {0: rows * (rows - 1) // 2}
-    level = [1 << i for i in range(len(columns))] if out[0] else []
+    level = [1 << i for i in range(n)] if out[0] else []
     while level:
-        found = {m: p for m, p in pairs_within(keys, level).items() if p}
+        found = {m: p for m, p in pairs_within(keys, level, times).items() if p}
         out |= found
         level = next_level(found)
     return out if out[0] else {}

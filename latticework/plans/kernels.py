@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.masks import bits
 from ..functions.predicates import Predicate
-from .counts import COUNTED, ORDERED, exactly, outcomes, pairs_agreeing
+from .counts import COUNTED, ORDERED, exactly, outcomes, pairs_agreeing, pairs_of_classes
 from .encode import keyed, ordered
 from .pairs import PLANS, agreement_classes, distinct_rows
 from .sharded import column_groups, dealing, plain, sharded_agree_sets, sharded_counts
@@ -26,8 +26,8 @@ SETS_AT_ONCE = 48
 MANY_SETS, MANY_ROWS = 16, 1 << 20
 #: Candidates checked for swaps by one job.
 CHECKS_AT_ONCE = 24
-#: Classes of rows above which a pair plan does not meet their pairs (1/2 billion) if these can be counted.
-MEET_CLASSES = {"nested": 1 << 15}
+#: Classes of rows above which a pair plan does not meet their pairs (34 million) if these can be counted.
+MEET_CLASSES = {"nested": 1 << 13, "triangle": 1 << 13}
 #: A mask column holds this many bits; wider tables use more columns.
 WORD = 62
 
@@ -166,12 +166,12 @@ def agree_masks(df: DataFrame, columns: list[str], plan: str = "triangle", null_
     n = len(columns)
     words = range(-(-n // WORD))
     if plan == "counts" and n <= COUNTED:
-        return _mask_frame(df, _counted(df, columns, null_equals_null), n)
+        return _mask_frame(df, _occurring(pairs_agreeing(df, columns, null_equals_null), n), n)
     plan = "triangle" if plan == "counts" else plan
     rows = agreement_classes(df, columns, null_equals_null).persist()
     try:
         if n <= COUNTED and plan in MEET_CLASSES and rows.count() > MEET_CLASSES[plan]:
-            return _mask_frame(df, _counted(df, columns, null_equals_null), n)
+            return _mask_frame(df, _occurring(pairs_of_classes(rows, n), n), n)
         same = lambda i: F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False))
         met = PLANS[plan](rows, n).select(*mask_words([same(i) for i in range(n)]))
         met = met.groupBy(*[f"m{k}" for k in words]).agg(F.count("*").alias("pairs")).collect()
@@ -188,9 +188,8 @@ def agree_masks(df: DataFrame, columns: list[str], plan: str = "triangle", null_
     return _mask_frame(df, sorted(found), n)
 
 
-def _counted(df: DataFrame, columns: list[str], null_equals_null: bool) -> list[int]:
-    exact = exactly(pairs_agreeing(df, columns, null_equals_null), range(len(columns)))
-    return sorted(m for m, p in exact.items() if p)
+def _occurring(least: dict[int, int], n: int) -> list[int]:
+    return sorted(m for m, p in exactly(least, range(n)).items() if p)
 
 
 def _mask_frame(df: DataFrame, masks: list[int], n: int) -> DataFrame:

@@ -153,7 +153,7 @@ def test_keys_by_shards_need_one_search(spark, monkeypatch, small):
         assert small < 1 << 12 or made[-1].jobs <= 2
 
 
-@pytest.mark.parametrize("query", ["agree_sets_part_nested"])
+@pytest.mark.parametrize("query", ["agree_sets_part_nested", "agree_sets_part_triangle"])
 def test_many_classes_are_counted(spark, monkeypatch, query):
     """A named plan meets no pairs of more classes than it may, and finds the same sets."""
     name = query.split("_")[2]
@@ -169,3 +169,12 @@ def test_many_classes_are_counted(spark, monkeypatch, query):
     full = (1 << len(columns)) - 1
     want = brute.agree(rows, len(columns))
     assert {r.mask for r in queries.QUERIES[query](spark, "").collect()} == ({full - m for m in want} if query.startswith("difference") else want)
+
+
+@pytest.mark.parametrize("equal", [True, False])
+def test_pairs_of_classes(spark, equal):
+    """Copies of rows that hold nulls agree on these, or do not."""
+    rows = [(*r, i // 2, i) for i, r in enumerate(rows_of(4, 3, 30, 2))] * 2 + [(None,) * 5] * 2
+    df = frame(spark, rows, 5)
+    classes = pairs.agreement_classes(df, df.columns, equal)
+    assert counts.pairs_of_classes(classes, 5) == counts.pairs_agreeing(df, df.columns, equal)
