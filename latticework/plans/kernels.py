@@ -27,7 +27,7 @@ MANY_SETS, MANY_ROWS = 16, 1 << 20
 #: Candidates checked for swaps by one job.
 CHECKS_AT_ONCE = 24
 #: Classes of rows above which a pair plan does not meet their pairs (34 million) if these can be counted.
-MEET_CLASSES = {"nested": 1 << 13, "triangle": 1 << 13}
+MEET_CLASSES = {"nested": 1 << 13, "triangle": 1 << 13, "sharing": 1 << 13}
 #: A mask column holds this many bits; wider tables use more columns.
 WORD = 62
 
