@@ -153,7 +153,7 @@ def test_keys_by_shards_need_one_search(spark, monkeypatch, small):
         assert small < 1 << 12 or made[-1].jobs <= 2
 
 
-@pytest.mark.parametrize("query", ["agree_sets_part_nested", "agree_sets_part_triangle", "difference_sets_part", "agree_sets_customer_nested", "agree_sets_customer_triangle", "agree_sets_part_sharing", "agree_sets_customer_sharing"])
+@pytest.mark.parametrize("query", ["agree_sets_part_nested", "agree_sets_part_triangle", "difference_sets_part", "agree_sets_customer_nested", "agree_sets_customer_triangle", "agree_sets_part_sharing", "agree_sets_customer_sharing", "difference_sets_customer"])
 def test_many_classes_are_counted(spark, monkeypatch, query):
     """A named plan meets no pairs of more classes than it may, and finds the same sets."""
     name = query.split("_")[2]
