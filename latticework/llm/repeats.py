@@ -13,6 +13,8 @@ builds (:mod:`suffix_dedup`, :mod:`substring_dedup`):
    window content, so that no anchor fills a shard.
 3. *Owners.* A shard indexes its runs and returns which windows are the first
    with their content. All other windows with a recurring anchor are repeats.
+   Runs that share no window with another one by their anchor alone are not
+   indexed: all their windows are first.
 4. Each document drops what its repeats cover.
 
 All texts are read whole; nothing is capped. Every shuffle is keyed by hash or
@@ -218,7 +220,8 @@ def _flagged(rule: Rule, text, flags: list[bytes]) -> tuple[np.ndarray, np.ndarr
     units = rule.units(text)
     at, key = anchors(rule.codes(units), rule.window, rule.gram)
     known = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in flags]))
-    return units, at, key, member(short(key), known)
+    begin = _changes(at)  # neighbours of one anchor are looked up once
+    return units, at, key, np.repeat(member(short(key[begin]), known), np.diff(np.r_[begin, len(at)]))
 
 
 def run_names(content: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -250,13 +253,38 @@ def take_runs(mine: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.n
     return np.repeat(begins[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
+def gram_keys(rule: Rule, content: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the gram at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(rule.gram):
+        out = mix(out + rule.codes(content[at + k]))
+    return out
+
+
+def contested(rule: Rule, keys: np.ndarray, docs: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Of runs with their anchors' keys, one owner for each content, those that may
+    share a window with a run of another owner. Equal windows have equal anchors,
+    and a run has no window twice. So an anchor is settled if one document (or
+    one run) has it; and if its runs are single windows, all different as they are."""
+    order = np.argsort(keys)
+    begin = _changes(keys[order])
+    count = np.diff(np.r_[begin, len(order)])
+    if not len(order):
+        return np.empty(0, bool)
+    doc = docs[order]
+    alone = np.minimum.reduceat(doc, begin) == np.maximum.reduceat(doc, begin) if rule.whole_document else count == 1
+    single = np.maximum.reduceat(windows[order], begin) == 1
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(~(alone | single), count)
+    return out
+
+
 def _runs(rule: Rule, shards: int, hot: np.ndarray):
     """Per task: each distinct run content once, for its first owner, packed by shard."""
     w = rule.window
 
     def flush(parts):
-        content, docs, places, windows, keys = ([p[i] for p in parts] for i in range(5))
-        content, docs, places, windows, keys = (np.concatenate(x) for x in (content, docs, places, windows, keys))
+        content, docs, places, windows, keys, offsets = (np.concatenate([p[i] for p in parts]) for i in range(6))
         lengths = windows + w - 1
         begins = np.r_[0, np.cumsum(lengths)[:-1]]
         name = run_names(content, begins, lengths)
@@ -272,7 +300,7 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
             mine = own[a:b]
             spots = take_runs(mine, begins, lengths)
             sizes = np.bincount(part[a:b] % rule.parts, minlength=rule.parts)
-            yield _rows([int(shard[a])], [None], [squeeze(content[spots], docs[mine], places[mine].astype(np.int64), windows[mine].astype(np.int32), sizes)])
+            yield _rows([int(shard[a])], [None], [squeeze(content[spots], docs[mine], places[mine].astype(np.int64), windows[mine].astype(np.int32), offsets[mine], sizes)])
 
     def run(batches):
         parts, held = [], 0
@@ -280,17 +308,21 @@ def _runs(rule: Rule, shards: int, hot: np.ndarray):
             for doc, text, flags in _texts(batch, "id", "bytes", "flags"):
                 units, at, key, on = _flagged(rule, text, flags)
                 # a run: neighbours with one anchor; windows of hot anchors stand alone
-                alone = member(key, hot)
-                begin = np.r_[True, (at[1:] != at[:-1]) | alone[1:]] if len(at) else np.empty(0, bool)
-                starts = np.flatnonzero(begin)
+                starts = _changes(at)
                 windows = np.diff(np.r_[starts, len(at)])
+                alone = member(key[starts], hot)
+                if alone.any():
+                    pieces = np.where(alone, windows, 1)
+                    first = np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    starts = np.repeat(starts, pieces) + np.arange(len(first)) - first
+                    windows = np.diff(np.r_[starts, len(at)])
                 keep = on[starts] if len(starts) else np.empty(0, bool)
                 starts, windows = starts[keep], windows[keep]
                 if not len(starts):
                     continue
                 n = windows + w - 1
                 spots = np.repeat(starts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                parts.append((units[spots], np.full(len(starts), doc, np.int64), starts, windows, key[starts]))
+                parts.append((units[spots], np.full(len(starts), doc, np.int64), starts, windows, key[starts], (at[starts] - starts).astype(np.int32)))
                 held += len(spots)
                 if held > 8 * BLOCK:
                     yield from flush(parts)
@@ -305,14 +337,19 @@ def _owners(rule: Rule, buckets: int):
     """One shard: the first windows of each content, as ranges by document."""
 
     def ranges_of(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        content, docs, places, windows = (np.concatenate([g[i] for g in got]) for i in range(4))
+        content, docs, places, windows, offsets = (np.concatenate([g[i] for g in got]) for i in range(5))
         windows = windows.astype(np.int64)
         # tasks have sent some runs each for its own first owner: one owner stays
         lengths = windows + rule.window - 1
         begins = np.cumsum(lengths) - lengths
         own = np.flatnonzero(first_owners(rule, run_names(content, begins, lengths), docs, places))
-        content, docs, places, windows = content[take_runs(own, begins, lengths)], docs[own], places[own], windows[own]
-        first = rule.first(content, windows, docs, places)
+        disputed = own[contested(rule, gram_keys(rule, content, begins[own] + offsets[own]), docs[own], windows[own])]
+        indexed = np.zeros(len(docs), bool)
+        indexed[disputed] = True
+        first = np.ones(int(windows[own].sum()), bool)
+        if len(disputed):
+            first[np.repeat(indexed[own], windows[own])] = rule.first(content[take_runs(disputed, begins, lengths)], windows[disputed], docs[disputed], places[disputed])
+        docs, places, windows = docs[own], places[own], windows[own]
         doc = np.repeat(docs, windows)[first]
         place = (np.repeat(places, windows) + np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows))[first]
         # runs stand in one piece, so neighbours in place are neighbours here
@@ -323,13 +360,13 @@ def _owners(rule: Rule, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         parts: list[list[list[np.ndarray]]] = [[] for _ in range(rule.parts)]
         for blob in table.column("blob").to_pylist():
-            content, docs, places, windows, sizes = unsqueeze(blob)
+            content, docs, places, windows, offsets, sizes = unsqueeze(blob)
             lengths = np.r_[0, np.cumsum(windows.astype(np.int64) + rule.window - 1)]
             cuts = np.r_[0, np.cumsum(sizes)]
             for k in range(rule.parts):
                 a, b = cuts[k], cuts[k + 1]
                 if b > a:
-                    parts[k].append([content[lengths[a] : lengths[b]], docs[a:b], places[a:b], windows[a:b]])
+                    parts[k].append([content[lengths[a] : lengths[b]], docs[a:b], places[a:b], windows[a:b], offsets[a:b]])
         doc, place, count = (np.concatenate(x) for x in zip(*(ranges_of(p) for p in parts if p)))
         span = np.empty(len(doc), np.dtype([("place", np.int64), ("count", np.int64)]))
         span["place"], span["count"] = place, count
@@ -353,9 +390,9 @@ def covered(rule: Rule, text, flags: list[bytes] | None, owned: list[bytes] | No
         np.add.at(step, ranges[::2] + ranges[1::2], -1)
         repeat = repeat & (np.cumsum(step[:-1]) == 0)
     step = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(repeat)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + rule.window, -1)
+    ends = np.flatnonzero(np.diff(np.r_[False, repeat, False]))  # where repeats begin and end, by turns
+    step[ends[::2]] += 1
+    step[ends[1::2] + rule.window - 1] -= 1
     return n, np.cumsum(step[:-1]) > 0
 
 

@@ -1,6 +1,7 @@
 """The shards of the substring operators, run in this process."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,24 @@ def test_long_runs_are_told_apart():
     assert all((got[d] == want[d]).all() for d in want)
 
 
+@pytest.mark.parametrize("hot_all", (False, True))
+@pytest.mark.parametrize("rule", (BYTES, WORDS), ids=("bytes", "words"))
+def test_runs_of_one_owner_are_not_indexed(rule, hot_all):
+    """Copies leave one run for each anchor; a gram that others have, too, is no dispute unless windows may be equal."""
+    r = random.Random(7)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    docs = [(d, text.encode()) for d in (1, 2, 3)] + [(4, b"short")]
+    got, want = removed(replace(rule, first=None), docs, hot_all), expected(rule, docs)
+    assert want[2].all() and not want[1].any()
+    assert all((got[d] == want[d]).all() for d in want)
+
+
+def test_contested_runs():
+    keys, docs, windows = (np.array(x) for x in ([5, 5, 6, 6, 7, 8, 8], [1, 2, 3, 3, 4, 5, 6], [3, 1, 2, 2, 9, 1, 1]))
+    assert repeats.contested(BYTES, keys, docs, windows).tolist() == [True, True, False, False, False, False, False]
+    assert repeats.contested(WORDS, keys, docs, windows).tolist() == [True, True, True, True, False, False, False]
+
+
 def test_packing_round_trip():
     arrays = [np.arange(5, dtype=np.uint64), np.empty(0, np.int32), np.array([1, 2], np.uint8)]
     for a, b in zip(arrays, repeats.unsqueeze(repeats.squeeze(*arrays))):
